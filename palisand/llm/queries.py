@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisand.llm import line_dedup, quality_rules, topk_search, url_filter
+import public_tokenizers
+from palisand.llm import bpe_codec, line_dedup, packing, quality_rules, topk_search, url_filter
+from palisand.llm.shared import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +44,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack(staged(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), 1024)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), *model)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op5_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op10_byte_bpe)
 }
 
 
