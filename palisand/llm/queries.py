@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from palisand.llm import bpe_codec, line_dedup, packing, quality_rules, topk_search, url_filter
-from palisand.llm.shared import staged
+from palisand.llm import bpe_codec, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
+from palisand.llm.shared import new_folder, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(staged(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), 1024)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-store")
+    token_store.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
+    return token_store.checksums(spark, folder)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), *model)
@@ -61,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op10_byte_bpe)
 }
 
 
