@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from palisand.llm import bpe_codec, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
+from palisand.llm import bpe_codec, fm_classifier, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
 from palisand.llm.shared import new_folder, staged
 
 
@@ -55,6 +55,19 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(spark, folder)
 
 
+def quality_machine(spark: SparkSession, docs: DataFrame, sf_dir: str) -> fm_classifier.Machine:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(fm_classifier.remainder(4) != 2)
+    return fm_classifier.train(docs, labels)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = fm_classifier.score(docs, quality_machine(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(fm_classifier.remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), *model)
@@ -67,7 +80,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op8_quality_classifier, op10_byte_bpe)
 }
 
 
