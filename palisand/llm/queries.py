@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from palisand.llm import bpe_codec, fm_classifier, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
+from palisand.llm import bpe_codec, fm_classifier, jaccard_join, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
 from palisand.llm.shared import new_folder, staged
 
 
@@ -68,6 +68,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), *model)
@@ -80,7 +84,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op8_quality_classifier, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe)
 }
 
 
