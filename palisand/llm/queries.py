@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from palisand.llm import bpe_codec, fm_classifier, jaccard_join, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
+from palisand.llm import bpe_codec, fm_classifier, jaccard_join, lattice_lm, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
 from palisand.llm.shared import new_folder, staged
 
 
@@ -49,6 +49,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(staged(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), 1024)
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), fm_classifier.remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-store")
     token_store.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
@@ -74,7 +78,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), *model)
+    out = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), *model), model[0])
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -84,7 +88,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op7_token_store, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op6_lattice_lm, op7_token_store, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe)
 }
 
 
