@@ -1,15 +1,64 @@
-"""Corpus pipeline: stages that each take and return documents."""
+"""Corpus pipeline: raw documents in, packed token sequences out.
+
+Each stage takes all that its predecessor kept and calls one operator of
+palisand.llm.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from palisand.llm import fm_classifier, jaccard_join, line_dedup, packing, quality_rules
+from palisand.llm.queries import quality_machine
+from palisand.llm.shared import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good."""
+    scored = fm_classifier.score(docs, quality_machine(spark, docs, sf_dir), keep=COLUMNS[1:])
+    return scored.filter("score >= 0.7").select(COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep to the adaptive quality rules."""
+    return quality_rules.filtered(docs).select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them or more share."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.deduplicated(docs).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack(staged(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), 1024)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: A trained classifier and the packing order can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+    """STAGES applied to documents, each stage written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -375,7 +375,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_id (equal sets, equal ids) of every row."""
+    """doc_id, row (64 hash bits of doc_id and text), n_shingles, component_id and component (a number; null without words) of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     seen = staged(described(docs), "shingle-sets")
@@ -399,10 +399,24 @@ def join(docs: DataFrame) -> DataFrame:
         more = staged(_linked(docs, classes, _ordered(across)), "links")
         if not more.isEmpty():
             parts = components(links.unionByName(more))
-    placed = documents.select("doc_id", "sid", "n").join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    placed = documents.select("doc_id", "row", "sid", "n").join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
     # without words: a component of its own
     placed = placed.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
     named = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(named, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sid").alias("set_id")
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (nulls last), of equal ones the least row.
+    Rows without words all stay."""
+    found = staged(join(docs).filter("n_shingles > 0"), "components")
+    first = found.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
+    gone = found.join(first, "component").filter("row <> stays").select("row").distinct()
+    again = found.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
+    keyed = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    kept = keyed.join(gone, "row", "left_anti")
+    if not again.isEmpty():  # rows that are there more than once
+        kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(docs.columns)

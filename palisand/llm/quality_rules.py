@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import staged, words
+from palisand.llm.shared import row_key, staged, words
 
 #: Fewest documents from which a group's own fences are taken.
 MIN_GROUP = 200
@@ -80,12 +80,12 @@ def _repeat_words(w: Column, n: Column) -> dict[str, Column]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the five counts and the measures of every row."""
+    """doc_id, k1, k2 (see row_key), lang, source, the five counts and the measures of every row."""
     body = F.coalesce(F.col("text"), F.lit(""))
     without = lambda chars: F.length(F.regexp_replace(body, f"[^{chars}]+", "")).cast("long")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     df = docs.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *row_key("doc_id", "text", "lang", "source"),
         words(F.col("text")).alias("_w"),
         F.length(F.regexp_replace(body, r"[ \x09-\x0D]+", "")).cast("long").alias("word_chars"),
         without(r"#*$%&|<>").alias("n_symbols"),
@@ -99,7 +99,7 @@ def measured(docs: DataFrame) -> DataFrame:
         df = df.withColumn(name, c)
     share = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
     return df.select(
-        "doc_id", "lang", "source", *COUNTS,
+        "doc_id", "k1", "k2", "lang", "source", *COUNTS,
         share("word_chars", "n_words").alias("word_len"),
         share("n_symbols", "n_words").alias("symbols"),
         share("n_dup_lines", "_n_lines").alias("dup_lines"),
@@ -163,6 +163,18 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed, kept, and broken: the measures beyond their fences."""
+    return verdicts(docs).drop("k1", "k2")
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    gone = verdicts(docs).filter(~F.col("kept")).select("k1", "k2").distinct()
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text", "lang", "source"), strict=True)))
+    return keyed.join(gone, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_anti").drop("_k1", "_k2")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """What judge() returns, and k1, k2 of each row."""
     m = staged(measured(docs), "quality-measures")
     limits = thresholds(sketches(m)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "fences")
     keyed = m.withColumns({"_l": F.struct("lang"), "_s": F.struct("source")})
@@ -173,7 +185,7 @@ def judge(docs: DataFrame) -> DataFrame:
         keyed.join(limits, ["_l", "_s"], "left")
         .withColumn("broken", F.coalesce(broken, F.array().cast("array<string>")))
         .select(
-            "doc_id", *COUNTS, "base_failed",
+            "k1", "k2", "doc_id", *COUNTS, "base_failed",
             (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken",
         )
     )
