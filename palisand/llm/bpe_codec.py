@@ -19,15 +19,17 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from palisand.llm.shared import one_thread
-from palisand.llm.token_ids import REMEMBERED, byte_letters
+from palisand.llm.token_ids import Lookup, byte_letters, packed_ids
 
 #: Fixed values of sentencepiece's model format: piece types and the model type BPE.
 NORMAL, UNKNOWN, BPE = 1, 2, 2
+#: Rows that are held as Python objects at a time.
+AT_ONCE = 500
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -69,44 +71,31 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(2, trainer) + _block(3, identity)
 
 
-class Matches(dict):
-    """match -> ids"""
-
-    def __init__(self, processor) -> None:
-        super().__init__()
-        self.processor = processor
-        self.letters = {b: ord(c) for b, c in byte_letters().items()}
-
-    def written(self, match: str) -> str:
-        return match.encode().decode("latin-1").translate(self.letters)
-
-    def learn(self, matches: set[str]) -> None:
-        new = [m for m in matches if m not in self]
-        for m, ids in zip(new, self.processor.encode([self.written(m) for m in new], out_type=int, num_threads=1), strict=True):
-            self[m] = ids
-
-
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         one_thread()
-        import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
-        # \s of the pattern means Unicode's white space
-        self.find = regex.compile(pattern).findall
-        self.matches = Matches(self.processor)
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(read_ranks(path)))
+        letters = {b: ord(c) for b, c in byte_letters().items()}
+        self.written = lambda match: match.encode().decode("latin-1").translate(letters)
+        self.processor = processor
+        self.lookup = Lookup(pattern, lambda match: processor.encode(self.written(match), out_type=int))
 
-    def encode(self, text: str | None) -> list[int]:
-        found = self.find(text or "")
-        if len(self.matches) > REMEMBERED:
-            self.matches.clear()
-        self.matches.learn(set(found))
-        return list(chain.from_iterable(map(self.matches.__getitem__, found)))
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode what is new in these texts in one call."""
+        known = self.lookup
+        words = {w for t in texts if t for w in t.split(" ")} - known.words.keys()
+        parts = {w: [" " + w] if w.isalpha() else known.find(" " + w) for w in words if w and not w[0].isspace() and not w[-1].isspace()}
+        new = list({m for ms in parts.values() for m in ms} - known.matches.keys())
+        ids = self.processor.encode([self.written(m) for m in new], out_type=int, num_threads=1)
+        found = dict(zip(new, map(packed_ids, ids), strict=True))
+        for w, ms in parts.items():
+            known.words[w] = b"".join(found[m] if m in found else known.matches[m] for m in ms)
+        known.matches.update((m, found[m]) for m in new if not m[1:].isalpha())
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.lookup.ids(text or ""), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
@@ -115,6 +104,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> list[bytes]:
+    return read_ranks(path)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids of every row."""
 
@@ -122,24 +116,33 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
-            ids = pa.array([c.encode(t) for t in b.column(1).to_pylist()], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                texts = b.column(1).to_pylist()
+                c.learn(texts)
+                found = [c.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, found)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the bytes that they stand for, of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        c = codec(path, pattern)
-        for b in batches:
-            data = pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], ["doc_id", "ids", "data"])
+        look = tokens(path).__getitem__
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                ids = (np.array(x.values.to_numpy(), dtype=np.int64) if x.is_valid else np.empty(0, dtype=np.int64) for x in b.column(1))
+                data = pa.array([b"".join(map(look, x.tolist())) for x in ids], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], ["doc_id", "ids", "data"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")

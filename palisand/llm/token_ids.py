@@ -9,15 +9,16 @@ any other make, go through the library's encode() as they are.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 from palisand.llm.shared import one_thread
 
-#: Matches that a task remembers before it starts anew (about 250 bytes each).
-REMEMBERED = 400_000
+#: Words, and matches, that a Python worker remembers before it starts anew (about 200 bytes each).
+REMEMBERED = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -27,25 +28,68 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Matches(dict):
-    """match -> its ids as little-endian unsigned 32-bit integers."""
+    """match of the pattern -> its ids as little-endian unsigned 32-bit integers; encode gives a match's ids."""
 
-    def __init__(self, model) -> None:
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
         super().__init__()
-        self.tokenize = model.tokenize
-        self.letters = {b: ord(c) for b, c in byte_letters().items()}
+        self.encode = encode
 
     def __missing__(self, match: str) -> bytes:
-        found = self.tokenize(match.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in found], dtype="<u4").tobytes()
-        self[match] = ids
+        self[match] = ids = packed_ids(self.encode(match))
         return ids
 
 
+class Words(dict):
+    """What stands between two spaces -> ids of it and the space before it.
+
+    A space between two characters that aren't white space always begins a match, so texts can be
+    parted there.  Where white space adjoins the space, None tells that the text can't."""
+
+    def __init__(self, find: Callable[[str], list[str]], matches: Matches) -> None:
+        super().__init__()
+        self.find, self.matches = find, matches
+
+    def __missing__(self, word: str) -> bytes | None:
+        if word.isalpha():  # letters only: one match
+            ids = packed_ids(self.matches.encode(" " + word))
+        elif not word or word[0].isspace() or word[-1].isspace():
+            ids = None
+        else:
+            ids = b"".join(map(self.matches.__getitem__, self.find(" " + word)))
+        self[word] = ids
+        return ids
+
+
+class Lookup:
+    """Ids of texts by remembered words and matches."""
+
+    def __init__(self, pattern: str, encode: Callable[[str], list[int]]) -> None:
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.matches = Matches(encode)
+        self.words = Words(self.find, self.matches)
+
+    def ids(self, text: str) -> bytes:
+        if len(self.matches) > REMEMBERED or len(self.words) > REMEMBERED:
+            self.matches.clear()
+            self.words.clear()
+        first, *rest = text.split(" ")
+        found = list(map(self.words.__getitem__, rest))
+        if None in found or first[-1:].isspace():
+            return b"".join(map(self.matches.__getitem__, self.find(text)))
+        return b"".join([*map(self.matches.__getitem__, self.find(first)), *found])
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         one_thread()
-        import regex
         from tokenizers import Tokenizer
 
         import public_tokenizers
@@ -61,8 +105,8 @@ class Encoder:
             and conf["model"]["type"] == "BPE"
         )
         self.added = [t["content"] for t in conf["added_tokens"]]
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.matches = Matches(self.tokenizer.model)
+        tokenize, letters = self.tokenizer.model.tokenize, {b: ord(c) for b, c in byte_letters().items()}
+        self.lookup = Lookup(public_tokenizers.PATTERN, lambda m: [t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))])
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids (null: none) as little-endian unsigned 32-bit integers."""
@@ -70,9 +114,7 @@ class Encoder:
             return b""
         if not self.simple or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.matches) > REMEMBERED:
-            self.matches.clear()
-        return b"".join(map(self.matches.__getitem__, self.find(text)))
+        return self.lookup.ids(text)
 
 
 @lru_cache(maxsize=2)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from palisand.llm.token_ids import encoder, texts
 
 #: Ids that the rolling hash sees; a cut after one in EVERY positions; bounds of a chunk's length.
-WINDOW, EVERY, LEAST, MOST = 8, 128, 48, 1024
+WINDOW, EVERY, LEAST, MOST = 4, 256, 64, 2048
 #: Children of a Merkle node.
 FAN_OUT = 1024
 
