@@ -17,8 +17,9 @@ sizes, is least.  The first k shared shingles stand at positions i and j, so
 min(s - i, t - j) bounds the overlap; pairs that can't reach it are not made.
 
 Long lists.  Lists of more than LONG sets, which come from large groups of near copies, never
-become all their pairs.  First each set meets the least set of its own and the
-neighbouring size ranges; what is linked so far is joined into components.
+become all their pairs.  First each set meets one set, chosen by hash, of its own and the
+neighbouring size ranges in each of its lists; as the lists choose differently, a set of a large group meets
+many of its members.  What is linked so far is joined into components.
 Then only sets of different components still meet, in tiles of TILE sets.
 
 Checks.  Each candidate pair must pass a bound by the counts of its shingles in
@@ -52,7 +53,7 @@ AT_ONCE, LOCAL_FROM = 4_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
 LONG, TILE, BUCKET = 32, 2048, 400_000
 #: Hash buckets of the bound; size from which it isn't used.
-SIGN, WIDE = 128, 65_535
+SIGN, WIDE = 256, 65_535
 #: Most ids that are broadcast to pick texts; more of them are joined by a shuffle.
 PICKED = 1_000_000
 #: Sizes up to which the boundary may lie.
@@ -101,8 +102,10 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Counts of the shingles by hash bucket (of no meaning for sets of WIDE shingles and more, which the bound lets pass)."""
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) % SIGN, minlength=SIGN).astype("<u2").tobytes()
+    """Counts of the shingles by hash bucket, a byte each.  Where one is over 255 all are 255, so that the lesser counts
+    are the other set's; sets of WIDE shingles and more pass the bound in any case."""
+    count = np.bincount((s >> np.uint64(20)).astype(np.int64) % SIGN, minlength=SIGN)
+    return (count if count.max() < 256 else np.full(SIGN, 255)).astype(np.uint8).tobytes()
 
 
 def prefix_size(s: np.ndarray | int) -> np.ndarray | int:
@@ -279,10 +282,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).filter("a <> b").distinct()
 
 
-def _met_by_least(longs: DataFrame) -> DataFrame:
-    """Pairs of each set of a long list with the least set of its size range and of the two next to it."""
+def _met_by_chosen(longs: DataFrame) -> DataFrame:
+    """Pairs of each set of a long list with the list's chosen set of its size range and of the two next to it."""
     ranged = longs.withColumn("range", F.floor(F.log(1.25, F.col("n"))))
-    least = ranged.groupBy("key", "range").agg(F.min(F.struct("sid", "n", "at")).alias("p"))
+    least = ranged.groupBy("key", "range").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(F.xxhash64("key", "sid"), "sid")).alias("p"))
     least = least.withColumn("range", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
     enough = 9 * F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")) >= 4 * (F.col("n") + F.col("p.n"))
     return ranged.join(least, ["key", "range"]).filter(enough).select("sid", F.col("p.sid").alias("other"))
@@ -302,13 +305,13 @@ def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame) -> DataF
 
         t0, t1 = key[1].as_py(), key[2].as_py()
         tile, sid, n, at, part = (rows[c].to_numpy() for c in ("tile", "sid", "n", "at", "part"))
-        sign = np.stack([np.frombuffer(x, dtype="<u2") for x in rows["sign"].to_pylist()]).astype(np.int64)
+        sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint8).reshape(-1, SIGN)
         a, b = [], []
         right = np.flatnonzero(tile == t1)
         for i in np.flatnonzero(tile == t0).tolist():
             j = right[(part[right] != part[i]) & ((t0 != t1) | (sid[right] > sid[i]))]
             j = j[_possible(n[j], at[j], n[i], at[i])]
-            j = j[(9 * np.minimum(sign[j], sign[i]).sum(axis=1) >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)]
+            j = j[(9 * np.minimum(sign[j], sign[i]).sum(axis=1, dtype=np.int64) >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)]
             a.extend([int(sid[i])] * len(j))
             b.extend(sid[j].tolist())
         return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["sid", "other"])
@@ -326,7 +329,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype="<u2").reshape(-1, SIGN) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIGN) for i in (4, 5))
             n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
             ok = (9 * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= 4 * (n + m)) | (np.maximum(n, m) >= WIDE)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
@@ -391,7 +394,7 @@ def join(docs: DataFrame) -> DataFrame:
     classes = documents.select("sid", "row", "n", "sign").join(first, ["sid", "row"], "left_semi").dropDuplicates(["sid"])
     found = staged(_from_lists(_bucketed(docs, order, small, n_buckets), n_buckets), "candidates")
     longs = found.filter("kind = 'long'").select("key", "sid", "n", "at")
-    links = _linked(docs, classes, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other").unionByName(_met_by_least(longs))), classes))
+    links = _linked(docs, classes, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other").unionByName(_met_by_chosen(longs))), classes))
     links = staged(links, "links")
     parts = components(links)
     if not longs.isEmpty():
