@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 YEAR = 252
-PATH = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 INFINITY = float("inf")
 
 
 def equity(returns: DataFrame) -> DataFrame:
     """returns with equity (product of 1 + r), peak and drawdown.  The curve starts at 1 + r of the
     first date, so a loss on that date is no drawdown."""
-    df = returns.withColumn("equity", F.product(1 + F.col("r")).over(PATH))
-    df = df.withColumn("peak", F.max("equity").over(PATH))
+    path = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = returns.withColumn("equity", F.product(1 + F.col("r")).over(path))
+    df = df.withColumn("peak", F.max("equity").over(path))
     return df.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_ASSET = Window.partitionBy("asset").orderBy("date")
+
+def by_asset() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("date")
 
 
 def complete_dates(panel: DataFrame, value: str = "price") -> DataFrame:
@@ -44,17 +46,17 @@ def years(panel: DataFrame, n: int) -> DataFrame:
 
 
 def simple_returns(prices: DataFrame) -> DataFrame:
-    out = prices.select("date", "asset", (F.col("price") / F.lag("price").over(BY_ASSET) - 1).alias("r"))
+    out = prices.select("date", "asset", (F.col("price") / F.lag("price").over(by_asset()) - 1).alias("r"))
     return out.filter("r is not null")
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
-    out = prices.select("date", "asset", (F.ln("price") - F.lag(F.ln("price")).over(BY_ASSET)).alias("r"))
+    out = prices.select("date", "asset", (F.ln("price") - F.lag(F.ln("price")).over(by_asset())).alias("r"))
     return out.filter("r is not null")
 
 
 def rebase(prices: DataFrame, base: float = 100.0) -> DataFrame:
-    return prices.select("date", "asset", (F.col("price") / F.first("price").over(BY_ASSET) * base).alias("level"))
+    return prices.select("date", "asset", (F.col("price") / F.first("price").over(by_asset()) * base).alias("level"))
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
