@@ -418,8 +418,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = found.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
     gone = found.join(first, "component").filter("row <> stays").select("row").distinct()
     again = found.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))  # whatever the columns of docs are called
     kept = keyed.join(gone, "row", "left_anti")
     if not again.isEmpty():  # rows that are there more than once
         kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
-    return kept.select(docs.columns)
+    return kept.select("doc.*")

@@ -169,8 +169,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     gone = verdicts(docs).filter(~F.col("kept")).select("k1", "k2").distinct()
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text", "lang", "source"), strict=True)))
-    return keyed.join(gone, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_anti").drop("_k1", "_k2")
+    keyed = docs.select(F.struct("*").alias("doc"), *row_key("doc_id", "text", "lang", "source"))  # whatever the columns of docs are called
+    return keyed.join(gone, ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -164,7 +164,8 @@ def _recipes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/data").filter("kind = 'chunk'").select(F.col("key").alias("name"), "payload")
+    # an empty store has no file that says its schema
+    return spark.read.schema("key binary, payload binary, kind string").parquet(f"{folder}/data").filter("kind = 'chunk'").select(F.col("key").alias("name"), "payload")
 
 
 def verify(spark: SparkSession, folder: str) -> None:
