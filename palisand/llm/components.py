@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import staged
+from palisand.llm.shared import looked_up, released, staged
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (a, b) and m of their a; the links of one node, however many, are dealt out."""
+    return looked_up(links, least, "a", "inner", F.col("b"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    joined = _with_least(down, least)
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -26,7 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(links.filter("a <> b").distinct(), "links")
     seen = None
     while True:
-        links = staged(_small_star(_large_star(links)), "stars")
+        large = staged(_large_star(links), "stars")
+        small = staged(_small_star(large), "stars")
+        released(links, large)
+        links = small
         now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

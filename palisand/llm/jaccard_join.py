@@ -14,17 +14,15 @@ of that prefix, large sets scan inverted lists of single shingles; two small set
 meet by subsets, all others by lists.  The boundary is the size at which the cost, subsets
 enumerated plus postings and list entries scanned, estimated from the histogram of
 sizes, is least.  The first k shared shingles stand at positions i and j, so
-min(s - i, t - j) bounds the overlap; pairs that can't reach it are not made.
+min(s - i, t - j) bounds the overlap; pairs that can't reach it are not made.  A posting also names the
+shingle before it: where two sets have the same one, an earlier list has them both, and this list doesn't make the pair again.
 
-Long lists.  Lists of more than LONG sets, which come from large groups of near copies, never
-become all their pairs.  First each set meets one set, chosen by hash, of its own and the
-neighbouring size ranges in each of its lists; as the lists choose differently, a set of a large group meets
-many of its members.  What is linked so far is joined into components.
+Lists of up to LONG sets make their pairs.  In longer ones, which come from groups of near copies, each set
+meets the list's hubs only: of its own and the neighbouring size ranges, the sets of least hash, by two hashes
+(the same in all lists of a group, so that a pair is made once).  What is linked so far is joined into components.
 Then only sets of different components still meet, in tiles of TILE sets.
-
-Checks.  Each candidate pair must pass a bound by the counts of its shingles in
-SIGN hash buckets (the sum of the lesser counts bounds the overlap); for those that do the sets are made
-from the texts once more and compared in full.
+Lists of a shingle that more than SPLIT documents hold are dealt by set to several tasks, with the sets of least hash
+in each of them, so the parts have common hubs; their sets meet across parts in the tiles.
 
 Cases: null and empty texts, and texts without words, have size 0, no links, and are their own component;
 texts of fewer than five words are one shingle, so they link with equal word
@@ -43,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisand.llm.components import components
-from palisand.llm.shared import staged
+from palisand.llm.shared import looked_up, released, staged
 
 N = 5
 #: Frequent shingles that the order knows by name (16 bytes each are sent to tasks); least count of them.
@@ -51,15 +49,18 @@ HEAVY, HEAVY_FROM = 200_000, 20
 #: Shingles that a task counts at a time; least count in a task.
 AT_ONCE, LOCAL_FROM = 4_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
-LONG, TILE, BUCKET = 32, 2048, 400_000
+LONG, TILE, BUCKET = 4, 2048, 400_000
+#: Documents with a shingle beyond which its list is dealt to several tasks; hubs that all of them see.
+SPLIT, HUBS = 50_000, 64
 #: Hash buckets of the bound; size from which it isn't used.
 SIGN, WIDE = 256, 65_535
-#: Most ids that are broadcast to pick texts; more of them are joined by a shuffle.
-PICKED = 1_000_000
 #: Sizes up to which the boundary may lie.
 SMALL_MOST = 64
 
-_POSTING = np.dtype([("key", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: key: high half of the key's hash (the bucket holds more of it); before: the shingle before it in the set's order;
+#: kind: of an ordinary list, of a part of a split one, or the copy of a hub in another part.
+_POSTING = np.dtype([("key", "<u4"), ("before", "<u8"), ("sid", "<i8"), ("n", "<u4"), ("at", "<u4"), ("kind", "u1")])
+WHOLE, PART, COPY = 0, 1, 2
 
 
 class _Words(dict):
@@ -167,14 +168,20 @@ class Order:
 
     def __init__(self, heavy: np.ndarray, counts: np.ndarray) -> None:
         at = np.argsort(heavy)
-        self.heavy, self.rank = heavy[at], np.log2(np.maximum(counts[at], 2)).astype(np.int64)
+        self.heavy, self.counts = heavy[at], counts[at].astype(np.int64)
 
-    def first(self, s: np.ndarray, k: int) -> np.ndarray:
+    def count(self, s: np.ndarray) -> np.ndarray:
+        """How many documents hold each shingle; 0 unless it is a frequent one."""
         if not len(self.heavy):
-            return s[:k]
+            return np.zeros(len(s), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.heavy, s), len(self.heavy) - 1)
-        rank = np.where(self.heavy[at] == s, self.rank[at], 0)
-        return s[np.lexsort((s, rank))[:k]]
+        return np.where(self.heavy[at] == s, self.counts[at], 0)
+
+    def first(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first k shingles of a set, and their counts."""
+        count = self.count(s)
+        at = np.lexsort((s, np.log2(np.maximum(count, 1)).astype(np.int64)))[:k]
+        return s[at], count[at]
 
 
 def boundary(sizes: dict[int, int], others: float) -> int:
@@ -188,33 +195,53 @@ def boundary(sizes: dict[int, int], others: float) -> int:
     return min(cost, key=lambda b: (cost[b], b))
 
 
-def keys_of(s: np.ndarray, order: Order, small: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, positions) of a set's postings: subsets of two if it is small, single shingles if it can be the
-    partner of a large set or is one."""
+def keys_of(s: np.ndarray, sid: int, order: Order, small: int) -> list[tuple[np.ndarray, ...]]:
+    """(keys, positions, shingles before them, counts) of a set's postings: subsets of two if it is small, single
+    shingles if it can be the partner of a large set or is one.  What is before a subset, or the first shingle, is no other set's."""
     n, p = len(s), int(prefix_size(len(s)))
     found = []
-    first = order.first(s, p + 1)
+    first, count = order.first(s, p + 1)
+    own = np.int64(sid).astype(np.uint64)
     if 2 <= n <= small:
         i, j = np.triu_indices(min(p + 1, n), 1)
-        found.append((mixed(first[i] * np.uint64(0x9E3779B97F4A7C15) + first[j]), j - 1))
+        found.append((mixed(first[i] * np.uint64(0x9E3779B97F4A7C15) + first[j]), j - 1, np.full(len(i), own), np.minimum(count[i], count[j])))
     if n > small or 5 * (n + 1) > 4 * (small + 1) and n > 1:
-        found.append((first[:p], np.arange(min(p, n))))
+        found.append((first[:p], np.arange(min(p, n)), np.r_[own, first[: p - 1]], count[:p]))
     return found
 
 
+def dealt(p: np.ndarray, key: np.ndarray, count: np.ndarray, n_buckets: int, split: int, hubs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings, and the bucket of each.  Those of a key that more than split documents hold go to the part of the
+    list that their set's hash names; about hubs of least hash go to all its parts."""
+    parts = -(-count // split)
+    if (parts <= 1).all():
+        return p, (key % np.uint64(n_buckets)).astype(np.int64)
+    mix = mixed(p["sid"].copy().view(np.uint64))
+    own = np.where(parts > 1, (mix >> np.uint64(8)) % np.maximum(parts, 1).astype(np.uint64), np.uint64(0))
+    p["kind"][parts > 1] = PART
+    rows, bucket = [p], [(key + own * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_buckets)]
+    for i in np.flatnonzero((parts > 1) & (mix.astype(np.float64) * count < hubs * 2.0**64)).tolist():
+        copies = np.repeat(p[i : i + 1], parts[i])
+        copies["kind"] = COPY
+        salt = np.arange(parts[i], dtype=np.uint64)
+        rows.append(copies[salt != own[i]])
+        bucket.append(((key[i] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_buckets))[salt != own[i]])
+    return np.concatenate(rows), np.concatenate(bucket).astype(np.int64)
+
+
 def _bucketed(docs: DataFrame, order, small: int, n_buckets: int) -> DataFrame:
     """bucket, block: postings (once per class in each task)."""
+    split, hubs = SPLIT, HUBS
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
         size = 0
 
         def blocks():
-            all_ = np.concatenate(held)
-            bucket = (all_["key"] % np.uint64(n_buckets)).astype(np.int64)
+            all_, bucket = dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), n_buckets, split, hubs)
             at = np.argsort(bucket, kind="stable")
             all_, bucket = all_[at], bucket[at]
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -228,10 +255,10 @@ def _bucketed(docs: DataFrame, order, small: int, n_buckets: int) -> DataFrame:
                     continue
                 if len(seen) < 500_000:
                     seen.add(sid)
-                for key, at in keys_of(s, order.value, small):
-                    rows = np.empty(len(key), dtype=_POSTING)
-                    rows["key"], rows["sid"], rows["n"], rows["at"] = key, sid, len(s), at
-                    held.append(rows)
+                for key, at, before, count in keys_of(s, sid, order.value, small):
+                    rows = np.zeros(len(key), dtype=_POSTING)
+                    rows["key"], rows["before"], rows["sid"], rows["n"], rows["at"] = key >> np.uint64(32), before, sid, len(s), at
+                    held.append((rows, key, count))
                     size += len(rows)
                 if size >= AT_ONCE // 4:
                     yield blocks()
@@ -248,68 +275,99 @@ def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> n
     return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    changes = np.zeros(len(columns[0]) - 1, dtype=bool)
+    for c in columns:
+        changes |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, changes])
+
+
+def list_pairs(p: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's postings: the distinct pairs (sid, sid) to be looked at, and the postings of the lists whose sets have only met hubs."""
+    p = p[np.lexsort((p["kind"], p["at"], p["sid"], p["key"]))]
+    p = p[_starts(p["key"], p["sid"], p["at"])]
+    start = _starts(p["key"])
+    length = np.diff(np.r_[start, len(p)])
+    # lists whose sets all have the same shingle before this one make nothing
+    several = np.logical_or.reduceat(p["before"] != np.repeat(p["before"][start], length), start)
+    split = np.logical_or.reduceat(p["kind"] != WHOLE, start)
+    some = (length > 1) & several | split
+    p, length, split = p[np.repeat(some, length)], length[some], split[some]
+    if not len(p):
+        return np.empty((0, 2), dtype=np.int64), p
+    number, left = np.repeat(np.arange(len(length)), length), np.repeat(length, length)
+    place = np.arange(len(p)) - np.repeat(np.cumsum(length) - length, length)
+    wide = (left > long) | split[number]
+    n, at, sid, before = p["n"].astype(np.int64), p["at"].astype(np.int64), p["sid"], p["before"]
+    found = []
+
+    def met(i: np.ndarray, j: np.ndarray) -> None:
+        ok = _possible(n[i], at[i], n[j], at[j]) & (before[i] != before[j]) & (sid[i] != sid[j])
+        found.append(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])], axis=1))
+
+    for d in range(1, long):  # each posting with the d-th after it in its list
+        i = np.flatnonzero(~wide & (place + d < left))
+        met(i, i + d)
+    q = np.flatnonzero(wide)
+    if len(q):
+        group = number[q] * 1024 + np.floor(np.log(np.maximum(n[q], 1)) / np.log(1.25)).astype(np.int64)
+        for turn in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15):
+            mix = mixed(sid[q].copy().view(np.uint64) * np.uint64(turn))
+            by = np.lexsort((mix, group))
+            first = by[_starts(group[by])]
+            groups, hubs = group[first], q[first]
+            for near in (-1, 0, 1):
+                to = np.minimum(np.searchsorted(groups, group + near), len(groups) - 1)
+                ok = groups[to] == group + near
+                met(q[ok], hubs[to[ok]])
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs, p[wide & (p["kind"] != COPY)]
+
+
 def _from_lists(postings: DataFrame, n_buckets: int) -> DataFrame:
-    """kind = pair: sid, other; kind = long: a posting of a long list: key, sid, n, at."""
+    """kind = pair: sid, other; kind = long: a posting of a list whose sets have only met hubs: key, sid, n, at, before."""
+    long = LONG
 
     def run(rows):
         import pyarrow as pa
 
-        p = np.concatenate([np.frombuffer(x, dtype=_POSTING) for x in rows["block"].to_pylist()])
-        p = p[np.lexsort((p["sid"], p["key"]))]
-        p = p[np.r_[True, (p["key"][1:] != p["key"][:-1]) | (p["sid"][1:] != p["sid"][:-1])]]
-        start = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
-        length = np.diff(np.r_[start, len(p)])
-        n, at = p["n"].astype(np.int64), p["at"].astype(np.int64)
-        left = np.repeat(length, length)
-        place = np.arange(len(p)) - np.repeat(start, length)
-        a, b = [], []
-        for d in range(1, LONG):  # each posting with the d-th after it in its list
-            i = np.flatnonzero((left <= LONG) & (place + d < left))
-            i = i[_possible(n[i], at[i], n[i + d], at[i + d])]
-            a.append(p["sid"][i])
-            b.append(p["sid"][i + d])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.empty((0, 2), dtype=np.int64)
-        q = p[left > LONG]
+        pairs, q = list_pairs(np.concatenate([np.frombuffer(x, dtype=_POSTING) for x in rows["block"].to_pylist()]), long)
+        # the parts of a list have one name; any other list is named by its bucket as well
+        key = np.where(q["kind"] == WHOLE, (rows["bucket"][0].as_py() + 1) << 32, 0) + q["key"].astype(np.int64)
         k, m = len(pairs), len(q)
-        none = lambda j: [None] * j
-        columns = [["pair"] * k + ["long"] * m, none(k) + q["key"].view(np.int64).tolist(), [*pairs[:, 0].tolist(), *q["sid"].tolist()], pairs[:, 1].tolist() + none(m), none(k) + q["n"].tolist(), none(k) + q["at"].tolist()]
-        return pa.table([pa.array(c, type=t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["kind", "key", "sid", "other", "n", "at"])
+        none = lambda j: pa.nulls(j, pa.int64())
+        ints = lambda *x: pa.chunked_array([y if isinstance(y, pa.Array) else pa.array(np.ascontiguousarray(y).astype(np.int64)) for y in x], type=pa.int64()).combine_chunks()
+        columns = [ints(none(k), key), ints(pairs[:, 0], q["sid"]), ints(pairs[:, 1], none(m)), ints(none(k), q["n"]), ints(none(k), q["at"]), ints(none(k), q["before"].copy().view(np.int64))]
+        return pa.table([pa.array(["pair"] * k + ["long"] * m, type=pa.string()), *columns], names=["kind", "key", "sid", "other", "n", "at", "before"])
 
-    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(run, "kind string, key long, sid long, other long, n long, at long")
+    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(run, "kind string, key long, sid long, other long, n long, at long, before long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).filter("a <> b").distinct()
 
 
-def _met_by_chosen(longs: DataFrame) -> DataFrame:
-    """Pairs of each set of a long list with the list's chosen set of its size range and of the two next to it."""
-    ranged = longs.withColumn("range", F.floor(F.log(1.25, F.col("n"))))
-    least = ranged.groupBy("key", "range").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(F.xxhash64("key", "sid"), "sid")).alias("p"))
-    least = least.withColumn("range", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
-    enough = 9 * F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")) >= 4 * (F.col("n") + F.col("p.n"))
-    return ranged.join(least, ["key", "range"]).filter(enough).select("sid", F.col("p.sid").alias("other"))
-
-
 def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of sets of a long list that are in different components and pass both bounds."""
-    found = longs.join(parts, longs["sid"] == parts["node"], "left").withColumn("part", F.coalesce("component", "sid")).drop("node", "component")
-    sums = found.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key", "size")
-    found = found.join(sums, "key").join(classes.select("sid", "sign"), "sid")
+    named = parts.select(F.col("node").alias("sid"), F.col("component").alias("part"))
+    found = looked_up(longs, named, "sid", "left", F.col("key")).withColumn("part", F.coalesce("part", "sid"))
+    sums = staged(found.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key", "size"), "list-sizes")
+    found = looked_up(found, sums, "key", "inner", F.col("sid")).join(classes.select("sid", "sign"), "sid")
     tiles = F.ceil(F.col("size") / TILE)
     found = found.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    found = found.select("key", F.least("tile", "to").alias("t0"), F.greatest("tile", "to").alias("t1"), "tile", "sid", "n", "at", "part", "sign")
+    found = found.select("key", F.least("tile", "to").alias("t0"), F.greatest("tile", "to").alias("t1"), "tile", "sid", "n", "at", "before", "part", "sign")
 
     def run(key, rows):
         import pyarrow as pa
 
         t0, t1 = key[1].as_py(), key[2].as_py()
-        tile, sid, n, at, part = (rows[c].to_numpy() for c in ("tile", "sid", "n", "at", "part"))
+        tile, sid, n, at, before, part = (rows[c].to_numpy() for c in ("tile", "sid", "n", "at", "before", "part"))
         sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint8).reshape(-1, SIGN)
         a, b = [], []
         right = np.flatnonzero(tile == t1)
         for i in np.flatnonzero(tile == t0).tolist():
-            j = right[(part[right] != part[i]) & ((t0 != t1) | (sid[right] > sid[i]))]
+            j = right[(part[right] != part[i]) & (before[right] != before[i]) & ((t0 != t1) | (sid[right] > sid[i]))]
             j = j[_possible(n[j], at[j], n[i], at[i])]
             j = j[(9 * np.minimum(sign[j], sign[i]).sum(axis=1, dtype=np.int64) >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)]
             a.extend([int(sid[i])] * len(j))
@@ -341,10 +399,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets, made from the texts, are similar enough."""
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = staged(classes.join(wanted, "sid", "left_semi").select("row"), "wanted")
-    if wanted.count() <= PICKED:
-        wanted = F.broadcast(wanted)
-    picked = docs.join(wanted, "row", "left_semi").select("text")
+    wanted = staged(classes.join(wanted, "sid", "left_semi").select("row").distinct(), "wanted")
+    picked = looked_up(docs, wanted, "row", "left_semi", F.col("doc_id")).select("text")
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -360,7 +416,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                     rows[1].append(s.tobytes())
             yield _batches(rows, ["sid", "s"], [pa.int64(), pa.binary()])
 
-    sets = staged(picked.mapInArrow(made, "sid long, s binary"), "sets").dropDuplicates(["sid"])
+    sets = staged(picked.mapInArrow(made, "sid long, s binary"), "sets")
+    single = sets.dropDuplicates(["sid"])
 
     def compared(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -373,12 +430,14 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= 80 * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long")
+    side = lambda c: single.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
+    links = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
+    released(pairs, wanted, sets)
+    return links
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, row (64 hash bits of doc_id and text), n_shingles, component_id and component (a number; null without words) of every row."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, sid, n, and of documents that have copies or links: component and keeper (no_id, doc_id, row), its first document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     seen = staged(described(docs), "shingle-sets")
@@ -390,34 +449,44 @@ def join(docs: DataFrame) -> DataFrame:
     small = boundary(sizes, total[1] / max(total[0], 1))
     n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total[0] // 4 // BUCKET)
 
-    first = documents.filter("n > 1").groupBy("sid").agg(F.min("row").alias("row"))
-    classes = documents.select("sid", "row", "n", "sign").join(first, ["sid", "row"], "left_semi").dropDuplicates(["sid"])
+    # a class: its first document in two orders, and what all its documents have in common
+    classes = documents.filter("n > 0").groupBy("sid").agg(
+        F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("keeper"), F.min(F.struct("row", "n", "sign")).alias("set")
+    )
+    classes = staged(classes.select("sid", "size", "keeper", "set.*"), "classes")
+    sets = classes.filter("n > 1").select("sid", "row", "n", "sign")
     found = staged(_from_lists(_bucketed(docs, order, small, n_buckets), n_buckets), "candidates")
-    longs = found.filter("kind = 'long'").select("key", "sid", "n", "at")
-    links = _linked(docs, classes, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other").unionByName(_met_by_chosen(longs))), classes))
-    links = staged(links, "links")
+    longs = found.filter("kind = 'long'").select("key", "sid", "n", "at", "before")
+    links = _linked(docs, sets, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other")), sets))
     parts = components(links)
     if not longs.isEmpty():
-        across = _met_across(longs, parts, classes)
-        more = staged(_linked(docs, classes, _ordered(across)), "links")
+        more = _linked(docs, sets, _ordered(_met_across(longs, parts, sets)))
         if not more.isEmpty():
             parts = components(links.unionByName(more))
-    placed = documents.select("doc_id", "row", "sid", "n").join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    # without words: a component of its own
-    placed = placed.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
-    named = placed.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(named, "component", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"
+    parts = parts.select(F.col("node").alias("sid"), "component")
+    groups = classes.select("sid", "size", "keeper").join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    firsts = groups.groupBy("component").agg(F.min("keeper").alias("keeper"), F.sum("size").alias("size")).filter("size > 1")
+    firsts = staged(firsts.select("component", "keeper"), "firsts")
+    groups = staged(looked_up(groups.select("sid", "component"), firsts, "component", "inner", F.col("sid")), "groups")
+    released(classes, found, links, firsts)
+    return looked_up(documents.select("doc_id", "row", "sid", "n"), groups, "sid", "left", F.col("row"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, row (64 hash bits of doc_id and text), n_shingles, component_id and component (a number; null without words) of every row."""
+    alone = F.col("keeper").isNull()
+    return _placed(docs).select(
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("component"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the least doc_id (nulls last), of equal ones the least row.
     Rows without words all stay."""
-    found = staged(join(docs).filter("n_shingles > 0"), "components")
-    first = found.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
-    gone = found.join(first, "component").filter("row <> stays").select("row").distinct()
-    again = found.groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
+    found = staged(_placed(docs).select("row", "n", F.col("keeper.row").alias("stays")), "components")
+    gone = found.filter("row <> stays").select("row").distinct()
+    again = found.filter("n > 0").groupBy("row").agg(F.count("*").alias("c")).filter("c > 1").select("row")
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))  # whatever the columns of docs are called
     kept = keyed.join(gone, "row", "left_anti")
     if not again.isEmpty():  # rows that are there more than once

@@ -308,11 +308,14 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("long", [32, 3])
-def test_jaccard(spark, monkeypatch, long):
-    monkeypatch.setattr(jaccard_join, "LONG", long)  # 3: nearly all goes through the long lists
-    monkeypatch.setattr(jaccard_join, "TILE", 2048 if long > 3 else 4)
+@pytest.mark.parametrize("long, split", [(32, 50_000), (2, 50_000), (2, 4)])
+def test_jaccard(spark, monkeypatch, long, split):
+    monkeypatch.setattr(jaccard_join, "LONG", long)  # 2: nearly all goes through the long lists
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)  # 4: many lists are dealt to several tasks
+    monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "TILE", 2048 if long > 2 else 4)
     monkeypatch.setattr(jaccard_join, "LOCAL_FROM", 2)
+    monkeypatch.setattr(jaccard_join, "HEAVY_FROM", 2)
     docs = documents(spark, [*TEXTS, *near_copies(40, 7)])
     got = jaccard_join.join(docs)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
