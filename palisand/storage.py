@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table (a few numbers each) up to which it is broadcast; tasks to which a key's rows are dealt beyond that.
 LOOKUP, SALTS = 1_000_000, 16
+#: Whether a query's shuffle files go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +33,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palisand/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before) if before else spark.conf.unset(FREED)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back: what follows neither
     repeats its work nor depends on executors that may be lost."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,13 +67,15 @@ def released(*tables: DataFrame) -> None:
             removed(df.sparkSession, path)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str, salt: Column) -> DataFrame:
-    """rows joined (inner, left, left_semi or left_anti) with a staged table whose keys are unique, however
-    many rows share a key: a table of at most LOOKUP rows is broadcast; of a larger one each key is
-    copied to SALTS tasks, among which salt deals the rows of the key."""
+def looked_up(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str, salt: Column | None = None, most: int = LOOKUP) -> DataFrame:
+    """rows joined (inner, left, left_semi or left_anti) with a staged table whose keys are unique.  A table of at
+    most this many rows is broadcast.  With a larger one, where many rows may share a key, each key is
+    copied to SALTS tasks, among which the hash of salt deals the rows; without salt it is a plain join."""
     on = [on] if isinstance(on, str) else list(on)
-    if table.count() <= LOOKUP:
+    if table.count() <= most:
         return rows.join(F.broadcast(table), on, how)
+    if salt is None:
+        return rows.join(table, on, how)
     many = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return many.join(copies, [*on, "_salt"], how).drop("_salt")
