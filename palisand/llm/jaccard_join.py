@@ -20,7 +20,8 @@ shingle before it: where two sets have the same one, an earlier list has them bo
 Lists of up to LONG sets make their pairs.  In longer ones, which come from groups of near copies, each set
 meets the list's hubs only: of its own and the neighbouring size ranges, the sets of least hash, by two hashes
 (the same in all lists of a group, so that a pair is made once).  What is linked so far is joined into components.
-Then only sets of different components still meet, in tiles of TILE sets.
+Then only sets of different components still meet, in tiles of TILE sets: first each set of a tile meets the BEST others that the
+bound below ranks highest (in a star of copies, its centre), and with what that has linked, all that are still apart.
 Lists of a shingle that more than SPLIT documents hold are dealt by set to several tasks, with the sets of least hash
 in each of them, so the parts have common hubs; their sets meet across parts in the tiles.
 
@@ -50,6 +51,8 @@ HEAVY, HEAVY_FROM = 200_000, 20
 AT_ONCE, LOCAL_FROM = 4_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
 LONG, TILE, BUCKET = 4, 2048, 400_000
+#: Partners that a set of a tile meets at first.
+BEST = 2
 #: Documents with a shingle beyond which its list is dealt to several tasks; hubs that all of them see.
 SPLIT, HUBS = 50_000, 64
 #: Hash buckets of the bound; size from which it isn't used.
@@ -348,8 +351,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).filter("a <> b").distinct()
 
 
-def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of sets of a long list that are in different components and pass both bounds."""
+def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
+    """Pairs of sets of a long list that are in different components and pass both bounds; of each set's pairs in a tile the best ones only."""
     named = parts.select(F.col("node").alias("sid"), F.col("component").alias("part"))
     found = looked_up(longs, named, "sid", "left", F.col("key")).withColumn("part", F.coalesce("part", "sid"))
     sums = staged(found.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key", "size"), "list-sizes")
@@ -369,7 +372,11 @@ def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame) -> DataF
         for i in np.flatnonzero(tile == t0).tolist():
             j = right[(part[right] != part[i]) & (before[right] != before[i]) & ((t0 != t1) | (sid[right] > sid[i]))]
             j = j[_possible(n[j], at[j], n[i], at[i])]
-            j = j[(9 * np.minimum(sign[j], sign[i]).sum(axis=1, dtype=np.int64) >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)]
+            common = 9 * np.minimum(sign[j], sign[i]).sum(axis=1, dtype=np.int64)
+            ok = (common >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)
+            j = j[ok]
+            if best and len(j) > best:
+                j = j[np.argsort(-common[ok] / (n[j] + n[i]), kind="stable")[:best]]
             a.extend([int(sid[i])] * len(j))
             b.extend(sid[j].tolist())
         return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["sid", "other"])
@@ -459,16 +466,17 @@ def _placed(docs: DataFrame) -> DataFrame:
     longs = found.filter("kind = 'long'").select("key", "sid", "n", "at", "before")
     links = _linked(docs, sets, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other")), sets))
     parts = components(links)
-    if not longs.isEmpty():
-        more = _linked(docs, sets, _ordered(_met_across(longs, parts, sets)))
+    for best in (BEST, None) if not longs.isEmpty() else ():
+        more = _linked(docs, sets, _ordered(_met_across(longs, parts, sets, best)))
         if not more.isEmpty():
-            parts = components(links.unionByName(more))
+            # the components so far are links enough of what was linked before
+            links, parts = more, components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     parts = parts.select(F.col("node").alias("sid"), "component")
     groups = classes.select("sid", "size", "keeper").join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     firsts = groups.groupBy("component").agg(F.min("keeper").alias("keeper"), F.sum("size").alias("size")).filter("size > 1")
     firsts = staged(firsts.select("component", "keeper"), "firsts")
     groups = staged(looked_up(groups.select("sid", "component"), firsts, "component", "inner", F.col("sid")), "groups")
-    released(classes, found, links, firsts)
+    released(classes, found, firsts)
     return looked_up(documents.select("doc_id", "row", "sid", "n"), groups, "sid", "left", F.col("row"))
 
 
