@@ -105,6 +105,7 @@ class Encoder:
             and conf["model"]["type"] == "BPE"
         )
         self.added = [t["content"] for t in conf["added_tokens"]]
+        self.n_ids = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         tokenize, letters = self.tokenizer.model.tokenize, {b: ord(c) for b, c in byte_letters().items()}
         self.lookup = Lookup(public_tokenizers.PATTERN, lambda m: [t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))])
 
