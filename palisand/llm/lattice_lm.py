@@ -1,14 +1,17 @@
 """LM scoring: the likelihood of a text over all segmentations into subwords.
 
-The pieces are those of an existing subword vocabulary.  Its file ranks them by
-merges and holds no probabilities, so a piece's score is the logarithm of
-its relative frequency in the training documents' words, each cut by the
-vocabulary's own encoder, with one added to every count.  The
-probability of a word is the sum over all its segmentations, that is over all
-paths through the lattice of its pieces, of the product of the pieces'
-probabilities, by a forward recursion in logarithms.  A character that is no
-piece is spelled by its bytes' pieces.  Words begin with the vocabulary's word mark;
-the end of a text is one more symbol.  A text's probability is the product over its words and its end.
+The pieces are those of an existing subword vocabulary, whose scores are negative merge ranks.  The
+pieces' probabilities start from that order (a piece of rank r weighs 1 / (r + 10)) and are re-estimated over
+the lattice: ROUNDS rounds of expected counts of the pieces, by forward and backward
+recursion in logarithms over all segmentations of each distinct training word, with one added to every count
+(so the likelihood with that prior never falls).  A character that is no
+piece is spelled by its bytes' pieces.  Words begin with the vocabulary's word mark; the end of a text is a piece of its own.
+
+The lattice of a token has one more path: a whole word of the training texts.  With c its
+count there, N all tokens and p the summed probability of its segmentations into pieces, the token's probability is
+(c + K p) / (N + K): a distribution over all words, known or not.  K, how much the
+pieces weigh, is the one of WEIGHTS under which each training token is likeliest given all the others.
+A text's probability is the product over its words and its end.
 
 The base score is that of single words with one added to every count.
 
@@ -17,8 +20,8 @@ words are counted by Spark (each task sums first), scored once each, and joined
 the documents.  The HEAD most frequent words, a bounded number, are sent to all tasks; a
 document leaves its sums over those and a row for each other word.
 
-Cases: null and empty texts are the end alone; without training documents every count is 0;
-repeated rows each count and are each scored; null doc_id trains (its remainder is not the held-out one);
+Cases: null and empty texts are the end alone; without training documents every count is 0 and pieces keep the
+vocabulary's order; repeated rows each count and are each scored; null doc_id trains (its remainder is not the held-out one);
 very long texts and words are whole (a word's recursion takes time in proportion to its length); an
 empty table gives an empty result.
 """
@@ -28,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -41,27 +44,134 @@ from palisand.llm.shared import one_thread, staged
 HEAD = 200_000
 #: Distinct words that a task holds before it emits their counts.
 AT_ONCE = 300_000
+#: Rounds of re-estimation; the lattice's weights to choose from, in tokens; characters that are worked on at a time; tasks that
+#: words are dealt to, per shuffle partition.
+ROUNDS, WEIGHTS, AT_A_TIME, DEALT = 3, [10.0 ** (k / 2) for k in range(2, 17)], 40_000, 2
 MARK = "▁"
 #: A word that no text holds: the end.
 END = b""
 
 
 @dataclass(frozen=True)
-class Pieces:
-    """log10 probabilities of the vocabulary's pieces, of bytes and of the end."""
+class Vocabulary:
+    """Pieces by the hash of their characters, and the numbers of the bytes' pieces; the last number, n, is the end."""
 
-    score: dict[str, float]
-    byte: list[float]
-    end: float
+    n: int
     longest: int
+    hashes: np.ndarray  # ascending
+    numbers: np.ndarray
+    byte: np.ndarray
+    start: np.ndarray = field(repr=False)  # log10 probabilities by the vocabulary's order
 
 
-@lru_cache(maxsize=2)
-def _processor(path: str):
+_TIMES = 0x9E3779B97F4A7C15
+
+
+def _hashed(h: np.ndarray, length: int) -> np.ndarray:
+    x = (h + np.uint64(length)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def vocabulary(pieces: dict[str, float], byte: list[int] | None = None, weights: np.ndarray | None = None) -> Vocabulary:
+    """Of pieces (text -> rank, numbered in this order), then, unless given, 256 bytes, then the end."""
+    n = len(pieces)
+    byte_at = np.arange(n, n + 256) if byte is None else np.array(byte)
+    total = (n + 256) if byte is None else max(n, int(byte_at.max()) + 1)
+    hashes = np.array([_hashed(np.array([sum(ord(c) * pow(_TIMES, k, 2**64) for k, c in enumerate(reversed(p))) % 2**64], dtype=np.uint64), len(p))[0] for p in pieces], dtype=np.uint64)
+    at = np.argsort(hashes)
+    if weights is None:
+        weights = np.full(total + 1, 1.0 / (max(pieces.values(), default=0) + 10))
+        weights[:n] = 1 / (np.array(list(pieces.values())) + 10)
+    return Vocabulary(total, max(map(len, pieces), default=1), hashes[at], at, byte_at, np.log10(weights / weights.sum()))
+
+
+def read_vocabulary(path: str) -> Vocabulary:
+    """That of a sentencepiece model file."""
     one_thread()
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = sp.get_piece_size()
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
+    plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    n = len(plain)
+    return vocabulary({sp.id_to_piece(i): -sp.get_score(i) for i in plain}, [n + k for k in range(256)] if len(byte) == 256 else None)
+
+
+class Lattice:
+    """The segmentations of words of one length, all at once."""
+
+    def __init__(self, words: list[str], v: Vocabulary, logs: np.ndarray) -> None:
+        m, n = len(words), len(words[0]) + 1
+        cp = np.empty((m, n), dtype=np.uint64)
+        cp[:, 0] = ord(MARK)
+        cp[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n - 1)
+        self.v, self.logs, self.n, width = v, logs, n, min(n, v.longest)
+        self.piece = np.full((m, n, width), -1, dtype=np.int32)  # of each end and length - 1
+        h = np.zeros((m, n), dtype=np.uint64)
+        for k in range(width):  # lengths of k + 1 characters
+            h[:, k:] += cp[:, : n - k] * np.uint64(pow(_TIMES, k, 2**64))
+            x = _hashed(h[:, k:], k + 1)
+            to = np.minimum(np.searchsorted(v.hashes, x), max(len(v.hashes) - 1, 0))
+            if len(v.hashes):
+                self.piece[:, k:, k] = np.where(v.hashes[to] == x, v.numbers[to], -1)
+        self.edge = np.where(self.piece >= 0, logs[self.piece], -np.inf)
+        # a character that is no piece is spelled by its bytes
+        self.spelled = {}
+        bare = self.piece[:, :, 0] < 0
+        for c in np.unique(cp[bare]).tolist():
+            where = bare & (cp == c)
+            numbers = v.byte[list(chr(c).encode("utf-8", "surrogatepass"))]
+            self.edge[:, :, 0][where] = logs[numbers].sum()
+            self.spelled[c] = where, numbers
+        self.forward = np.full((m, n + 1), -np.inf)
+        self.forward[:, 0] = 0
+        for end in range(1, n + 1):
+            k = min(end, width)
+            self.forward[:, end] = _log_sum(self.forward[:, end - k : end][:, ::-1] + self.edge[:, end - 1, :k])
+
+    def total(self) -> np.ndarray:
+        """log10 of each word's probability."""
+        return self.forward[:, -1]
+
+    def expected(self) -> np.ndarray:
+        """How often each piece stands in the words, over all segmentations by their probability."""
+        m, n, width = self.edge.shape
+        back = np.full((m, n + 1), -np.inf)
+        back[:, n] = 0
+        for start in range(n - 1, -1, -1):
+            k = min(n - start, width)
+            steps = np.arange(k)
+            back[:, start] = _log_sum(back[:, start + 1 : start + 1 + k] + self.edge[:, start + steps, steps])
+        share = np.zeros(self.edge.shape)
+        for k in range(width):
+            share[:, k:, k] = self.forward[:, : n - k] + self.edge[:, k:, k] + back[:, k + 1 :]
+        share = np.where(np.isneginf(self.edge), 0, 10.0 ** (share - self.total()[:, None, None]))
+        real = self.piece >= 0
+        count = np.bincount(self.piece[real], weights=share[real], minlength=self.v.n + 1)
+        for where, numbers in self.spelled.values():
+            np.add.at(count, numbers, share[:, :, 0][where].sum())
+        return count
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log10 of the sum of 10^x along the second axis."""
+    top = x.max(axis=1)
+    top = np.where(np.isneginf(top), 0, top)
+    with np.errstate(divide="ignore"):
+        return top + np.log10((10.0 ** (x - top[:, None])).sum(axis=1))
+
+
+def lattices(words: list[str], v: Vocabulary, logs: np.ndarray) -> Iterator[tuple[list[int], Lattice]]:
+    """Lattices of words, and which words each has."""
+    at = sorted(range(len(words)), key=lambda i: len(words[i]))
+    while at:
+        n = len(words[at[0]]) + 1
+        k = 1
+        while k < len(at) and len(words[at[k]]) + 1 == n and k * n < AT_A_TIME:
+            k += 1
+        yield at[:k], Lattice([words[i] for i in at[:k]], v, logs)
+        at = at[k:]
 
 
 def tokenised(text: str | None) -> list[bytes]:
@@ -94,77 +204,72 @@ def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
     return docs.select("text", trains.alias("train")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(words: DataFrame, path: str) -> Pieces:
-    """Piece probabilities from the training counts; what comes to the driver is bounded by the vocabulary."""
-    sp = _processor(path)
-    size = sp.get_piece_size()
+def estimated(words: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """log10 probabilities of the pieces after some rounds over the words, each word once; and log10 of the words'
+    likelihood with the prior before each round.  What comes to the driver is bounded by the vocabulary."""
+    spark, logs, trace = words.sparkSession, v.start, []
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast((v, logs))
+
+        def run(batches: Iterator, sent=sent) -> Iterator:
+            import pyarrow as pa
+
+            vocabulary, now = sent.value
+            total, likelihood = np.zeros(vocabulary.n + 1), 0.0
+            for b in batches:
+                texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
+                ends = sum(not t for t in texts)
+                total[-1] += ends
+                likelihood += ends * now[-1]
+                for _, x in lattices([t for t in texts if t], vocabulary, now):
+                    total += x.expected()
+                    likelihood += x.total().sum()
+            used = np.flatnonzero(total)
+            millionths = np.rint(1e6 * np.r_[total[used], likelihood]).astype(np.int64)  # whole numbers, whose sum has no order
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1]), pa.array(millionths)], ["piece", "c"])
+
+        got = words.select("word").mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).toArrow()
+        piece, c = got["piece"].to_numpy(), got["c"].to_numpy() / 1e6
+        trace.append(float(c[piece < 0].sum() + logs.sum()))
+        count = np.ones(v.n + 1)
+        count[piece[piece >= 0]] += c[piece >= 0]
+        logs = np.log10(count / count.sum())
+        sent.unpersist()
+    return logs, trace
+
+
+def scored_words(words: DataFrame, v: Vocabulary, logs: np.ndarray) -> DataFrame:
+    """word, c, p: the log10 lattice probability of each word (of the end: its own)."""
+    sent = words.sparkSession.sparkContext.broadcast((v, logs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(size, dtype=np.int64)
-        p = _processor(path)
+        vocabulary, now = sent.value
         for b in batches:
             texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            weights = b.column(1).to_numpy()
-            ids = p.encode(texts, out_type=int, num_threads=1)
-            if ids:
-                total += np.bincount(np.concatenate([np.array(x, dtype=np.int64) for x in ids]), weights=np.repeat(weights, list(map(len, ids))).astype(np.float64), minlength=size).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int64()), pa.array(total[used], type=pa.int64())], ["piece", "c"])
-
-    trained = words.filter(F.col("c") > 0)
-    got = trained.filter(F.col("word") != F.lit(END)).mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).toArrow()
-    ends = trained.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    count = np.ones(size + 1)
-    count[got["piece"].to_numpy()] += got["c"].to_numpy()
-    count[size] += ends
-    kept = [i for i in range(size) if not sp.is_control(i) and not sp.is_unknown(i)]
-    logs = np.log10(count) - math.log10(count[[*kept, size]].sum())
-    score, byte = {}, [0.0] * 256
-    for i in kept:
-        if sp.is_byte(i):
-            byte[int(sp.id_to_piece(i)[3:5], 16)] = float(logs[i])
-        else:
-            score[sp.id_to_piece(i)] = float(logs[i])
-    return Pieces(score, byte, float(logs[size]), max(map(len, score), default=1))
-
-
-def word_score(word: str, p: Pieces) -> float:
-    """log10 of the summed probability of all segmentations of the mark and the word."""
-    text = MARK + word
-    n, get, longest = len(text), p.score.get, p.longest
-    reached = [0.0] + [0.0] * n
-    for end in range(1, n + 1):
-        c = text[end - 1]
-        terms = []
-        for start in range(max(0, end - longest), end):
-            s = get(text[start:end])
-            if s is not None:
-                terms.append(reached[start] + s)
-        if c not in p.score:
-            terms.append(reached[end - 1] + sum(p.byte[x] for x in c.encode()))
-        if len(terms) == 1:
-            reached[end] = terms[0]
-        else:
-            top = max(terms)
-            reached[end] = top + math.log10(sum([10.0 ** (x - top) for x in terms]))
-    return reached[n]
-
-
-def scored_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, c, p: the log10 lattice probability of each word (of the end: its own)."""
-    sent = words.sparkSession.sparkContext.broadcast(pieces)
+            out = np.full(len(texts), now[-1])
+            some = [i for i, t in enumerate(texts) if t]
+            for at, x in lattices([texts[i] for i in some], vocabulary, now):
+                out[[some[i] for i in at]] = x.total()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.float64())], ["word", "c", "p"])
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    return words.mapInArrow(run, "word binary, c long, p double")
 
-        p = sent.value
-        for b in batches:
-            logs = [word_score(w.decode("utf-8", "replace"), p) if w else p.end for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(logs, type=pa.float64())], ["word", "c", "p"])
 
-    return words.mapInArrow(run, "word binary, c long, p double")
+def lattice_weight(words: DataFrame, total: int) -> float:
+    """The K under which the training tokens are likeliest, each given all others."""
+    if not total:
+        return 1.0
+    each = [F.sum(F.col("c") * F.log10(F.greatest(F.col("c") - 1 + k * F.pow(F.lit(10.0), "p"), F.lit(1e-300)) / (total - 1 + k))).alias(str(i)) for i, k in enumerate(WEIGHTS)]
+    found = words.filter("c > 0").agg(*each).first()
+    return WEIGHTS[max(range(len(WEIGHTS)), key=lambda i: found[i])]
+
+
+def token_score(total: int, k: float) -> Column:
+    """log10 of a token's probability, of the columns c and p."""
+    every = math.log10(total + k)
+    return F.when(F.col("c") == 0, math.log10(k) + F.col("p")).otherwise(F.log10(F.col("c") + k * F.pow(F.lit(10.0), F.col("p")))) - every
 
 
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
@@ -173,8 +278,10 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = staged(word_counts(docs, ~F.col("held_out")), "word-counts")
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    pieces = fit(counts, path)
-    words = staged(scored_words(counts, pieces), "word-scores")
+    v, tasks = read_vocabulary(path), DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    logs, _ = estimated(counts.filter("c > 0").repartition(tasks, "word"), v)
+    plain = staged(scored_words(counts.repartition(tasks, "word"), v, logs), "word-lattices")
+    words = plain.withColumn("p", token_score(total, lattice_weight(plain, total)))
     base = math.log10(total + distinct + 1)
     head = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     sent = spark.sparkContext.broadcast({w: (math.log10(c + 1) - base, p, int(c > 0)) for w, c, p in zip(*(head[x].to_pylist() for x in ("word", "c", "p")), strict=True)})
