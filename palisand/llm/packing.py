@@ -2,12 +2,10 @@
 
 Documents become token ids and an end id; those of more than CAPACITY ids are cut into
 pieces of CAPACITY, the rest of the division first.  Pieces are dealt evenly to
-groups of at most about GROUP pieces.  Within a group a piece goes where the
-sum over all gaps g of (open sequences with gap g) squared becomes smallest:
-into an open sequence of some gap, or into a new one.  Longer pieces come first.
-Sequences that still have a gap at the end are taken apart and their pieces
-placed once more, each into the fullest sequence with room: about 0.1 % of the room of a
-full group stays empty.
+groups of at most about GROUP pieces, each packed in one task.  Within a group, longer pieces first, a piece goes
+into the open sequence with room for it where the sum over all gaps g of (open sequences with gap g)
+squared becomes smallest, of equal ones into the fullest; only where no sequence has room is a new one opened.
+A group has about one sequence more than its ids need, so packing in groups costs one in some 20,000.
 
 Cases: null text is empty (a single end id); a piece of full length has a sequence of
 its own; repeated rows are packed each; null doc_id is a value like any other; very long texts: memory of a few times the text;
@@ -61,17 +59,16 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each length (in this order): its sequence's number and its place there; then the gap of each sequence."""
-    n_open = np.zeros(capacity + 1, dtype=np.int64)  # by gap; gaps 0 (full) and capacity (new) don't count
+    n_open = np.zeros(capacity + 1, dtype=np.int64)  # by gap; full sequences (gap 0) don't count
     stacks: defaultdict[int, list[int]] = defaultdict(list)
     sequence, place, gaps = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), []
     for i, s in enumerate(lengths.tolist()):
-        # from gap g to g - s the sum of squares changes by 2 * (n[g - s] - n[g] + 1); a full sequence's gap and a new one's add nothing
-        after = 2 * n_open[: capacity - s + 1] + 1
-        after[0] = 0
-        change = after - (2 * n_open[s:] - 1)
-        change[-1] = after[-1]
-        change[:-1][n_open[s:-1] == 0] = np.iinfo(np.int64).max
-        left = int(change.argmin())  # of equal ones the fullest sequence
+        # from gap g to g - s the sum of squares changes by 2 * (n[g - s] - n[g] + 1), and by 1 - 2 * n[g] if that fills the sequence
+        room = n_open[s:capacity]
+        change = 2 * (n_open[: capacity - s] - room + 1)
+        change[:1] -= 1
+        change[room == 0] = np.iinfo(np.int64).max
+        left = int(change.argmin()) if room.any() else capacity - s  # of equal ones the fullest sequence
         gap = left + s
         if gap == capacity:
             at = len(gaps)
@@ -87,35 +84,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return sequence, place, np.array(gaps, dtype=np.int64)
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
-    """As sum_of_squares, into the fullest open sequence that has room; the last is the number of sequences."""
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    n_open = np.zeros(capacity + 1, dtype=np.int64)
-    sequence, place, n = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
-    for i, s in enumerate(lengths.tolist()):
-        fits = n_open[s:capacity] > 0
-        left = int(fits.argmax()) if fits.any() else capacity - s
-        gap = left + s
-        if gap < capacity:
-            at = stacks[gap].pop()
-            n_open[gap] -= 1
-        else:
-            at, n = n, n + 1
-        sequence[i], place[i] = at, capacity - gap
-        stacks[left].append(at)
-        n_open[left] += 1
-    return sequence, place, n
-
-
-def packed(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and place of each length, which must descend."""
-    sequence, place, gaps = sum_of_squares(lengths, capacity)
-    again = np.flatnonzero(gaps[sequence] > 0)
-    more, there, _ = best_fit(lengths[again], capacity)
-    sequence[again], place[again] = more + len(gaps), there
-    return sequence, place
-
-
 def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """df, a table of pieces that can be read again at will (with doc_id, piece, start, length and any more), with sequence_id and offset."""
     import pyarrow as pa
@@ -127,7 +95,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(order)
-        sequence, place = packed(rows["length"].to_numpy(), capacity)
+        sequence, place, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
         group = rows["group"][0].as_py()
         return rows.drop_columns(["group"]).append_column("sequence_id", pa.array((np.int64(group) << 32) + sequence)).append_column("offset", pa.array(place))
 
