@@ -1,20 +1,22 @@
 """Quality rules: thresholds from mergeable quantile sketches per language and source.
 
 Each document gets a few integer measures (in thousandths).  A measure is
-put into one of a bounded number of log-linear buckets, exact below 64 and within 1/32 above;
+put into one of a bounded number of log-linear buckets, exact below 512 and within 1/256 above;
 the counts per bucket are the sketch.  Two sketches merge by adding counts, so
 the sketch of a (language, source) group is summed map-side first, and those of a language and of
-the whole corpus are sums of the groups'.  The upper fence of a measure is
-q75 + max(SPREAD * (q75 - q25), its least slack): it follows each group's own
-distribution, and where nearly all documents are alike it stays at some distance from
-them.  Documents are then joined with their group's fences; what lies beyond
-a fence goes.
+the whole corpus are sums of the groups'.
+
+No cutoff is fixed.  RULES names for each measure a high level (and a low one, where low values are bad too).  With q
+the quantile at that level and m the median, the fence is q + SPREAD * (q - m): it follows
+each group's own distribution, its place and its width.  A group's quantiles are
+(n * own + PRIOR * its language's) / (n + PRIOR), those of a language the same with the corpus's, n being the group's
+documents: small groups lean on larger ones, by a weight that falls smoothly.
+Documents are then joined with their group's fences; what lies beyond a fence goes.
 
 Only DataFrame functions are used.
 
 Cases: null text counts as empty (no words: base_failed); null lang or source
-is a group of its own; groups of fewer than MIN_GROUP documents take the fences of their
-language, and languages of fewer take the corpus's; repeated rows each count; an
+is a group of its own; a group of which all documents fail the base rules has no fences and needs none; repeated rows each count; an
 empty table gives an empty result; very long texts are handled in linear space and n log n time.
 """
 
@@ -23,14 +25,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import row_key, staged, words
-
-#: Fewest documents from which a group's own fences are taken.
-MIN_GROUP = 200
-#: Multiples of the quartile distance above the upper quartile.
-SPREAD = 4
-#: Measure -> least distance of the fence from the upper quartile, in thousandths.
-SLACK = {"word_len": 4000, "symbols": 100, "dup_lines": 500, "repeats": 400, "shouting": 250, "marks": 300}
+from palisand.llm.shared import looked_up, row_key, staged, words
+
+#: Measure -> levels of its lower and upper quantile in hundredths (None: no fence on that side).  The lower the level, the more
+#: freely the measure is judged by the bulk of the group: symbols and odd word lengths mark junk even where a tenth of a source is junk,
+#: repeated lines, repeated words, capitals and exclamations are the manner of some good texts.
+RULES: dict[str, tuple[int | None, int]] = {"word_len": (25, 75), "symbols": (None, 90), "dup_lines": (None, 98), "repeats": (None, 98), "shouting": (None, 98), "marks": (None, 98)}
+#: Distances between median and quantile from the quantile to the fence: for levels below 90, and from there on.
+SPREAD = (8, 2)
+#: Documents' worth of the larger group's quantiles in a group's own.
+PRIOR = 20
+#: Most groups whose fences are broadcast.
+GROUPS = 100_000
+#: Leading bits that name a bucket.
+BITS = 9
 SHIFT = 28
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -111,18 +119,18 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def bucket(v: Column) -> Column:
-    """The value's log-linear bucket, named by its lowest value: itself below 64, else its six leading bits."""
-    drop = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    """The value's log-linear bucket, named by its lowest value: itself below 512, else its nine leading bits."""
+    drop = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
 def sketches(measures: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n: one bounded histogram per group and measure.
     Rows that fail the base rules, which go in any case, stay out of it."""
-    names = ", ".join(f"'{m}', {m}" for m in SLACK)
+    names = ", ".join(f"'{m}', {m}" for m in RULES)
     return (
         measures.filter(~F.col("base_failed"))
-        .select("lang", "source", F.expr(f"stack({len(SLACK)}, {names}) as (measure, v)"))
+        .select("lang", "source", F.expr(f"stack({len(RULES)}, {names}) as (measure, v)"))
         .groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -133,32 +141,37 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """One row per group: its size n and a map from measure to upper fence."""
+def spread(level: int) -> int:
+    return SPREAD[0] if 10 < level < 90 else SPREAD[1]
+
+
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, measure, n, lo, mid and hi: the size of each group, and the quantiles of each measure."""
     from pyspark.sql import Window
 
     group = Window.partitionBy(*by, "measure")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     df = sketch.withColumns({"_upto": upto, "_all": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("bucket")))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    return (
-        df.groupBy(*by, "measure")
-        .agg(at(1).alias("q25"), at(3).alias("q75"), F.sum("n").alias("n"))
-        .withColumn("fence", F.col("q75") + F.greatest(SPREAD * (F.col("q75") - F.col("q25")), slack[F.col("measure")]))
-        .groupBy(*by)
-        .agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("measure", "fence"))).alias("fences"))
-    )
+    level = lambda side: F.create_map(*[F.lit(x) for m, levels in RULES.items() for x in (m, levels[side] or 0)])[F.col("measure")]
+    at = lambda q: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * q, F.col("bucket")))
+    return df.groupBy(*by, "measure").agg(F.sum("n").alias("n"), at(level(0)).alias("lo"), at(F.lit(50)).alias("mid"), at(level(1)).alias("hi"))
+
+
+def leaning(own: DataFrame, larger: DataFrame, on: list[str]) -> DataFrame:
+    """Quantiles of own groups, leaning on those of the larger groups they belong to."""
+    more = larger.select(*on, *[F.col(q).alias(f"_{q}") for q in ("lo", "mid", "hi")])
+    mixed = {q: F.expr(f"(n * {q} + {PRIOR} * _{q}) div (n + {PRIOR})") for q in ("lo", "mid", "hi")}
+    return own.join(more, on).withColumns(mixed).drop("_lo", "_mid", "_hi")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, fences for every group, from the smallest group that is large enough."""
+    """lang, source, fences (measure -> lo, hi) for every group."""
     sketch = sketch.withColumns({"lang": F.struct("lang"), "source": F.struct("source")})  # a struct that holds null joins like any value
-    own = fences(sketch, "lang", "source")
-    per_lang = fences(merged(sketch, "lang"), "lang").select("lang", F.col("n").alias("_ln"), F.col("fences").alias("_lf"))
-    total = fences(merged(sketch.withColumn("_one", F.lit(1)), "_one"), "_one").select(F.col("_one"), F.col("fences").alias("_tf"))
-    pick = F.when(F.col("n") >= MIN_GROUP, F.col("fences")).when(F.col("_ln") >= MIN_GROUP, F.col("_lf")).otherwise(F.col("_tf"))
-    return own.join(per_lang, "lang").withColumn("_one", F.lit(1)).join(total, "_one").select("lang", "source", pick.alias("fences"))
+    langs = leaning(quantiles(merged(sketch, "lang"), "lang"), quantiles(merged(sketch)), ["measure"])
+    groups = leaning(quantiles(sketch, "lang", "source"), langs, ["lang", "measure"])
+    lo = F.coalesce(*[F.when(F.col("measure") == m, F.col("lo") - spread(levels[0]) * (F.col("mid") - F.col("lo"))) for m, levels in RULES.items() if levels[0]])
+    hi = F.coalesce(*[F.when(F.col("measure") == m, F.col("hi") + spread(levels[1]) * (F.col("hi") - F.col("mid"))) for m, levels in RULES.items()])
+    return groups.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct(lo.alias("lo"), hi.alias("hi"))))).alias("fences"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -168,21 +181,21 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    gone = verdicts(docs).filter(~F.col("kept")).select("k1", "k2").distinct()
+    gone = staged(verdicts(docs).filter(~F.col("kept")).select("k1", "k2").distinct(), "quality-gone")
     keyed = docs.select(F.struct("*").alias("doc"), *row_key("doc_id", "text", "lang", "source"))  # whatever the columns of docs are called
-    return keyed.join(gone, ["k1", "k2"], "left_anti").select("doc.*")
+    return looked_up(keyed, gone, ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """What judge() returns, and k1, k2 of each row."""
     m = staged(measured(docs), "quality-measures")
-    limits = thresholds(sketches(m)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "fences")
+    limits = staged(thresholds(sketches(m)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "fences"), "quality-fences")
     keyed = m.withColumns({"_l": F.struct("lang"), "_s": F.struct("source")})
     broken = F.filter(
-        F.array(*[F.when(F.col(x) > F.col("fences")[x], F.lit(x)) for x in SLACK]), lambda x: x.isNotNull()
+        F.array(*[F.when((bucket(F.col(x)) > F.col("fences")[x]["hi"]) | F.coalesce(bucket(F.col(x)) < F.col("fences")[x]["lo"], F.lit(False)), F.lit(x)) for x in RULES]), lambda x: x.isNotNull()
     )
     return (
-        keyed.join(limits, ["_l", "_s"], "left")
+        looked_up(keyed, limits, ["_l", "_s"], "left", F.col("k1"), GROUPS)
         .withColumn("broken", F.coalesce(broken, F.array().cast("array<string>")))
         .select(
             "k1", "k2", "doc_id", *COUNTS, "base_failed",

@@ -94,6 +94,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_NAMES = ", ".join(f"'{x}'" for x in quality_rules.RULES)
+
+
+def _levels(side: int) -> str:
+    return " ".join(f"when '{m}' then {x[side] or 0}" for m, x in quality_rules.RULES.items())
+
+
+def _leaning(own: str, larger: str) -> str:
+    return ", ".join(f"({own}.n * {own}.{x} + {quality_rules.PRIOR} * {larger}.{x}) // ({own}.n + {quality_rules.PRIOR}) as {x}" for x in ("lo", "mid", "hi"))
+
+
 _OP1 = rf"""
 with w as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t, {_WORDS} as w from documents),
 l as (select rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from w),
@@ -115,20 +126,25 @@ m as (select *,
     upper_chars * 1000 // greatest(word_chars, 1) as shouting, marks_chars * 1000 // greatest(n_words, 1) as marks,
     (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed
   from base),
-v as (select lang, source, unnest([{", ".join(f"'{x}'" for x in quality_rules.SLACK)}]) as measure, unnest([{", ".join(quality_rules.SLACK)}]) as v from m where not base_failed),
-sk as (select lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as bucket, count(*) as n from v group by all),
+v as (select lang, source, unnest([{_NAMES}]) as measure, unnest([{", ".join(quality_rules.RULES)}]) as v from m where not base_failed),
+sk as (select lang, source, measure, (v >> greatest(length(bin(v)) - {quality_rules.BITS}, 0)) << greatest(length(bin(v)) - {quality_rules.BITS}, 0) as bucket, count(*)::bigint as n from v group by all),
 q as (
-  select lvl, lang, source, measure, sum(n) as n, min(case when upto * 4 >= total then bucket end) as q25, min(case when upto * 4 >= total * 3 then bucket end) as q75
+  select lvl, lang, source, measure, sum(n)::bigint as n,
+    min(case when upto * 100 >= total * case measure {_levels(0)} end then bucket end)::bigint as lo,
+    min(case when upto * 100 >= total * 50 then bucket end)::bigint as mid,
+    min(case when upto * 100 >= total * case measure {_levels(1)} end then bucket end)::bigint as hi
   from (select *, sum(n) over (partition by lvl, lang, source, measure order by bucket) as upto, sum(n) over (partition by lvl, lang, source, measure) as total
         from (select 1 as lvl, lang, source, measure, bucket, n from sk
               union all select 2, lang, null, measure, bucket, sum(n) from sk group by all
               union all select 3, null, null, measure, bucket, sum(n) from sk group by all)) group by all),
-f as (select *, q75 + greatest({quality_rules.SPREAD} * (q75 - q25), case measure {" ".join(f"when '{k}' then {x}" for k, x in quality_rules.SLACK.items())} end) as fence from q),
-t as (select a.lang, a.source, a.measure, case when a.n >= {quality_rules.MIN_GROUP} then a.fence when b.n >= {quality_rules.MIN_GROUP} then b.fence else c.fence end as fence
-  from f a join f b on b.lvl = 2 and b.lang is not distinct from a.lang and b.measure = a.measure join f c on c.lvl = 3 and c.measure = a.measure where a.lvl = 1),
-mv as (select rid, lang, source, unnest([{", ".join(f"'{x}'" for x in quality_rules.SLACK)}]) as measure, unnest([{", ".join(quality_rules.SLACK)}]) as v from m),
-broken as (select mv.rid, list(mv.measure order by list_position([{", ".join(f"'{x}'" for x in quality_rules.SLACK)}], mv.measure)) as b
-  from mv join t on mv.lang is not distinct from t.lang and mv.source is not distinct from t.source and mv.measure = t.measure where v > fence group by mv.rid)
+q2 as (select b.lang, measure, {_leaning("b", "c")} from q b join q c using (measure) where b.lvl = 2 and c.lvl = 3),
+q1 as (select a.lang, a.source, a.measure, {_leaning("a", "b")} from q a join q2 b on b.lang is not distinct from a.lang and b.measure = a.measure where a.lvl = 1),
+t as (select *, case measure {" ".join(f"when '{m}' then lo - {quality_rules.spread(x[0])} * (mid - lo)" for m, x in quality_rules.RULES.items() if x[0])} end as least,
+    case measure {" ".join(f"when '{m}' then hi + {quality_rules.spread(x[1])} * (hi - mid)" for m, x in quality_rules.RULES.items())} end as most from q1),
+mv as (select rid, lang, source, measure, (v >> greatest(length(bin(v)) - {quality_rules.BITS}, 0)) << greatest(length(bin(v)) - {quality_rules.BITS}, 0) as v
+  from (select rid, lang, source, unnest([{_NAMES}]) as measure, unnest([{", ".join(quality_rules.RULES)}]) as v from m)),
+broken as (select mv.rid, list(mv.measure order by list_position([{_NAMES}], mv.measure)) as b
+  from mv join t on mv.lang is not distinct from t.lang and mv.source is not distinct from t.source and mv.measure = t.measure where v > most or v < least group by mv.rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and b is null) as kept, array_to_string(coalesce(b, []), ',') as broken
 from m left join broken using (rid)
 """
