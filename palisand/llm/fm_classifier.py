@@ -12,7 +12,7 @@ so always the same ones); everything else, features and scores, covers all rows
 Cases: null and empty texts have no words and statistics of zero, and get a score as any other;
 null metadata is a value of its own; repeated rows get a score each; rows whose
 label is null or that have no label teach nothing, a document with several labels
-counts once with the least; without any labelled row every score is 0.5; an empty table gives an
+counts once with the least; of several rows of one doc_id that whose text has the least hash teaches; without any labelled row every score is 0.5; an empty table gives an
 empty result; very long texts are read whole.
 """
 
@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, metadata: dict[str, Column] | None
         labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    found = docs.select("doc_id", "text", *[c.cast("string").alias(f"_m_{k}") for k, c in metadata.items()]).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    names = ["text", *(f"_m_{k}" for k in metadata)]
+    found = docs.select("doc_id", "text", *[c.cast("string").alias(f"_m_{k}") for k, c in metadata.items()]).join(F.broadcast(chosen), "doc_id")
+    # of several rows of one doc_id that of the least hash
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(*names).alias("h"), *names)).alias("d")).select("doc_id", "label", "d.*")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa

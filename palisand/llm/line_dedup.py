@@ -2,7 +2,8 @@
 
 Lines are exploded and hashed (128 bits); a document counts once for each of its keys; a first
 aggregation sums map-side, so a line that a third of the documents hold is
-a few rows after it.  Only hashes and positions move for that.  The positions to be
+a few rows after it.  Only hashes and positions move for that.  The frequent keys are broadcast where they are few, and else
+copied to several tasks each, so no task gets all places of one line.  The positions to be
 dropped then meet the documents, whose remaining lines are put together in order.
 
 Only DataFrame functions are used.
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import SPACES, ascii_lower, row_key, staged
+from palisand.llm.shared import SPACES, ascii_lower, looked_up, row_key, staged
 
 #: Documents in which a key must be found for its lines to go.
 MIN_DOCS = 10
+#: Documents with lines to be dropped up to which their positions are broadcast.
+FEW = 100_000
 
 
 def split_lines(c: Column) -> Column:
@@ -44,14 +47,15 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lines = staged(docs.select(*row_key("doc_id", "text"), hashed.alias("keys")), "line-keys")
     once = lines.select(F.explode(F.array_distinct("keys")).alias("key")).filter("key is not null")
     frequent = once.groupBy("key.h1", "key.h2").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    frequent = staged(frequent.select("h1", "h2"), "frequent-lines")
     places = lines.select("k1", "k2", F.posexplode("keys").alias("pos", "key")).filter("key is not null").select("k1", "k2", "pos", "key.h1", "key.h2")
-    return places.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
+    return looked_up(places, frequent, ["h1", "h2"], "inner", F.col("k1")).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, lang, source, n_lines, n_dropped and the remaining text of every row."""
     keyed = docs.select("doc_id", "text", "lang", "source", *row_key("doc_id", "text"))
-    df = keyed.join(dropped_positions(docs, min_docs), ["k1", "k2"], "left")
+    df = looked_up(keyed, staged(dropped_positions(docs, min_docs), "dropped-lines"), ["k1", "k2"], "left", most=FEW)
     df = df.withColumn("_lines", split_lines(F.col("text"))).withColumn("_drop", F.coalesce("drop", F.array().cast("array<int>")))
     df = df.withColumn("_keep", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"))
     kept = F.when(F.size("_drop") == 0, F.coalesce("text", F.lit(""))).otherwise(

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import ascii_lower
+from palisand.llm.shared import ascii_lower, looked_up, staged
 
 #: Characters of the hexadecimal digest by which expressions and rules are joined.
 SHORT = 8
@@ -55,7 +55,7 @@ def expressions(urls: DataFrame, rules: DataFrame) -> DataFrame:
     n = F.size(labels)
     cut = urls.select("host", "path").filter("host <> ''").distinct().withColumn("take", F.explode(F.sequence(F.lit(1), n)))
     return (
-        cut.join(shapes, "take")
+        looked_up(cut, staged(shapes, "rule-shapes"), "take", "inner", F.col("path"))
         .withColumn("suffix", F.array_join(F.slice(labels, n - F.col("take") + 1, F.col("take")), "."))
         .withColumn("length", F.explode(F.filter("lengths", lambda x: x <= F.length("path"))))
         .select("host", "path", digest(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("digest"))
@@ -68,10 +68,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keyed = keyed.groupBy("rule_host", "rule_path").agg(F.max("action").alias("action"))  # block comes after allow
     keyed = keyed.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("rule_digest", 1, SHORT))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    asked = expressions(urls, keyed).withColumn("short", F.substring("digest", 1, SHORT))
     found = (
-        expressions(urls, keyed)
-        .withColumn("short", F.substring("digest", 1, SHORT))
-        .join(keyed, "short")
+        looked_up(asked, staged(keyed, "rules"), "short", "inner", F.struct("host", "path"))
         .filter(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path")
         .agg(
@@ -80,8 +79,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                 F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "action"),
             ).alias("best")
         )
-        .withColumnsRenamed({"host": "_h", "path": "_p"})
     )
-    return urls.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").select(
+    # many pages may share a (host, path), and those without a host share the empty one
+    return looked_up(urls, staged(found, "fitting-rules"), ["host", "path"], "left", F.col("page_id")).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )

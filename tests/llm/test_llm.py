@@ -94,6 +94,18 @@ def test_quality_rules_drop_outliers_only(spark):
     assert not any(kept[i] for i in range(600, 610)) and sum(kept[i] for i in kept if i is not None and i < 600) >= 597
 
 
+def test_quality_fences_follow_their_source(spark):
+    def fences(means):
+        rng = random.Random(2)
+        rows = [(i, " ".join("a" * max(1, round(rng.gauss(m, 1))) for _ in range(80)), "en", s) for s, m in means.items() for i in range(300)]
+        measures = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", F.lit(False))
+        return {r.source.source: r.fences["word_len"] for r in quality_rules.thresholds(quality_rules.sketches(measures)).collect()}
+
+    one, two = fences({"a": 5, "b": 9}), fences({"a": 5, "b": 12})
+    assert one["a"].lo < 5000 < one["a"].hi < 9000 - 1000 < one["b"].lo + 1000 < 9000 < one["b"].hi  # each source has its own
+    assert two["b"].hi > one["b"].hi + 1000  # and it moves with the source
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = [list(map(float, x)) for x in rng.normal(size=(300, 5)).round(1)]
@@ -162,20 +174,28 @@ def test_packing(spark):
     assert packing.pack(staged(packing.pieces(empty(spark), JSON, 2).drop("ids"), "t")).count() == 0
 
 
-def test_sum_of_squares_is_the_least_change():
+@pytest.mark.parametrize("descending", [False, True])
+def test_sum_of_squares_is_the_least_change(descending):
     rng, capacity = random.Random(5), 20
-    lengths = np.array([rng.randint(1, 19) for _ in range(300)])
+    lengths = np.array(sorted((rng.randint(1, 19) for _ in range(300)), reverse=True) if descending else [rng.randint(1, 19) for _ in range(300)])
     sequence, place, gaps = packing.sum_of_squares(lengths, capacity)
     room: dict[int, int] = {}
     for s, at, x in zip(lengths.tolist(), sequence.tolist(), place.tolist(), strict=True):
         count = collections.Counter(g for g in room.values() if g)
         square = lambda gap: sum(v * v for v in (count - collections.Counter([gap]) + collections.Counter([gap - s] if gap > s else [])).values())  # noqa: B023, E731
-        options = {g: square(g) for g in {*count, capacity} if g >= s}
+        options = {g: square(g) for g in count if g >= s} or {capacity: 0}
         assert options[room.get(at, capacity)] == min(options.values()) and x == capacity - room.get(at, capacity)
         room[at] = room.get(at, capacity) - s
     assert [room[i] for i in range(len(gaps))] == gaps.tolist()
 
 
+def test_packing_is_tight():
+    rng = np.random.default_rng(4)
+    lengths = np.sort(np.clip(rng.exponential(300, 5000), 1, 1023).astype(int))[::-1]
+    _, _, gaps = packing.sum_of_squares(lengths)
+    assert len(gaps) <= -(-lengths.sum() // 1024) + 2
+
+
 def test_line_dedup(spark):
     texts = [*TEXTS, *(f"Footer \t\n{i}\n\nBody {i}\n  fOOTER\r" for i in range(12))]
     docs = documents(spark, texts)
@@ -199,23 +219,69 @@ def test_lattice(spark):
     n, v = sum(c.values()), len(c)
     want = collections.Counter((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    # each document's score from an independent recursion over pieces
+    counts = staged(lattice_lm.word_counts(docs, ~F.coalesce(fm_classifier.remainder(7) == 2, F.lit(False))), "t")
+    v = lattice_lm.read_vocabulary(PIECES)
+    logs, _ = lattice_lm.estimated(counts.filter("c > 0"), v)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    piece = {sp.id_to_piece(i): logs[k] for k, i in enumerate(plain)}
+
+    def recursion(word):
+        if not word:
+            return logs[-1]
+        text = "▁" + word.decode()
+        reached = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            steps = [reached[a] + piece[text[a:end]] for a in range(max(0, end - 16), end) if text[a:end] in piece]
+            if text[end - 1] not in piece:
+                steps.append(reached[end - 1] + sum(logs[len(plain) + b] for b in text[end - 1].encode()))
+            top = max(steps)
+            reached[end] = top + math.log10(sum(10 ** (x - top) for x in steps))
+        return reached[-1]
+
+    p = {w: recursion(w) for _, ws in tokens for w in ws}
+    k = max(lattice_lm.WEIGHTS, key=lambda k: sum(x * math.log10(max(x - 1 + k * 10 ** p[w], 1e-300) / (n - 1 + k)) for w, x in c.items()))
+    scores = collections.Counter((i, round(sum(math.log10(c[w] + k * 10 ** p[w]) if c[w] else math.log10(k) + p[w] for w in ws) - len(ws) * math.log10(n + k), 4)) for i, ws in tokens)
+    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in got) == scores
     assert lattice_lm.score(empty(spark), F.lit(False), PIECES).count() == 0
 
 
 def test_lattice_sums_all_segmentations():
-    pieces = lattice_lm.Pieces({"▁": -1.0, "▁a": -0.9, "a": -1.1, "b": -1.3, "ab": -0.7, "▁ab": -1.9, "bc": -2.0}, [-3.0] * 256, -1.0, 3)
+    weights = {"▁": 0.1, "▁a": 0.13, "a": 0.08, "b": 0.05, "ab": 0.2, "▁ab": 0.02, "bc": 0.01}
+    v = lattice_lm.vocabulary(dict.fromkeys(weights, 0.0), weights=np.array([*weights.values(), *[0.001] * 256, 0.1]))
+    names = list(weights)
+    chance = 10**v.start
 
-    def brute(text):
+    def segmentations(text):
         if not text:
-            return 1.0
-        total = sum(10 ** pieces.score[text[:k]] * brute(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces.score)
-        if text[0] not in pieces.score:
-            total += 10 ** sum(pieces.byte[x] for x in text[0].encode()) * brute(text[1:])
-        return total
-
-    for word in ("a", "ab", "abab", "abcab", "é", "aéb"):
-        assert math.isclose(lattice_lm.word_score(word, pieces), math.log10(brute("▁" + word)), rel_tol=1e-12)
+            yield []
+        for k in range(1, len(text) + 1):
+            if text[:k] in weights:
+                yield from ([names.index(text[:k]), *rest] for rest in segmentations(text[k:]))
+        if text and text[0] not in weights:
+            yield from ([*(v.byte[x] for x in text[0].encode()), *rest] for rest in segmentations(text[1:]))
+
+    words = ["a", "ab", "abab", "abcab", "é", "aéb", "ba", "c"]
+    seen = set()
+    for at, lattice in lattice_lm.lattices(words, v, v.start):
+        count = np.zeros(v.n + 1)
+        for i, total in zip(at, lattice.total(), strict=True):
+            seen.add(i)
+            ways = [(math.prod(chance[x] for x in way), way) for way in segmentations("▁" + words[i])]
+            assert math.isclose(total, math.log10(sum(x for x, _ in ways)), rel_tol=1e-12)
+            for x, way in ways:
+                np.add.at(count, way, x / sum(y for y, _ in ways))
+        assert np.allclose(lattice.expected(), count)
+    assert seen == set(range(len(words)))
+
+
+def test_pieces_never_get_less_likely(spark):
+    words = spark.createDataFrame([(bytearray(w.encode()),) for t in PROSE[:2] for w in {*t.split(), t[:30].replace(" ", "é"), ""}], "word binary").distinct()
+    _, trace = lattice_lm.estimated(words, lattice_lm.read_vocabulary(PIECES), 5)
+    assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0] + 10
 
 
 def test_token_store(spark):
@@ -243,9 +309,20 @@ def test_token_store(spark):
 
 def test_chunks_follow_content():
     ids = np.random.default_rng(1).integers(0, 50000, 20000).astype("<u4")
-    names = lambda x: {token_store.name_of(x[a:b].tobytes()) for a, b in zip([0, *token_store.cut_points(x)], token_store.cut_points(x), strict=False)}
-    assert token_store.cut_points(ids)[-1] == 20000
+
+    def names(x):
+        ends, _ = token_store.cut_points(x, [len(x)])
+        return {token_store.name_of(x[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)}
+
     assert len(names(ids) & names(np.concatenate([ids[:5000], ids[5001:]]))) > 0.9 * len(names(ids))
+    # streams cut together are cut as each by itself
+    stops = [1, 1, 70, 5000, 5003, 20000]
+    ends, counts = token_store.cut_points(ids, stops)
+    assert sum(counts) == len(ends) and ends[-1] == 20000
+    want = []
+    for a, b in zip([0, *stops], stops, strict=False):
+        want += [a + e for e in token_store.cut_points(ids[a:b], [b - a])[0]]
+    assert ends == want
 
 
 def test_classifier(spark):
