@@ -11,18 +11,33 @@ from pyspark.sql import functions as F
 PBO = ((0.5, "high"), (0.3, "moderate"), (0.1, "low"), (None, "very low"))
 STABILITY = ((0.8, "stable"), (0.5, "fair"), (0.0, "weak"), (None, "failed"))
 PERSISTENCE = ((0.98, "very high"), (0.90, "high"), (None, "moderate"))
-VOLATILITY = ((80.0, "high"), (20.0, "normal"), (None, "low"))
 RISK = ((75.0, "aggressive"), (50.0, "growth"), (25.0, "balanced"), (None, "careful"))
 SCORE = ((70.0, "stable"), (40.0, "mixed"), (None, "unstable"))
 
 
-def label(value: Column, ranges: tuple) -> Column:
-    """The first range whose bound the value reaches."""
+SEASONALITY = ((3.0, "high"), (1.5, "moderate"), (None, "low"))
+CORRELATION = ((0.10, "raised"), (None, "normal"))
+ALPHA = ((0.15, "high"), (None, "moderate"))
+BETA = ((0.9, "very persistent"), (0.7, "persistent"), (None, "fleeting"))
+TAILS = ((1.0, "fat"), (None, "normal"))
+#: Lower bound, upper bound, and the labels below, between and above.
+PERCENTILE = (20.0, 80.0, "low", "normal", "high")
+SKEW = (-0.5, 0.5, "left", "even", "right")
+
+
+def between(value: Column, bounds: tuple) -> Column:
+    """The label of a value below, above, or within two bounds (both included)."""
+    low, high, below, inside, above = bounds
+    return F.when(value < low, below).when(value > high, above).when(value.isNotNull(), inside)
+
+
+def label(value: Column, ranges: tuple, strict: bool = False) -> Column:
+    """The first range whose bound the value reaches (strict: exceeds)."""
     out = None
     for bound, name in ranges:
         if bound is None:
             return F.when(value.isNotNull(), (out if out is not None else F).when(F.lit(True), F.lit(name)))
-        out = (out if out is not None else F).when(value >= bound, F.lit(name))
+        out = (out if out is not None else F).when(value > bound if strict else value >= bound, F.lit(name))
     return out
 
 
@@ -44,3 +59,13 @@ def stability_score(revert_share: Column, median_half_life: Column, pc1_share: C
     """0 to 100: share of reverting factors (30), short half-lives (30), little weight of the first factor (25), z-scores that agree (15)."""
     parts = 30 * revert_share + F.greatest(30 - median_half_life, F.lit(0.0)) + 25 * (1 - pc1_share) + F.greatest(15 - 10 * divergence, F.lit(0.0))
     return clip(parts, 0.0, 100.0)
+
+
+def filled(value: Column, diagonal: Column) -> Column:
+    """Missing cells of a matrix: one on the diagonal, else zero."""
+    return F.coalesce(value, F.when(diagonal, 1.0).otherwise(0.0))
+
+
+def finite(x: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from palisand.functions.distributions import binomial_two_sided, t_two_sided
 from palisand.operators import metrics, optimize
 from palisand.operators.factors import NAMES, RECENT, components, regimes
+from palisand.storage import staged
 
 YEAR = 252
+#: Fewest dates of a fold, of a split's training part and of its test part.
+LEAST_FOLD, LEAST_TRAIN, LEAST_TEST = 20, 50, 10
 
 
 @dataclass(frozen=True)
@@ -161,6 +164,41 @@ def summary(path: DataFrame, rf: float = 0.02) -> DataFrame:
                       metrics.ratio(F.col("ann_return") - rf, F.col("vol")).alias("sharpe"), "max_drawdown", "information_ratio", "trades", "turnover", "costs", "win_rate")
 
 
+def full_summary(path: DataFrame) -> DataFrame:
+    """run_id and the engine's whole table of a path (run_id, date, r, b, regime, turnover, cost, traded), without a risk-free rate: total and
+    annual (geometric) returns of strategy and benchmark, volatilities, Sharpe, Sortino and Calmar ratios, alpha and beta, information
+    ratio (difference of annual returns over tracking error), drawdown, VaR and CVaR of both, trades, turnover (sum and mean), costs,
+    win rate on trade days, dates and years, and return and volatility in each regime."""
+    s = path.withColumnRenamed("run_id", "strategy")
+    year, x = math.sqrt(YEAR), F.col("r") - F.col("b")
+    sd = lambda c: F.stddev_samp(c) * year
+    both = {"r": s.select("strategy", "date", "r"), "b": s.select("strategy", "date", F.col("b").alias("r"))}
+    side = {k: metrics.equity(v).groupBy("strategy").agg(F.min("drawdown").alias(f"dd_{k}")).join(metrics.tail(v).select("strategy", F.col("var").alias(f"var_{k}"), F.col("cvar").alias(f"cvar_{k}")), "strategy") for k, v in both.items()}
+    known = lambda name: F.col("regime") == name
+    in_regime = [c for name in NAMES[3] for c in ((F.avg(F.when(known(name), F.col("r"))) * YEAR).alias(f"return_{name.lower()}"), sd(F.when(known(name), F.col("r"))).alias(f"vol_{name.lower()}"))]
+    g = s.groupBy("strategy").agg(
+        F.count("*").alias("n_days"), (F.product(1 + F.col("r")) - 1).alias("total_return"), (F.product(1 + F.col("b")) - 1).alias("total_benchmark"),
+        sd("r").alias("vol"), sd("b").alias("vol_benchmark"), F.count_if(F.col("r") < 0).alias("losses"), sd(F.when(F.col("r") < 0, F.col("r"))).alias("loss_vol"),
+        F.regr_slope("r", "b").alias("beta"), (F.regr_intercept("r", "b") * YEAR).alias("alpha"), sd(x).alias("tracking"),
+        F.count_if("traded").alias("n_trades"), F.coalesce(F.sum(F.when(F.col("traded"), F.col("turnover"))), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum(F.when(F.col("traded"), F.col("cost"))), F.lit(0.0)).alias("costs"),
+        F.coalesce(F.avg(F.when(F.col("traded"), (x > 0).cast("double"))), F.lit(0.5)).alias("win_rate"), *in_regime,
+    )
+    g = g.withColumn("n_years", F.col("n_days") / YEAR)
+    annual = lambda c: F.pow(1 + F.col(c), 1 / F.col("n_years")) - 1
+    g = g.withColumns({"ann_return": annual("total_return"), "ann_benchmark": annual("total_benchmark")}).join(side["r"], "strategy").join(side["b"], "strategy")
+    drawn = lambda a, d: F.when(F.col(d) != 0, F.col(a) / F.abs(d)).otherwise(0.0)
+    return g.select(
+        F.col("strategy").alias("run_id"), "total_return", "total_benchmark", (F.col("total_return") - F.col("total_benchmark")).alias("excess"), "ann_return", "ann_benchmark", "vol", "vol_benchmark",
+        metrics.ratio(F.col("ann_return"), F.col("vol")).alias("sharpe"), metrics.ratio(F.col("ann_benchmark"), F.col("vol_benchmark")).alias("sharpe_benchmark"),
+        metrics.ratio(F.col("ann_return"), F.when(F.col("losses") > 0, F.col("loss_vol")).otherwise(F.col("vol"))).alias("sortino"),
+        drawn("ann_return", "dd_r").alias("calmar"), drawn("ann_benchmark", "dd_b").alias("calmar_benchmark"), "alpha", "beta",
+        metrics.ratio(F.col("ann_return") - F.col("ann_benchmark"), F.col("tracking")).alias("information_ratio"), F.col("dd_r").alias("max_drawdown"), F.col("dd_b").alias("max_drawdown_benchmark"),
+        F.col("var_r").alias("var_95"), F.col("cvar_r").alias("cvar_95"), F.col("var_b").alias("var_95_benchmark"), F.col("cvar_b").alias("cvar_95_benchmark"),
+        "n_trades", "turnover", "costs", metrics.ratio(F.col("turnover"), F.col("n_trades")).alias("mean_turnover"), "win_rate", "n_days", "n_years",
+        *[f"{k}_{name.lower()}" for name in NAMES[3] for k in ("return", "vol")],
+    )
+
+
 def by_regime(path: DataFrame) -> DataFrame:
     """run_id, regime, n, share of dates, annual return and volatility, Sharpe ratio, of strategy and equal weights."""
     total = path.groupBy("run_id").agg(F.count("*").alias("all"))
@@ -191,10 +229,11 @@ def signal_decay(series: DataFrame, entry: float, most: int = 30) -> DataFrame:
 def walk_forward(returns: DataFrame, share: float = 0.7, strategies: Sequence[str] = optimize.STRATEGIES, rf: float = 0.02) -> DataFrame:
     """strategy, sharpe_train, sharpe_test, stability (their ratio) with weights from the first share of dates."""
     days = returns.select("date").distinct()
-    cut = days.withColumn("k", F.row_number().over(Window.orderBy("date"))).crossJoin(F.broadcast(days.agg(F.floor(F.count("*") * share).alias("train"))))
-    sides = returns.join(cut.select("date", (F.col("k") <= F.col("train")).alias("train")), "date")
-    w = optimize.weights(sides.filter("train").drop("train"), strategies, rf)
-    port = sides.join(F.broadcast(w), "asset").groupBy("strategy", "train", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    last = int(days.count() * share)
+    cut = days.withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row for each date
+    sides = staged(returns.join(cut.select("date", (F.col("k") <= last).alias("train")), "date"), "sides")
+    w = staged(optimize.weights(sides.filter("train").drop("train"), strategies, rf), "weights")  # strategies x assets rows
+    port = staged(sides.join(F.broadcast(w), "asset").groupBy("strategy", "train", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r")), "portfolios")
     labelled = port.withColumn("strategy", F.concat_ws("|", F.when(F.col("train"), "in").otherwise("out"), "strategy"))
     s = metrics.basic(labelled, rf).select(F.split("strategy", r"\|")[1].alias("strategy"), F.split("strategy", r"\|")[0].alias("side"), "sharpe")
     both = s.groupBy("strategy").agg(F.first(F.when(F.col("side") == "in", F.col("sharpe")), True).alias("sharpe_train"), F.first(F.when(F.col("side") == "out", F.col("sharpe")), True).alias("sharpe_test"))
@@ -203,10 +242,13 @@ def walk_forward(returns: DataFrame, share: float = 0.7, strategies: Sequence[st
 
 def splits(returns: DataFrame, folds: int = 5, test: int = 2, embargo: float = 0.01, after: str = "last_fold") -> DataFrame:
     """split_id, date, role (train or test): every choice of test folds.  Dates that follow the last test fold (or, all_folds, each) by
-    less than embargo of all dates are in neither."""
+    less than embargo of all dates are in neither.  ValueError where a fold has less than LEAST_FOLD dates; splits of less than
+    LEAST_TRAIN training or LEAST_TEST test dates are left out."""
     days = returns.select("date").distinct()
-    n = F.count("*").over(Window.partitionBy())
-    k = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"), n.alias("n"))  # one row for each date
+    found = days.count()
+    if found // folds < LEAST_FOLD:
+        raise ValueError(f"{found} dates are too few for {folds} folds of {LEAST_FOLD} at least")
+    k = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("i"), F.lit(found).cast("long").alias("n"))  # one row for each date
     size = F.floor(F.col("n") / folds)
     k = k.withColumn("fold", F.least(F.floor(F.col("i") / size), F.lit(folds - 1)).cast("int"))
     choices = list(itertools.combinations(range(folds), test))
@@ -216,14 +258,18 @@ def splits(returns: DataFrame, folds: int = 5, test: int = 2, embargo: float = 0
     near = lambda f: (F.col("i") >= end(f)) & (F.col("i") < end(f) + F.floor(F.col("n") * embargo))
     out = near(F.array_max("tests")) if after == "last_fold" else F.exists("tests", near)
     role = F.when(F.array_contains("tests", F.col("fold")), "test").when(out, "embargo").otherwise("train")
-    return k.select("split_id", "date", role.alias("role")).filter("role <> 'embargo'")
+    out = k.select("split_id", "date", role.alias("role")).filter("role <> 'embargo'")
+    each = Window.partitionBy("split_id")
+    held = lambda r: F.count_if(F.col("role") == r).over(each)
+    return out.withColumns({"_train": held("train"), "_test": held("test")}).filter((F.col("_train") >= LEAST_TRAIN) & (F.col("_test") >= LEAST_TEST)).select("split_id", "date", "role")
 
 
 def cross_validated(returns: DataFrame, parts: DataFrame, strategies: Sequence[str] = ("equal", "min_vol", "max_sharpe", "hrp"), rf: float = 0.02) -> DataFrame:
     """method, split_id, role and the robust metrics of each: weights are learned on each split's training dates, all splits in one plan."""
-    dealt = returns.join(parts, "date")
-    w = optimize.weights(dealt.filter("role = 'train'").select("split_id", "date", "asset", "r"), strategies, rf, by=["split_id"])
+    dealt = staged(returns.join(parts, "date"), "splits")
+    w = staged(optimize.weights(dealt.filter("role = 'train'").select("split_id", "date", "asset", "r"), strategies, rf, by=["split_id"]), "weights")
     port = dealt.join(w.withColumnRenamed("strategy", "method"), ["split_id", "asset"]).groupBy("method", "split_id", "role", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    port = staged(port, "portfolios")
     named = port.withColumn("strategy", F.concat_ws("|", "method", "split_id", "role"))
     out, part = metrics.robust(named, rf), lambda i: F.split("strategy", r"\|")[i]
     return out.select(part(0).alias("method"), part(1).cast("int").alias("split_id"), part(2).alias("role"), "sharpe", "sortino", "calmar", "max_drawdown_abs", "cvar_95", "win_rate")

@@ -107,6 +107,30 @@ def signals(z: DataFrame, ou: DataFrame, entry: float = 1.5, strong: float = 2.0
     return found.select("pc", F.when(F.col("z_rolling") > 0, "short").otherwise("long").alias("side"), (size > strong).alias("strong"), (F.col("half_life") * size / 2).alias("hold"))
 
 
+def top_loadings(load: DataFrame, k: int = 5, least: float = 0.1) -> DataFrame:
+    """pc, side (with or against the factor), place, asset, loading: the k largest of either sign beyond least."""
+    sided = load.filter(F.abs("loading") > least).withColumn("side", F.when(F.col("loading") > 0, "with").otherwise("against"))
+    place = F.row_number().over(Window.partitionBy("pc", "side").orderBy(F.desc(F.abs("loading")), "asset"))
+    return sided.withColumn("place", place).filter(F.col("place") <= k).select("pc", "side", "place", "asset", "loading")
+
+
+def top_cross_effects(cross: DataFrame, k: int = 3, least: float = 0.05) -> DataFrame:
+    """i, j, rho: the k strongest effects of one score on the next date's other scores."""
+    return cross.filter((F.col("i") != F.col("j")) & (F.abs("rho") > least)).orderBy(F.desc(F.abs("rho")), "i", "j").limit(k)
+
+
+def contributions_of(load: DataFrame, series: DataFrame) -> DataFrame:
+    """pc, asset, loading and contribution = loading times the factor's last cumulated score."""
+    now = series.groupBy("pc").agg(F.max_by("cum", "date").alias("now"))
+    return load.join(now, "pc").select("pc", "asset", "loading", (F.col("loading") * F.col("now")).alias("contribution"))
+
+
+def signal_counts(series: DataFrame, entry: float = 2.0) -> DataFrame:
+    """pc, n_long (z below -entry), n_short (above), signals and their rate, of rows pc, date, z."""
+    low, high = F.count_if(F.col("z") < -entry), F.count_if(F.col("z") > entry)
+    return series.groupBy("pc").agg(low.alias("n_long"), high.alias("n_short"), (low + high).alias("signals"), ((low + high) / F.count("*")).alias("rate"))
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)

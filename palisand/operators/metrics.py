@@ -75,6 +75,36 @@ def robust(returns: DataFrame, rf: float = 0.0) -> DataFrame:
     )
 
 
+def ranked(returns: DataFrame, rf: float = 0.0) -> DataFrame:
+    """basic() of each strategy with its place by Sharpe ratio (one row for each strategy)."""
+    return basic(returns, rf).withColumn("place", F.row_number().over(Window.orderBy(F.desc("sharpe"), "strategy")))
+
+
+def against_benchmark(returns: DataFrame, benchmark: DataFrame, rf: float = 0.0) -> DataFrame:
+    """strategy, ret, vol, sharpe, excess: first the benchmark (date, r) with its geometric annual return and no excess, then each strategy with its
+    arithmetic return (as in basic) less the benchmark's geometric one."""
+    b = benchmark.select(F.lit("benchmark").alias("strategy"), "date", "r")
+    g = geometric(b).join(b.groupBy("strategy").agg((F.stddev_samp("r") * F.sqrt(F.lit(float(YEAR)))).alias("vol")), "strategy")
+    first = g.select("strategy", F.col("ann_return").alias("ret"), "vol", ratio(F.col("ann_return") - rf, F.col("vol")).alias("sharpe"), F.lit(None).cast("double").alias("excess"))
+    each = basic(returns, rf).crossJoin(F.broadcast(first.select(F.col("ret").alias("_b"))))  # one row
+    return first.unionByName(each.select("strategy", F.col("ann_return").alias("ret"), F.col("ann_vol").alias("vol"), "sharpe", (F.col("ann_return") - F.col("_b")).alias("excess")))
+
+
+def custom(returns: DataFrame, rf: float = 0.0) -> DataFrame:
+    """basic() with the total return, and the Calmar ratio from the geometric annual return."""
+    g = geometric(returns).select("strategy", "total", F.col("ann_return").alias("_g"))
+    calmar = F.when(F.col("max_drawdown") != 0, F.col("_g") / F.abs("max_drawdown")).otherwise(0.0)
+    return basic(returns, rf).join(g, "strategy").withColumn("calmar", calmar).drop("_g")
+
+
+def invariance(returns: DataFrame, max_lag: int) -> DataFrame:
+    """strategy, kind (r, |r|, r^2), lags outside the band for independence, and whether none is."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("r", F.col("r")), ("|r|", F.abs("r")), ("r^2", F.col("r") ** 2))]))
+    each = returns.select("strategy", "date", kinds.alias("x")).select(F.struct("strategy", "x.kind").alias("strategy"), "date", F.col("x.v").alias("r"))
+    out = autocorrelation(each, max_lag).groupBy("strategy").agg(F.count_if(~F.col("inside")).alias("outside"))
+    return out.select("strategy.strategy", "strategy.kind", "outside", (F.col("outside") == 0).alias("invariant"))
+
+
 def excess_sharpe(returns: DataFrame, rf: float = 0.0, periods: int = YEAR) -> DataFrame:
     x = F.col("r") - rf / periods
     sd = F.stddev_samp(x)

@@ -147,7 +147,8 @@ def clusters(cov: np.ndarray, most: int) -> np.ndarray:
 
 def distances(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.diag(cov))
-    rho = np.nan_to_num(cov / np.outer(sd, sd))
+    both = np.outer(sd, sd)
+    rho = np.divide(cov, both, out=np.zeros_like(cov), where=both > 0)
     np.fill_diagonal(rho, 1.0)
     return np.sqrt(np.clip((1 - rho) / 2, 0, None))
 
@@ -169,8 +170,9 @@ def hrp(mean: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray:
         if len(part) > 1:
             left, right = part[: len(part) // 2], part[len(part) // 2 :]
             a, b = cluster_variance(cov, left), cluster_variance(cov, right)
-            w[left] *= b / (a + b)
-            w[right] *= a / (a + b)
+            share = b / (a + b) if a + b > 0 else 0.5  # halves without variance share alike
+            w[left] *= share
+            w[right] *= 1 - share
             parts += [left, right]
     return w / w.sum()
 
@@ -237,13 +239,13 @@ def weights(returns: DataFrame, strategies: Sequence[str] = STRATEGIES, rf: floa
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    plain = moments(returns, *by).withColumn("rows", F.lit(None).cast("array<array<double>>"))
-    plain = plain.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies if s != "cvar"]).cast("array<string>")))
-    problems = plain
+    problems = moments(returns, *by)
     if "cvar" in strategies:
         tails = scenarios(returns, *by)
-        tails = moments(returns, *by).join(tails, list(by)) if by else moments(returns).crossJoin(F.broadcast(tails))  # one row each
-        problems = plain.unionByName(tails.withColumn("strategy", F.lit("cvar")))
+        problems = problems.join(tails, list(by)) if by else problems.crossJoin(F.broadcast(tails))  # one row each
+    else:
+        problems = problems.withColumn("rows", F.lit(None).cast("array<array<double>>"))
+    problems = problems.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies)))).withColumn("rows", F.when(F.col("strategy") == "cvar", F.col("rows")))
     kinds = ", ".join(f"{c} {returns.schema[c].dataType.simpleString()}" for c in by)
 
     def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,6 +254,8 @@ def weights(returns: DataFrame, strategies: Sequence[str] = STRATEGIES, rf: floa
                 mean, cov, status = np.array(row.mean), sound(np.stack(row.cov)), "ok"
                 try:
                     w = least_cvar(np.stack(row.rows), alpha) if row.strategy == "cvar" else METHODS[row.strategy](mean, cov if row.strategy != "hrp" else np.stack(row.cov), rf)
+                    if not np.isfinite(w).all():
+                        raise ValueError("no finite weights")
                 except (ValueError, np.linalg.LinAlgError) as e:
                     w, status = np.full(len(mean), 1 / len(mean)), str(e)
                 out = {c: getattr(row, c) for c in by} | {"strategy": row.strategy, "asset": row.assets, "w": w, "status": status}
@@ -261,7 +265,8 @@ def weights(returns: DataFrame, strategies: Sequence[str] = STRATEGIES, rf: floa
 
 
 def frontier(returns: DataFrame, points: int = 50, rf: float = 0.02) -> DataFrame:
-    """target, ret, vol and sharpe of the least volatile portfolio at evenly spaced returns; impossible ones are left out."""
+    """i, target, ret, vol, sharpe and status of the least volatile portfolio at evenly spaced returns; where there is none, status says why
+    and the figures are null."""
     grid = moments(returns).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     low, high = F.array_min("mean"), F.array_max("mean")
     grid = grid.withColumn("target", low + F.col("i") * (high - low) / (points - 1)).repartition("i")
@@ -273,13 +278,14 @@ def frontier(returns: DataFrame, points: int = 50, rf: float = 0.02) -> DataFram
                 mean, cov = np.array(row.mean), sound(np.stack(row.cov))
                 try:
                     w = at_target(mean, cov, row.target)
-                except (ValueError, np.linalg.LinAlgError):
+                except (ValueError, np.linalg.LinAlgError) as e:
+                    out.append((row.i, row.target, None, None, None, str(e)))
                     continue
                 ret, vol = float(w @ mean), float(np.sqrt(w @ cov @ w))
-                out.append((row.i, row.target, ret, vol, (ret - rf) / vol if vol > 0 else 0.0))
-            yield pd.DataFrame(out, columns=["i", "target", "ret", "vol", "sharpe"])
+                out.append((row.i, row.target, ret, vol, (ret - rf) / vol if vol > 0 else 0.0, "ok"))
+            yield pd.DataFrame(out, columns=["i", "target", "ret", "vol", "sharpe", "status"])
 
-    return grid.mapInPandas(solved, "i int, target double, ret double, vol double, sharpe double")
+    return grid.mapInPandas(solved, "i int, target double, ret double, vol double, sharpe double, status string")
 
 
 def asset_clusters(returns: DataFrame, most: int = 3) -> DataFrame:
@@ -295,6 +301,15 @@ def asset_clusters(returns: DataFrame, most: int = 3) -> DataFrame:
     return moments(returns).mapInPandas(cut, "asset string, place long, cluster long")
 
 
+def by_cluster(returns: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFrame:
+    """cluster, n, rho (mean correlation of the pairs inside; null without any) and w (sum of weights), of clusters (asset, cluster)."""
+    x = returns.join(clusters, "asset")
+    y = x.select("date", "cluster", F.col("asset").alias("j"), F.col("r").alias("s"))
+    rho = x.join(y, ["date", "cluster"]).filter("asset < j").groupBy("cluster", "asset", "j").agg(F.corr("r", "s").alias("rho")).groupBy("cluster").agg(F.avg("rho").alias("rho"))
+    w = clusters.join(weights, "asset").groupBy("cluster").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    return w.join(rho, "cluster", "left")
+
+
 #: Modulus, multipliers and offset of the deterministic uniform numbers below.
 PRIME, BY_ROW, BY_COLUMN, SHIFT = 2_147_483_647, 7_919, 104_729, 12_345
 

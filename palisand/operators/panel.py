@@ -14,11 +14,14 @@ def by_asset() -> WindowSpec:
 
 def complete_dates(panel: DataFrame, value: str = "price") -> DataFrame:
     """Rows of the dates on which every asset has a value (what an inner alignment of all series leaves).
-    The dates' counts and the number of assets are two aggregates; no window holds a whole date's rows."""
+    The number of assets is counted first, so panel is read twice: hand in a stored one.  Then a date's rows, at most one
+    or a few for each asset, meet in one row."""
     held = panel.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    need = held.agg(F.count_distinct("asset").alias("need"))
-    dates = held.groupBy("date").agg(F.count_distinct("asset").alias("n")).join(F.broadcast(need), F.col("n") == F.col("need")).select("date")
-    return held.join(dates, "date", "left_semi")
+    need = held.agg(F.count_distinct("asset")).first()[0]
+    rest = [c for c in held.columns if c != "date"]
+    dates = held.groupBy("date").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    whole = dates.filter(F.size(F.array_distinct(F.transform("rows", lambda x: x["asset"]))) == need)
+    return whole.select("date", F.inline("rows")).select(*held.columns)
 
 
 def select_assets(panel: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -86,9 +89,19 @@ def excess(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     return returns.join(benchmark.select("date", F.col("r").alias("b")), "date").withColumn("x", F.col("r") - F.col("b"))
 
 
-def short_name(name: Column) -> Column:
-    """The first word of a name, after a few fixed substitutions."""
-    return F.when(F.contains(F.lower(name), F.lit("middle")), F.lit("ME")).when(F.contains(F.lower(name), F.lit("america")), F.lit("AM")).otherwise(F.split(name, " ")[0])
+#: Part of a strategy's name, and its short name; the first that fits counts.
+SHORT_NAMES = (
+    ("Maximum Sharpe", "Max Sharpe"), ("Maximum Return", "Max Return"), ("Minimum Volatility", "Min Vol"), ("Hierarchical Risk Parity", "HRP"), ("HRP", "HRP"),
+    ("Risk Parity", "Risk Parity"), ("Equally Weighted", "Equal"), ("Markowitz", "Markowitz"),
+)
+
+
+def short_name(name: Column, rules: Sequence[tuple[str, str]] = SHORT_NAMES) -> Column:
+    """The short name of the first rule whose part the name holds, else its first word."""
+    found = F.lit(None).cast("string")
+    for part, short in reversed(rules):
+        found = F.when(F.contains(name, F.lit(part)), F.lit(short)).otherwise(found)
+    return F.coalesce(found, F.split(F.trim(name), " +")[0])
 
 
 def symbols(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from palisand.functions.distributions import kolmogorov, shapiro, simplex_search
 from palisand.operators.optimize import dense
+from palisand.storage import staged
 
 
 def flexible_probabilities(dates: DataFrame, half_life: float) -> DataFrame:
@@ -72,6 +73,9 @@ def garch(returns: DataFrame) -> DataFrame:
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
         r = frame["r"].to_numpy()
+        if len(r) < 2 or not np.isfinite(r).all() or r.std() == 0:  # nothing to fit: standardised returns, no shocks
+            sd = r.std() if len(r) and np.isfinite(r.std()) and r.std() > 0 else 1.0
+            return frame[["asset", "date"]].assign(z=(r - r.mean()) / sd, vol=sd, mu=r.mean(), omega=sd**2, alpha=0.0, beta=0.0)
         mu, omega, alpha, beta = fit_garch(r)
         vol = np.sqrt(variance_path((r - mu) ** 2, omega, alpha, beta))
         return frame[["asset", "date"]].assign(z=(r - mu) / vol, vol=vol, mu=mu, omega=omega, alpha=alpha, beta=beta)
@@ -127,8 +131,10 @@ def dcc_summary(path: DataFrame) -> DataFrame:
     return mean.join(above, ["i", "j"]).select("i", "j", "now", "long_run", "sd", "high", (F.lit(math.log(0.5)) / F.ln("ab")).alias("half_life"))
 
 
-def location_dispersion(x: np.ndarray, p: np.ndarray, nu: float = 5.0, steps: int = 1000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum-likelihood location and dispersion of a Student t distribution with weighted observations, by fixed point."""
+def location_dispersion(x: np.ndarray, p: np.ndarray, nu: float = 5.0, steps: int = 1000, tol: float = 1e-9, normalised: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood location and dispersion of a Student t distribution with weighted observations, by fixed point.
+    A step's dispersion is a sum of weights, centred on the weighted sum, which only at the end is divided by the weights' sum;
+    normalised divides both in each step."""
     mu = p @ x
     sigma = (x - mu).T @ ((x - mu) * p[:, None])
     if nu > 2:
@@ -136,8 +142,9 @@ def location_dispersion(x: np.ndarray, p: np.ndarray, nu: float = 5.0, steps: in
     for _ in range(steps):
         far = ((x - mu) @ np.linalg.inv(sigma) * (x - mu)).sum(axis=1)
         w = p * (nu + x.shape[1]) / (nu + far)
-        m = w @ x / w.sum()
-        s = (x - m).T @ ((x - m) * w[:, None])
+        m = w @ x / (w.sum() if normalised else 1.0)
+        s = (x - m).T @ ((x - m) * w[:, None]) / (w.sum() if normalised else 1.0)
+        m = m / (1.0 if normalised else w.sum())
         done = max(np.abs(m - mu).max(), np.abs(s - sigma).max() / np.abs(s).max()) < tol
         mu, sigma = m, s
         if done:
@@ -162,41 +169,109 @@ def decay(n: int, half_life: float) -> np.ndarray:
     return p / p.sum()
 
 
-def var1(levels: DataFrame, half_life: float = 1e9) -> DataFrame:
-    """i, j, b, c: x_t = c + b x_(t - 1) by weighted least squares over dates; and radius, the largest modulus of b's eigenvalues
-    (below one: stationary)."""
-
-    def fit(dates: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        p = np.sqrt(decay(len(x) - 1, half_life))[:, None]
-        past = np.c_[np.ones(len(x) - 1), x[:-1]]
-        beta = np.linalg.lstsq(past * p, x[1:] * p, rcond=None)[0]
-        b, c = beta[1:].T, beta[0]
-        i, j = np.indices(b.shape)
-        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "b": b.ravel(), "c": c[i.ravel()], "radius": np.abs(np.linalg.eigvals(b)).max()})
-
-    return in_one(dense(levels), fit, "i int, j int, b double, c double, radius double")
+def weighted(dates: DataFrame, half_life: float) -> DataFrame:
+    """date, p: flexible probabilities of the dates."""
+    return flexible_probabilities(dates, half_life)
+
+
+def var1(levels: DataFrame, half_life: float = 1e9, form: str = "levels") -> DataFrame:
+    """i, j, b, c: y_t = c + b x_(t - 1) by weighted least squares over dates, y being x_t (form levels) or x_t - x_(t - 1) (differences: the
+    error-correction form, b then is that of levels less one); radius, the largest modulus of the eigenvalues of the levels' matrix, and kind:
+    stationary (radius below one), error correction (some direction reverts) or random walk.  i, j number the assets in their order.
+
+    The weighted cross-moments are sums over dates; an n x n system is all that is solved in one place."""
+    if form not in ("levels", "differences"):
+        raise ValueError(f"no form {form}")
+    past = F.lag("r").over(Window.partitionBy("asset").orderBy("date"))
+    both = levels.select("date", "asset", F.col("r").alias("y"), past.alias("x")).filter("x is not null")
+    both = both.join(weighted(both, half_life), "date")
+    other = both.select("date", F.col("asset").alias("other"), F.col("x").alias("x2"))
+    sums = both.join(other, "date").groupBy("asset", "other").agg(
+        F.sum(F.col("p") * F.col("x") * F.col("x2")).alias("xx"), F.sum(F.col("p") * F.col("y") * F.col("x2")).alias("yx"), F.sum(F.col("p") * F.col("x")).alias("mx"), F.sum(F.col("p") * F.col("y")).alias("my"),
+    )
+    rows = sums.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("other", "xx", "yx"))).alias("m"), F.first("mx").alias("mx"), F.first("my").alias("my"))
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("asset", "m", "mx", "my"))).alias("a"))
+    whole = whole.select(
+        F.transform("a", lambda r: F.transform(r["m"], lambda e: e["xx"])).alias("xx"), F.transform("a", lambda r: F.transform(r["m"], lambda e: e["yx"])).alias("yx"),
+        F.transform("a", lambda r: r["mx"]).alias("mx"), F.transform("a", lambda r: r["my"]).alias("my"),
+    )
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.dropna().itertuples(index=False):
+                mx, my = np.array(row.mx), np.array(row.my)
+                xx, yx = np.stack(row.xx) - np.outer(mx, mx), np.stack(row.yx) - np.outer(my, mx)
+                b = yx @ np.linalg.pinv(xx, hermitian=True)
+                c, modulus = my - b @ mx, np.abs(np.linalg.eigvals(b))
+                kind = "stationary" if modulus.max() < 1 else "error correction" if modulus.min() < 1 else "random walk"
+                shown = b - np.eye(len(b)) if form == "differences" else b
+                i, j = np.indices(b.shape)
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "b": shown.ravel(), "c": c[i.ravel()], "radius": modulus.max(), "kind": kind})
+
+    return whole.mapInPandas(solved, "i int, j int, b double, c double, radius double, kind string")
+
+
+def weighted_covariance(levels: DataFrame, half_life: float) -> DataFrame:
+    """assets, cov: the covariances of levels under flexible probabilities, one row."""
+    both = levels.join(weighted(levels, half_life), "date")
+    other = both.select("date", F.col("asset").alias("j"), F.col("r").alias("s"))
+    w = lambda c: F.sum(F.col("p") * c)
+    pairs = both.join(other, "date").groupBy("asset", "j").agg((w(F.col("r") * F.col("s")) - w(F.col("r")) * w(F.col("s"))).alias("c"))
+    rows = pairs.groupBy("asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda e: e["c"]).alias("c"))
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("asset", "c"))).alias("x"))
+    return whole.select(F.col("x.asset").alias("assets"), F.col("x.c").alias("cov"))
 
 
 def cointegration(levels: DataFrame, most: float = 0.99, half_life: float = 1e9) -> DataFrame:
-    """k, loading, beta of each eigenvector of the weighted covariance of levels whose combination follows an AR(1) with |beta| <= most,
-    in ascending order of beta; the loading of largest size is positive."""
-
-    def fit(dates: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        p = decay(len(x), half_life)
-        centred = x - p @ x
-        vectors = np.linalg.eigh(centred.T @ (centred * p[:, None]))[1].T
-        out = []
-        for v in vectors:
-            v = v * np.sign(v[np.abs(v).argmax()])
-            y, w = x @ v, decay(len(x) - 1, half_life)
-            past = y[:-1] - w @ y[:-1]
-            beta = float((w * past) @ (y[1:] - w @ y[1:]) / ((w * past) @ past))
-            if abs(beta) <= most:
-                out.append((beta, v))
-        out.sort(key=lambda e: e[0])
-        return pd.DataFrame([(k, a, b, beta) for k, (beta, v) in enumerate(out) for a, b in enumerate(v)], columns=["k", "asset_index", "loading", "beta"])
-
-    return in_one(dense(levels), fit, "k int, asset_index int, loading double, beta double")
+    """k, asset_index, loading, beta of each eigenvector of the weighted covariance of levels whose combination follows an AR(1) with
+    |beta| <= most, in ascending order of beta; the loading of largest size is positive.  Covariances, combinations and their
+    regressions are sums over dates; only the n x n eigenvectors are found in one place."""
+
+    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if row.cov is not None and len(row.cov):
+                    v = np.linalg.eigh(np.stack(row.cov))[1]
+                    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(len(v))])
+                    n, a = (x.ravel() for x in np.indices(v.shape))
+                    yield pd.DataFrame({"vector": n, "asset_index": a, "asset": [row.assets[i] for i in a], "loading": v.T.ravel()})
+
+    found = staged(weighted_covariance(levels, half_life).mapInPandas(vectors, "vector int, asset_index int, asset string, loading double"), "vectors")
+    mixed = levels.join(F.broadcast(found), "asset").groupBy("vector", "date").agg(F.sum(F.col("loading") * F.col("r")).alias("y"))  # assets x assets rows are sent
+    past = mixed.withColumn("x", F.lag("y").over(Window.partitionBy("vector").orderBy("date"))).filter("x is not null")
+    past = past.join(weighted(past, half_life), "date")
+    w = lambda c: F.sum(F.col("p") * c)
+    x, y = F.col("x"), F.col("y")
+    beta = past.groupBy("vector").agg(((w(x * y) - w(x) * w(y)) / (w(x * x) - w(x) * w(x))).alias("beta")).filter(F.abs("beta") <= most)
+    beta = beta.withColumn("k", F.row_number().over(Window.orderBy("beta", "vector")) - 1)  # one row for each vector
+    return found.join(beta, "vector").select("k", "asset_index", "loading", "beta")
+
+
+def pair_changes(returns: DataFrame, recent: int = 60) -> DataFrame:
+    """i, j, now (correlation over the recent dates), long_run (over all) and rise, i < j."""
+    last = returns.select("date").distinct().orderBy(F.desc("date")).limit(recent).withColumn("new", F.lit(True))
+    r = returns.join(last, "date", "left")
+    other = r.select("date", F.col("asset").alias("j"), F.col("r").alias("s"))
+    g = r.join(other, "date").filter("asset < j").groupBy(F.col("asset").alias("i"), "j").agg(
+        F.corr(F.when(F.col("new"), F.col("r")), F.when(F.col("new"), F.col("s"))).alias("now"), F.corr("r", "s").alias("long_run")
+    )
+    return g.withColumn("rise", F.col("now") - F.col("long_run"))
+
+
+def top_pairs(pairs: DataFrame, k: int = 3, high: float = 0.8, big: float = 0.15) -> DataFrame:
+    """kind (now or rise), place, i, j, now, rise and flag: the k pairs with the highest correlation and the k with the largest rise over the
+    long run; flagged above high, or big."""
+    def best(by: str, bound: float) -> DataFrame:
+        top = pairs.orderBy(F.desc(by), "i", "j").limit(k)
+        return top.select(F.lit(by).alias("kind"), F.row_number().over(Window.orderBy(F.desc(by), "i", "j")).alias("place"), "i", "j", "now", "rise", (F.col(by) > bound).alias("flag"))
+
+    return best("now", high).unionByName(best("rise", big))
+
+
+def normality_votes(returns: DataFrame, jarque_bera: DataFrame) -> DataFrame:
+    """normality() with jb_p (of asset, p) and votes, how many of the three tests don't reject at 5 %."""
+    out = normality(returns).join(jarque_bera.select("asset", F.col("p").alias("jb_p")), "asset")
+    return out.withColumn("votes", sum((F.col(c) > 0.05).cast("int") for c in ("ks_p", "jb_p", "w_p")))
 
 
 def lasso(x: np.ndarray, y: np.ndarray, p: np.ndarray, penalty: float, steps: int = 500) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisand.operators import metrics as m
 from palisand.operators import panel as p
-from palisand.plans.panel import region_prices, table, weights
+from palisand.plans.panel import once, region_prices, stored_panels, table, weights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,9 +40,11 @@ def query(name: str, sql: str | None, doubles: str = "", others: str = "", base:
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).select(*[F.round(c, 6).alias(c) for c in doubles.split()], *others.split())
+            with stored_panels():
+                out = f(spark, sf_dir)
+            return out.select(*[F.round(c, 6).alias(c) for c in doubles.split()], *others.split()) if doubles or others else out
 
-        QUERIES[name] = run if doubles or others else f
+        QUERIES[name] = run
         if sql:
             shown = ", ".join([f"round({c}, 6) as {c}" for c in doubles.split()] + others.split()) or "*"
             ORACLES[name] = (BASE if base else "") + f"select {shown} from ({sql})"
@@ -55,6 +57,11 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.simple_returns(region_prices(spark, sf_dir))
 
 
+def stored_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """returns(), stored, for queries that use them in many places."""
+    return once("returns", lambda: returns(spark, sf_dir))
+
+
 def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.portfolio_returns(returns(spark, sf_dir), weights(spark))
 
@@ -153,9 +160,13 @@ def _(spark, d):
     return region_prices(spark, d).select("asset").distinct().join(names, "asset", "left").withColumn("label", F.coalesce("label", "asset"))
 
 
-@query("proj_short_name", "select asset, case when contains(lower(asset), 'middle') then 'ME' when contains(lower(asset), 'america') then 'AM' else split_part(asset, ' ', 1) end as short from (select distinct asset from prices)", "", "asset short")
+@query("proj_short_name", """select name, case when contains(name, 'Maximum Sharpe') then 'Max Sharpe' when contains(name, 'Maximum Return') then 'Max Return' when contains(name, 'Minimum Volatility') then 'Min Vol'
+  when contains(name, 'Hierarchical Risk Parity') or contains(name, 'HRP') then 'HRP' when contains(name, 'Risk Parity') then 'Risk Parity' when contains(name, 'Equally Weighted') then 'Equal' when contains(name, 'Markowitz') then 'Markowitz'
+  else split_part(name, ' ', 1) end as short from (select r_name || ' ' || s as name from region, (values ('Maximum Sharpe Portfolio'), ('Maximum Return'), ('Minimum Volatility'), ('Hierarchical Risk Parity (HRP)'), ('HRP'), ('Risk Parity'), ('Equally Weighted'), ('Markowitz Mean-Variance'), ('Custom Mix')) v(s))""", "", "name short", base=False)
 def _(spark, d):
-    return region_prices(spark, d).select("asset").distinct().withColumn("short", p.short_name(F.col("asset")))
+    endings = ["Maximum Sharpe Portfolio", "Maximum Return", "Minimum Volatility", "Hierarchical Risk Parity (HRP)", "HRP", "Risk Parity", "Equally Weighted", "Markowitz Mean-Variance", "Custom Mix"]
+    names = table(spark, d, "region").select(F.explode(F.array(*map(F.lit, endings))).alias("s"), "r_name").select(F.concat_ws(" ", "r_name", "s").alias("name"))
+    return names.withColumn("short", p.short_name(F.col("name")))
 
 
 @query("proj_pivot", "select date, max(case when asset = 'ASIA' then price end) as asia, max(case when asset = 'EUROPE' then price end) as europe from prices group by 1", "asia europe", "date")

@@ -10,14 +10,15 @@ from palisand.functions import scalars
 from palisand.operators import backtest as bt
 from palisand.operators import factors, metrics, optimize, rebalance, series
 from palisand.operators import panel as p
-from palisand.plans.catalog import BASE, ORACLES, portfolios, query, returns, tilt_over_equal
-from palisand.plans.panel import region_prices, table, weights
+from palisand.plans.catalog import BASE, ORACLES, portfolios, query, returns, stored_returns, tilt_over_equal
+from palisand.plans.panel import once, region_prices, table, weights
 from palisand.sources import prices as src
+from palisand.storage import staged
 from palisand.streaming.bars import bars
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
-    return p.log_returns(region_prices(spark, d))
+    return once("logs", lambda: p.log_returns(region_prices(spark, d)))
 
 
 # --- portfolio construction
@@ -25,36 +26,37 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("opt_equal", "select distinct 'equal' as strategy, asset, 0.2 as w from rets", "w", "strategy asset")
 def _(spark, d):
-    return optimize.weights(returns(spark, d), ["equal"])
+    return optimize.weights(stored_returns(spark, d), ["equal"])
 
 
 @query("opt_max_return", "select 'max_return' as strategy, asset, (row_number() over (order by avg(r) desc) = 1)::int::double as w from rets group by asset", "w", "strategy asset")
 def _(spark, d):
-    return optimize.weights(returns(spark, d), ["max_return"])
+    return optimize.weights(stored_returns(spark, d), ["max_return"])
 
 
 for _name in ("min_vol", "max_sharpe", "risk_parity", "markowitz", "hrp", "cvar"):
 
     @query(f"opt_{_name}", None, "w", "strategy asset status")
     def _(spark, d, name=_name):
-        return optimize.weights(returns(spark, d), [name])
+        return optimize.weights(stored_returns(spark, d), [name])
 
 
 @query("opt_build_all", None, "ann_return ann_vol sharpe sortino max_drawdown calmar var_5 cvar_5", "strategy")
 def _(spark, d):
-    r = returns(spark, d)
-    return metrics.basic(p.portfolio_returns(r, optimize.weights(r)), 0.02)
+    r = stored_returns(spark, d)
+    w = staged(optimize.weights(r), "weights")
+    return metrics.basic(staged(p.portfolio_returns(r, F.broadcast(w)), "portfolios"), 0.02)  # strategies x assets rows are sent
 
 
 @query("opt_moments", "select a.asset as i, b.asset as j, covar_samp(a.r, b.r) * 252 as c, avg(a.r) * 252 as m from rets a join rets b on a.date = b.date group by 1, 2", "c m", "i j")
 def _(spark, d):
-    m = optimize.moments(returns(spark, d)).select(F.posexplode(F.arrays_zip("assets", "mean", "cov")).alias("k", "x"), "assets")
+    m = optimize.moments(stored_returns(spark, d)).select(F.posexplode(F.arrays_zip("assets", "mean", "cov")).alias("k", "x"), "assets")
     return m.select(F.col("x.assets").alias("i"), F.col("x.mean").alias("m"), F.explode(F.arrays_zip("assets", "x.cov")).alias("y")).select("i", "m", F.col("y.assets").alias("j"), F.col("y.cov").alias("c"))
 
 
-@query("opt_frontier", None, "target ret vol sharpe", "i")
+@query("opt_frontier", None, "target ret vol sharpe", "i status")
 def _(spark, d):
-    return optimize.frontier(returns(spark, d))
+    return optimize.frontier(stored_returns(spark, d))
 
 
 _CLOUD = f"""u as (select id, asset, k, ((x2 * x2 + k) % {optimize.PRIME} + 0.5) / {float(optimize.PRIME)} as u from (select *, (x1 * x1 + {optimize.SHIFT}) % {optimize.PRIME} as x2 from
@@ -69,7 +71,7 @@ cloud as (select id, ret, vol, (ret - 0.02) / vol as sharpe from (select id, sum
 
 @query("opt_random_cloud", None, "ret vol sharpe", "id")
 def _(spark, d):
-    return optimize.random_cloud(spark, returns(spark, d))
+    return optimize.random_cloud(spark, stored_returns(spark, d))
 
 
 ORACLES["opt_random_cloud"] = BASE + ", " + _CLOUD + "select id, round(ret, 6) as ret, round(vol, 6) as vol, round(sharpe, 6) as sharpe from cloud"
@@ -77,7 +79,7 @@ ORACLES["opt_random_cloud"] = BASE + ", " + _CLOUD + "select id, round(ret, 6) a
 
 @query("frontier_buckets", None, "ret vol", "bucket")
 def _(spark, d):
-    return optimize.risk_buckets(optimize.random_cloud(spark, returns(spark, d)))
+    return optimize.risk_buckets(optimize.random_cloud(spark, stored_returns(spark, d)))
 
 
 ORACLES["frontier_buckets"] = BASE + ", " + _CLOUD + """select bucket, round(max(ret), 6) as ret, round(arg_max(vol, ret), 6) as vol from
@@ -86,18 +88,14 @@ ORACLES["frontier_buckets"] = BASE + ", " + _CLOUD + """select bucket, round(max
 
 @query("opt_dendrogram", None, "", "asset place cluster")
 def _(spark, d):
-    return optimize.asset_clusters(returns(spark, d))
+    return optimize.asset_clusters(stored_returns(spark, d))
 
 
 @query("agg_group_cluster", None, "rho w", "cluster n")
 def _(spark, d):
-    r = returns(spark, d)
-    c = optimize.asset_clusters(r).select("asset", "cluster")
-    x = r.join(F.broadcast(c), "asset")
-    y = x.select("date", "cluster", F.col("asset").alias("j"), F.col("r").alias("s"))
-    rho = x.join(y, ["date", "cluster"]).filter("asset < j").groupBy("cluster", "asset", "j").agg(F.corr("r", "s").alias("rho")).groupBy("cluster").agg(F.avg("rho").alias("rho"))
-    w = optimize.weights(r, ["hrp"]).join(c, "asset").groupBy("cluster").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-    return w.join(rho, "cluster", "left")
+    r = stored_returns(spark, d)
+    c = staged(optimize.asset_clusters(r).select("asset", "cluster"), "clusters")
+    return optimize.by_cluster(r, c, staged(optimize.weights(r, ["hrp"]), "weights"))
 
 
 @query("met_cvar_ranking", "select strategy, cvar, row_number() over (order by cvar desc, strategy)::int as place from tails", "cvar", "strategy place")
@@ -136,8 +134,8 @@ _PATH = "select strategy, date, round(net, 6) as net, round(gross, 6) as gross,
 
 
 def calendar_path(spark: SparkSession, d: str) -> DataFrame:
-    r = returns(spark, d)
-    return rebalance.calendar(r, weights(spark), rebalance.schedule(r, "M"))
+    r = stored_returns(spark, d)
+    return once("calendar-path", lambda: rebalance.calendar(r, weights(spark), rebalance.schedule(r, "M")))
 
 
 @query("reb_calendar", None, "net gross turnover", "strategy date")
@@ -148,7 +146,7 @@ def _(spark, d):
 @query("reb_simulate_threshold", None, "net gross turnover", "strategy date")
 def _(spark, d):
     target = weights(spark).groupBy("strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "w"))), lambda x: x["w"]).alias("w"))
-    return rebalance.threshold(optimize.dense(returns(spark, d)).crossJoin(F.broadcast(target)), 0.05)
+    return rebalance.threshold(optimize.dense(stored_returns(spark, d)).crossJoin(F.broadcast(target)), 0.05)
 
 
 @query("reb_metrics", None, "ret_net ret_gross vol_net vol_gross sharpe_net sharpe_gross sortino_net max_drawdown calmar_net turnover turnover_a_year cost_drag", "strategy n_rebalances")
@@ -158,8 +156,15 @@ def _(spark, d):
 
 @query("reb_cost_tables", None, "", "strategy rank_gross rank_net change")
 def _(spark, d):
-    r = returns(spark, d)
-    return rebalance.rank_change(rebalance.costs(rebalance.calendar(r, optimize.weights(r).select("strategy", "asset", "w"), rebalance.schedule(r, "M"))))
+    r = stored_returns(spark, d)
+    w = staged(optimize.weights(r).select("strategy", "asset", "w"), "weights")
+    path = staged(rebalance.calendar(r, w, rebalance.schedule(r, "M")), "paths")
+    return rebalance.rank_change(staged(rebalance.costs(path), "costs"))
+
+
+@query("reb_cost_ranks", None, "", "strategy rank_gross rank_net change")
+def _(spark, d):
+    return rebalance.rank_change(staged(rebalance.costs(calendar_path(spark, d)), "costs"))
 
 
 ORACLES["reb_calendar"] = _walked("month_end", _PATH)
@@ -170,6 +175,8 @@ g as (select strategy, count(*) as n, pow(arg_max(net, date), 252.0 / count(*))
   stddev_samp(case when rn < 0 then rn end) * sqrt(252) as down, min(dd) as mdd, sum(turnover) as t, count(turnover) as k from x group by 1)
 select strategy, round(a, 6) as ret_net, round(b, 6) as ret_gross, round(vn, 6) as vol_net, round(vg, 6) as vol_gross, round((a - 0.02) / vn, 6) as sharpe_net, round((b - 0.02) / vg, 6) as sharpe_gross, round((a - 0.02) / down, 6) as sortino_net,
   round(mdd, 6) as max_drawdown, round(a / abs(mdd), 6) as calmar_net, round(t, 6) as turnover, round(t * 252 / n, 6) as turnover_a_year, round(b - a, 6) as cost_drag, k as n_rebalances from g""")
+ORACLES["reb_cost_ranks"] = ORACLES["reb_metrics"].rpartition("select strategy, round(a, 6)")[0].rstrip() + """, k as (select strategy, (row_number() over (order by (b - 0.02) / vg desc))::int as rank_gross, (row_number() over (order by (a - 0.02) / vn desc))::int as rank_net from g)
+select strategy, rank_gross, rank_net, rank_gross - rank_net as change from k"""
 
 
 # --- time series
@@ -205,9 +212,11 @@ def _(spark, d):
     return series.mlfp(logs(spark, d))
 
 
-@query("ts_var1", None, "b c radius", "i j")
-def _(spark, d):
-    return series.var1(logs(spark, d))
+for _form in ("levels", "differences"):
+
+    @query("ts_var1" if _form == "levels" else f"ts_var1_{_form}", None, "b c radius", "i j kind")
+    def _(spark, d, form=_form):
+        return series.var1(logs(spark, d), form=form)
 
 
 @query("ts_cointegration", None, "loading beta", "k asset_index")
@@ -278,10 +287,23 @@ def _(spark, d):
 
 
 def factor_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    load = factors.loadings(logs(spark, d), 3)
-    s = factors.scores(logs(spark, d), load)
-    ou = factors.mean_reversion(s)
-    return load, s, ou, factors.z_scores(s, ou)
+    load = once("loadings", lambda: factors.loadings(logs(spark, d), 3))
+    return with_loadings(spark, d, load)
+
+
+def with_loadings(spark: SparkSession, d: str, load: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """loadings, scores, their mean reversion and z-scores, each stored."""
+    s = once("scores", lambda: factors.scores(logs(spark, d), load))
+    ou = once("reversion", lambda: factors.mean_reversion(s))
+    return load, s, ou, once("z-scores", lambda: factors.z_scores(s, ou))
+
+
+def stability(load: DataFrame, ou: DataFrame, z: DataFrame) -> DataFrame:
+    """score and its label, from loadings (the first factor's share), mean reversion and z-scores."""
+    first = load.filter("pc = 1").agg(F.first("share").alias("share"))
+    state = ou.join(z, "pc").agg(F.avg(F.col("beta").between(0, 0.99).cast("double")).alias("part"), F.median("half_life").alias("half_life"), F.coalesce(F.avg("divergence"), F.lit(0.0)).alias("divergence"))
+    out = state.crossJoin(F.broadcast(first)).select(scalars.stability_score(F.col("part"), F.col("half_life"), F.col("share"), F.col("divergence")).alias("score"))  # one row each
+    return out.withColumn("label", scalars.label(F.col("score"), scalars.SCORE))
 
 
 @query("fac_scores_cum", None, "score cum", "pc date")
@@ -310,10 +332,7 @@ def _(spark, d):
 @query("fac_stability", None, "score", "label")
 def _(spark, d):
     load, _, ou, z = factor_state(spark, d)
-    first = load.filter("pc = 1").agg(F.first("share").alias("share"))
-    state = ou.join(z, "pc").agg(F.avg(F.col("beta").between(0, 0.99).cast("double")).alias("part"), F.median("half_life").alias("half_life"), F.coalesce(F.avg("divergence"), F.lit(0.0)).alias("divergence"))
-    out = state.crossJoin(F.broadcast(first)).select(scalars.stability_score(F.col("part"), F.col("half_life"), F.col("share"), F.col("divergence")).alias("score"))
-    return out.withColumn("label", scalars.label(F.col("score"), scalars.SCORE))
+    return stability(load, ou, z)
 
 
 @query("fac_hmm", None, "p stay p_next", "date regime")
@@ -327,7 +346,7 @@ CONFIG = bt.Config(window=104, n_components=3, z_entry=1.0)
 
 
 def engine(spark: SparkSession, d: str) -> DataFrame:
-    return bt.run(spark, logs(spark, d), [CONFIG])
+    return once("engine", lambda: bt.run(spark, logs(spark, d), [CONFIG]))
 
 
 @query("bt_pca_ou", None, "r b turnover cost", "run_id date regime traded")
@@ -369,7 +388,7 @@ def _(spark, d):
 
 @query("bt_walk_forward", None, "sharpe_train sharpe_test stability", "strategy")
 def _(spark, d):
-    return bt.walk_forward(returns(spark, d))
+    return bt.walk_forward(stored_returns(spark, d))
 
 
 _SPLITS = """sp as (select c.s as split_id, d.date, case when fold in (a, b) then 'test' when i >= e and i < e + floor(n * 0.01) then 'embargo' else 'train' end as role
@@ -379,7 +398,7 @@ _SPLITS = """sp as (select c.s as split_id, d.date, case when fold in (a, b) the
 
 @query("bt_cpcv_splits", None, "", "split_id date role")
 def _(spark, d):
-    return bt.splits(returns(spark, d))
+    return bt.splits(stored_returns(spark, d))
 
 
 ORACLES["bt_cpcv_splits"] = BASE + ", " + _SPLITS + " select split_id::int as split_id, date, role from sp where role <> 'embargo'"
@@ -387,7 +406,8 @@ ORACLES["bt_cpcv_splits"] = BASE + ", " + _SPLITS + " select split_id::int as sp
 
 @query("bt_cpcv_equal", None, "sharpe win_rate", "method split_id role")
 def _(spark, d):
-    return bt.cross_validated(returns(spark, d), bt.splits(returns(spark, d)), ["equal"])
+    r = stored_returns(spark, d)
+    return bt.cross_validated(r, bt.splits(r), ["equal"])
 
 
 ORACLES["bt_cpcv_equal"] = BASE + ", " + _SPLITS + """ select 'equal' as method, split_id::int as split_id, role, round((avg(r) * 252 - 0.02) / (stddev_samp(r) * sqrt(252)), 6) as sharpe, round(avg((r > 0)::int), 6) as win_rate
@@ -395,7 +415,8 @@ ORACLES["bt_cpcv_equal"] = BASE + ", " + _SPLITS + """ select 'equal' as method,
 
 
 def validated(spark: SparkSession, d: str) -> DataFrame:
-    return bt.cross_validated(returns(spark, d), bt.splits(returns(spark, d)))
+    r = stored_returns(spark, d)
+    return once("validated", lambda: bt.cross_validated(r, bt.splits(r)))
 
 
 @query("bt_cpcv", None, "sharpe sortino calmar max_drawdown_abs cvar_95 win_rate", "method split_id role")

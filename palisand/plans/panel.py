@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisand.operators import panel as ops
+from palisand.storage import staged
+
+_STORED: ContextVar[dict | None] = ContextVar("stored", default=None)
+
+
+@contextmanager
+def stored_panels() -> Iterator[None]:
+    """While a query is put together, each panel it uses is made once, stored, and read from there."""
+    token = _STORED.set({})
+    try:
+        yield
+    finally:
+        _STORED.reset(token)
+
+
+def once(name: str, make: Callable[[], DataFrame], store: bool = True) -> DataFrame:
+    """make()'s table, the same one whenever the query asks again."""
+    known = _STORED.get()
+    if known is None:
+        known = {}
+    if name not in known:
+        known[name] = staged(make(), name) if store else make()
+    return known[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +43,12 @@ def region_prices(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     """Average unit price by region and week (or day, month) on the dates that all regions have.
 
     Sales are summed per supplier before the three small joins, so one shuffle carries
-    (suppliers x dates) rows, not sales."""
+    (suppliers x dates) rows, not sales.  The panel is stored: sales are scanned once, whatever is asked of it."""
+    prices = once(f"prices-{bucket}", lambda: _average_prices(spark, sf_dir, bucket))
+    return once(f"complete-{bucket}", lambda: ops.complete_dates(prices), store=False)
+
+
+def _average_prices(spark: SparkSession, sf_dir: str, bucket: str) -> DataFrame:
     sales = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.date_trunc(bucket, "l_shipdate").cast("date").alias("date"), "l_suppkey")
@@ -28,8 +60,7 @@ def region_prices(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", F.col("r_name").alias("asset"))
     )
-    prices = sales.join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("date", "asset").agg((F.sum("value") / F.sum("quantity")).alias("price"))
-    return ops.complete_dates(prices)
+    return sales.join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("date", "asset").agg((F.sum("value") / F.sum("quantity")).alias("price"))
 
 
 def weights(spark: SparkSession) -> DataFrame:

@@ -64,6 +64,16 @@ def preferred_close(quotes: DataFrame) -> DataFrame:
     return df.join(df.groupBy("asset").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DATES), "asset", "left_semi")
 
 
+def benchmark(prices: DataFrame, asset: str) -> DataFrame:
+    """date, r: the simple returns of one asset."""
+    return panel.simple_returns(prices.filter(F.col("asset") == asset)).select("date", "r")
+
+
+def default_end() -> Column:
+    """The last date that is asked for where none is given: yesterday."""
+    return F.date_sub(F.current_date(), 1)
+
+
 def export(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
     """One folder for each table (prices, returns, weights, metrics, frontier)."""
     for name, df in tables.items():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisand.functions import distributions as dist
 from palisand.operators import backtest, factors, metrics, optimize, panel, rebalance, series
-from palisand.sources import prices
+from palisand.sources import prices, quotes
 
 
 def days(n: int) -> list[dt.date]:
@@ -275,6 +275,70 @@ def test_splits_embargo_and_overfitting(spark):
     assert got["n_splits"] == 2 and got["pbo"] == 0.5  # a tie ranks in the middle
 
 
+def test_splits_and_their_parts_must_be_long_enough(spark):
+    with pytest.raises(ValueError):
+        backtest.splits(long(spark, sample(99)), 5)
+    assert backtest.splits(long(spark, sample(110)), 5, 3).count() == 0  # 44 training dates
+    assert backtest.splits(long(spark, sample(100)), 5, 2).select("split_id").distinct().count() == 10
+
+
+def test_assets_without_variance():
+    flat = np.zeros((4, 4))
+    assert np.allclose(optimize.hrp(np.zeros(4), flat, 0.0), 0.25)
+
+
+def test_frontier_says_how_each_target_ended(spark, problem):
+    got = optimize.frontier(long(spark, problem[0]), 5).toPandas()
+    assert len(got) == 5 and (got["status"] == "ok").all()
+
+
+def test_forms_of_a_vector_model_agree_with_least_squares(spark):
+    x = sample(200, 3).cumsum(axis=0)
+    past = np.c_[np.ones(199), x[:-1]]
+    want = np.linalg.lstsq(past, x[1:], rcond=None)[0]
+    got = series.var1(long(spark, x)).toPandas().sort_values(["i", "j"])
+    assert np.allclose(got["b"].to_numpy().reshape(3, 3), want[1:].T, atol=1e-5) and np.allclose(got["c"].to_numpy()[::3], want[0], atol=1e-5)
+    diff = series.var1(long(spark, x), form="differences").toPandas().sort_values(["i", "j"])
+    assert np.allclose(diff["b"].to_numpy().reshape(3, 3), want[1:].T - np.eye(3), atol=1e-5)
+    with pytest.raises(ValueError):
+        series.var1(long(spark, x), form="else")
+
+
+def test_garch_of_a_flat_series_is_standardised(spark):
+    got = series.garch(long(spark, np.zeros((40, 1)))).toPandas()
+    assert (got["z"] == 0).all() and (got["alpha"] == 0).all()
+
+
+def test_votes_for_normality(spark):
+    rng = np.random.default_rng(1)
+    r = long(spark, np.c_[rng.normal(size=400), rng.standard_t(2, 400)])
+    jb = metrics.moments(r.withColumnRenamed("asset", "strategy")).select(F.col("strategy").alias("asset"), "p")
+    votes = {x["asset"]: x["votes"] for x in series.normality_votes(r, jb).collect()}
+    assert votes == {"A0": 3, "A1": 0}
+
+
+def test_quotes_behind_a_url(spark, tmp_path):
+    dates = days(40)
+    (tmp_path / "AAA.csv").write_text("Date,Open,Adj Close,Close\n" + "".join(f"{d},1,2,{i}\n" for i, d in enumerate(dates)))
+    (tmp_path / "BBB.csv").write_text("Date,X Close\n" + "".join(f"{d} 00:00:00,{i}\n" for i, d in enumerate(dates)))
+    (tmp_path / "CCC.csv").write_text("Date,Close\n2020-01-01,3\n")
+    spark.dataSource.register(quotes.QuoteSource)
+    read = spark.read.format("quotes").option("url", f"file://{tmp_path}/{{symbol}}.csv")
+    got = read.option("symbols", "aaa, BBB,CCC,DDD,AAA").load().groupBy("asset").agg(F.count("*").alias("n"), F.max("price").alias("p")).collect()
+    assert sorted(map(tuple, got)) == [("AAA", 40, 39.0), ("BBB", 40, 39.0)]
+    assert quotes.price_column(["Date", "Adj Close"]) == 1
+    with pytest.raises(ValueError):
+        quotes.parsed("Date,Open\n2020-01-01,1\n")
+
+
+def test_sales_are_scanned_once(spark):
+    from palisand.plans import catalog
+
+    for name in ("met_basic", "fac_stability", "reb_cost_tables"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "lineitem" not in plan  # it reads the stored panel
+
+
 def test_bootstrap_is_repeatable(spark):
     s = one(spark, sample(120, 1)[:, 0].tolist())
     a, b = (backtest.bootstrap(spark, s, np.mean, 200, seed=7).first() for _ in range(2))
