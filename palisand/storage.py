@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 LOOKUP, SALTS = 1_000_000, 16
 #: Whether a query's shuffle files go when it ends.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that staged() has written since finished() began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +51,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back: what follows neither
     repeats its work nor depends on executors that may be lost."""
     path = new_folder(df.sparkSession, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s table, staged; the tables that it staged on the way are removed, so make must hand none of them out."""
+    token = _MADE.set([])
+    try:
+        df = make()
+        made = list(_MADE.get() or [])
+    finally:
+        _MADE.reset(token)
+    out = staged(df, name)
+    for path in made:
+        removed(df.sparkSession, path)
+    return out
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder on any file system that Spark knows."""
     jvm = spark._jvm
