@@ -189,6 +189,14 @@ def score(docs: DataFrame, machine: Machine, keep: Sequence[str] = (), metadata:
             p = probability(_logits(sent.value, made)) if made else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p, type=pa.float64())], [*kept, "score"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
     given = docs.select(*kept, F.col("text").alias("_text"), *[c.cast("string").alias(f"_m_{k}") for k, c in metadata.items()])
-    return given.mapInArrow(run, f"{kinds}, score double")
+    return given.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
+    """The rows of docs, all their columns, whose score is least or more."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("doc"))  # whatever the columns of docs are called
+    return score(whole, machine, keep=["doc"]).filter(F.col("score") >= least).select("doc.*")

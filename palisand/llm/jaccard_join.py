@@ -20,11 +20,17 @@ shingle before it: where two sets have the same one, an earlier list has them bo
 Lists of up to LONG sets make their pairs.  In longer ones, which come from groups of near copies, each set
 meets the list's hubs only: of its own and the neighbouring size ranges, the sets of least hash, by two hashes
 (the same in all lists of a group, so that a pair is made once).  What is linked so far is joined into components.
-Then only sets of different components still meet, in tiles of TILE sets: first each set of a tile meets the BEST others that the
-bound below ranks highest (in a star of copies, its centre), and with what that has linked, all that are still apart.
+Then only sets of different components still meet, in tiles of TILE sets.  A tile with more than MANY pairs for each of its sets that may
+be linked makes at first, for each set, the BEST pairs that the bound below ranks highest (in a star of copies, those with its
+centre); with what these have linked, it then makes all that are still apart.
 Lists of a shingle that more than SPLIT documents hold are dealt by set to several tasks, with the sets of least hash
 in each of them, so the parts have common hubs; their sets meet across parts in the tiles.
 
+Checks.  Each candidate pair must pass a bound by the counts of its shingles in
+SIGN hash buckets (the sum of the lesser counts bounds the overlap); for those that do the sets are made
+from the texts once more, bounded by counts in about as many buckets as they have shingles (an eighth of the bytes), and what is left
+is compared in full.  Of the first pairs, each set's most likely one is compared first; those that are linked by then needn't be.
+
 Cases: null and empty texts, and texts without words, have size 0, no links, and are their own component;
 texts of fewer than five words are one shingle, so they link with equal word
 sequences only; repeated rows are equal sets and link (a row is a document); null doc_id
@@ -42,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisand.llm.components import components
-from palisand.llm.shared import looked_up, released, staged
+from palisand.llm.shared import finished, looked_up, released, staged
 
 N = 5
 #: Frequent shingles that the order knows by name (16 bytes each are sent to tasks); least count of them.
@@ -51,8 +57,8 @@ HEAVY, HEAVY_FROM = 200_000, 20
 AT_ONCE, LOCAL_FROM = 4_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
 LONG, TILE, BUCKET = 4, 2048, 400_000
-#: Partners that a set of a tile meets at first.
-BEST = 2
+#: Partners that a set of a crowded tile meets at first; pairs for each set from which a tile is crowded.
+BEST, MANY = 2, 2
 #: Documents with a shingle beyond which its list is dealt to several tasks; hubs that all of them see.
 SPLIT, HUBS = 50_000, 64
 #: Hash buckets of the bound; size from which it isn't used.
@@ -352,7 +358,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
-    """Pairs of sets of a long list that are in different components and pass both bounds; of each set's pairs in a tile the best ones only."""
+    """Pairs (sid, other) of sets of a long list that are in different components and pass both bounds.  With best, a crowded tile makes the
+    best pairs of each set only and a row with its list's key."""
     named = parts.select(F.col("node").alias("sid"), F.col("component").alias("part"))
     found = looked_up(longs, named, "sid", "left", F.col("key")).withColumn("part", F.coalesce("part", "sid"))
     sums = staged(found.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key", "size"), "list-sizes")
@@ -360,6 +367,7 @@ def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame, best: in
     tiles = F.ceil(F.col("size") / TILE)
     found = found.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     found = found.select("key", F.least("tile", "to").alias("t0"), F.greatest("tile", "to").alias("t1"), "tile", "sid", "n", "at", "before", "part", "sign")
+    many = MANY
 
     def run(key, rows):
         import pyarrow as pa
@@ -367,21 +375,38 @@ def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame, best: in
         t0, t1 = key[1].as_py(), key[2].as_py()
         tile, sid, n, at, before, part = (rows[c].to_numpy() for c in ("tile", "sid", "n", "at", "before", "part"))
         sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint8).reshape(-1, SIGN)
-        a, b = [], []
+        met: list[tuple[int, np.ndarray, np.ndarray]] = []
         right = np.flatnonzero(tile == t1)
         for i in np.flatnonzero(tile == t0).tolist():
             j = right[(part[right] != part[i]) & (before[right] != before[i]) & ((t0 != t1) | (sid[right] > sid[i]))]
             j = j[_possible(n[j], at[j], n[i], at[i])]
             common = 9 * np.minimum(sign[j], sign[i]).sum(axis=1, dtype=np.int64)
             ok = (common >= 4 * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= WIDE)
-            j = j[ok]
-            if best and len(j) > best:
-                j = j[np.argsort(-common[ok] / (n[j] + n[i]), kind="stable")[:best]]
-            a.extend([int(sid[i])] * len(j))
-            b.extend(sid[j].tolist())
-        return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["sid", "other"])
+            if ok.any():
+                met.append((i, j[ok], common[ok] / (n[j[ok]] + n[i])))
+        crowded = best is not None and sum(len(j) for _, j, _ in met) > many * len(sid)
+        if crowded:
+            met = [(i, j[np.argsort(-rank, kind="stable")[:best]], rank) for i, j, rank in met]
+        a = np.repeat(sid[[i for i, _, _ in met]], [len(j) for _, j, _ in met]) if met else np.empty(0, dtype=np.int64)
+        b = sid[np.concatenate([j for _, j, _ in met])] if met else a
+        extra = 1 if crowded else 0
+        columns = [a.tolist() + [None] * extra, b.tolist() + [None] * extra, [None] * len(a) + [key[0].as_py()] * extra]
+        return pa.table([pa.array(c, type=pa.int64()) for c in columns], names=["sid", "other", "key"])
+
+    return found.groupBy("key", "t0", "t1").applyInArrow(run, "sid long, other long, key long")
+
+
+def fine(s: np.ndarray) -> bytes:
+    """As signature, in half as many to as many buckets as there are shingles (a power of two); of over 255 in one, all 255."""
+    size = max(64, 1 << (len(s).bit_length() - 1))
+    count = np.bincount((s >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size)
+    return (count if count.max() < 256 else np.full(size, 255)).astype(np.uint8).tobytes()
+
 
-    return found.groupBy("key", "t0", "t1").applyInArrow(run, "sid long, other long")
+def fine_bound(x: bytes, y: bytes) -> int:
+    """The most that two sets can share, by their fine signatures; the longer is folded to the shorter's buckets."""
+    f, g = (np.frombuffer(z, dtype=np.uint8) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    return int(np.minimum(f, g.reshape(-1, len(f)).sum(axis=0, dtype=np.int64)).sum(dtype=np.int64))
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -402,8 +427,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets, made from the texts, are similar enough."""
+def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged: a, b and score of the pairs that pass the finer bound, and sid and s of the sets they are made of."""
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = staged(classes.join(wanted, "sid", "left_semi").select("row").distinct(), "wanted")
@@ -414,17 +439,34 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
         done: set[int] = set()
         for b in batches:
-            rows: list[list] = [[], []]
+            rows: list[list] = [[], [], [], []]
             for text in b.column(0).to_pylist():
                 s = shingles(text)
                 if (sid := set_id(s)) not in done:
                     done.add(sid)
-                    rows[0].append(sid)
-                    rows[1].append(s.tobytes())
-            yield _batches(rows, ["sid", "s"], [pa.int64(), pa.binary()])
+                    for column, x in zip(rows, (sid, len(s), fine(s), s.tobytes()), strict=True):
+                        column.append(x)
+            yield _batches(rows, ["sid", "n", "f", "s"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    sets = staged(picked.mapInArrow(made, "sid long, n long, f binary, s binary"), "sets")
+
+    def bounded(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            most = np.array([fine_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            both = b.column(2).to_numpy() + b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(most / np.maximum(both, 1))], ["a", "b", "score"]).filter(pa.array(9 * most >= 4 * both))
 
-    sets = staged(picked.mapInArrow(made, "sid long, s binary"), "sets")
-    single = sets.dropDuplicates(["sid"])
+    brief = sets.select("sid", "n", "f").dropDuplicates(["sid"])
+    side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("f").alias(f"f_{c}"))
+    near = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(bounded, "a long, b long, score double"), "near-pairs")
+    released(pairs, wanted)
+    return near, sets.select("sid", "s")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, staged."""
 
     def compared(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -437,10 +479,22 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= 80 * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
+    needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    single = sets.join(needed, "sid", "left_semi").dropDuplicates(["sid"])
     side = lambda c: single.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
-    links = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
-    released(pairs, wanted, sets)
-    return links
+    return staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
+
+
+def _joined(links: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Components of links and of the components so far, which are links enough of what was linked before."""
+    return components(links if parts is None else links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    for c in ("a", "b"):
+        pairs = looked_up(pairs, parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left", F.struct("a", "b"))
+    return pairs.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -456,6 +510,12 @@ def _placed(docs: DataFrame) -> DataFrame:
     small = boundary(sizes, total[1] / max(total[0], 1))
     n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total[0] // 4 // BUCKET)
 
+    groups = finished("groups", lambda: _groups(docs, documents, order, small, n_buckets))
+    return looked_up(documents.select("doc_id", "row", "sid", "n"), groups, "sid", "left", F.col("row"))
+
+
+def _groups(docs: DataFrame, documents: DataFrame, order, small: int, n_buckets: int) -> DataFrame:
+    """sid, component and keeper of the classes that have several documents or links."""
     # a class: its first document in two orders, and what all its documents have in common
     classes = documents.filter("n > 0").groupBy("sid").agg(
         F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("keeper"), F.min(F.struct("row", "n", "sign")).alias("set")
@@ -464,20 +524,25 @@ def _placed(docs: DataFrame) -> DataFrame:
     sets = classes.filter("n > 1").select("sid", "row", "n", "sign")
     found = staged(_from_lists(_bucketed(docs, order, small, n_buckets), n_buckets), "candidates")
     longs = found.filter("kind = 'long'").select("key", "sid", "n", "at", "before")
-    links = _linked(docs, sets, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other")), sets))
-    parts = components(links)
-    for best in (BEST, None) if not longs.isEmpty() else ():
-        more = _linked(docs, sets, _ordered(_met_across(longs, parts, sets, best)))
-        if not more.isEmpty():
-            # the components so far are links enough of what was linked before
-            links, parts = more, components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    near, made = _near(docs, sets, _bounded(_ordered(found.filter("kind = 'pair'").select("sid", "other")), sets))
+    likely = near.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select("a", "b")
+    parts = _joined(_linked(likely, made), None)
+    rest = staged(_apart(near.join(likely, ["a", "b"], "left_anti"), parts), "other-pairs")
+    released(near, made)
+    across = staged(_met_across(longs, parts, sets, BEST), "across")
+    near, made = _near(docs, sets, _ordered(across.filter("sid is not null").select("sid", "other")).unionByName(rest).distinct())
+    parts = _joined(_linked(near.select("a", "b"), made), parts)
+    released(near, made, rest)
+    crowded = staged(across.filter("key is not null").select("key").distinct(), "crowded-lists")
+    if not crowded.isEmpty():
+        again = _met_across(looked_up(longs, crowded, "key", "left_semi", F.col("sid")), parts, sets, None)
+        near, made = _near(docs, sets, _ordered(again.select("sid", "other")))
+        parts = _joined(_linked(near.select("a", "b"), made), parts)
     parts = parts.select(F.col("node").alias("sid"), "component")
     groups = classes.select("sid", "size", "keeper").join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     firsts = groups.groupBy("component").agg(F.min("keeper").alias("keeper"), F.sum("size").alias("size")).filter("size > 1")
     firsts = staged(firsts.select("component", "keeper"), "firsts")
-    groups = staged(looked_up(groups.select("sid", "component"), firsts, "component", "inner", F.col("sid")), "groups")
-    released(classes, found, firsts)
-    return looked_up(documents.select("doc_id", "row", "sid", "n"), groups, "sid", "left", F.col("row"))
+    return looked_up(groups.select("sid", "component"), firsts, "component", "inner", F.col("sid"))
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import one_thread, staged
+from palisand.llm.shared import one_thread, released, staged
 
 #: Words whose values are sent to all tasks (about 40 bytes each).
 HEAD = 200_000
@@ -46,7 +46,7 @@ HEAD = 200_000
 AT_ONCE = 300_000
 #: Rounds of re-estimation; the lattice's weights to choose from, in tokens; characters that are worked on at a time; tasks that
 #: words are dealt to, per shuffle partition.
-ROUNDS, WEIGHTS, AT_A_TIME, DEALT = 3, [10.0 ** (k / 2) for k in range(2, 17)], 40_000, 2
+ROUNDS, WEIGHTS, AT_A_TIME, DEALT = 2, [10.0 ** (k / 2) for k in range(2, 17)], 40_000, 2
 MARK = "▁"
 #: A word that no text holds: the end.
 END = b""
@@ -281,6 +281,7 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     v, tasks = read_vocabulary(path), DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     logs, _ = estimated(counts.filter("c > 0").repartition(tasks, "word"), v)
     plain = staged(scored_words(counts.repartition(tasks, "word"), v, logs), "word-lattices")
+    released(counts)
     words = plain.withColumn("p", token_score(total, lattice_weight(plain, total)))
     base = math.log10(total + distinct + 1)
     head = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import SPACES, ascii_lower, looked_up, row_key, staged
+from palisand.llm.shared import SPACES, ascii_lower, finished, looked_up, row_key, staged
 
 #: Documents in which a key must be found for its lines to go.
 MIN_DOCS = 10
@@ -52,18 +52,23 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return looked_up(places, frequent, ["h1", "h2"], "inner", F.col("k1")).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, lang, source, n_lines, n_dropped and the remaining text of every row."""
-    keyed = docs.select("doc_id", "text", "lang", "source", *row_key("doc_id", "text"))
-    df = looked_up(keyed, staged(dropped_positions(docs, min_docs), "dropped-lines"), ["k1", "k2"], "left", most=FEW)
-    df = df.withColumn("_lines", split_lines(F.col("text"))).withColumn("_drop", F.coalesce("drop", F.array().cast("array<int>")))
+def _thinned(docs: DataFrame, min_docs: int) -> DataFrame:
+    """doc (a struct of the row, whatever its columns are called), n_lines, n_dropped and text, the remaining lines."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("text").alias("_text"), *row_key("doc_id", "text"))
+    df = looked_up(keyed, finished("dropped-lines", lambda: dropped_positions(docs, min_docs)), ["k1", "k2"], "left", most=FEW)
+    df = df.withColumn("_lines", split_lines(F.col("_text"))).withColumn("_drop", F.coalesce("drop", F.array().cast("array<int>")))
     df = df.withColumn("_keep", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"))
-    kept = F.when(F.size("_drop") == 0, F.coalesce("text", F.lit(""))).otherwise(
+    kept = F.when(F.size("_drop") == 0, F.coalesce("_text", F.lit(""))).otherwise(
         F.array_join(F.transform("_keep", lambda i: F.coalesce(F.get("_lines", i), F.get("_lines", i))), "\n")
     )
-    return df.select(
-        "doc_id", "lang", "source",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_drop").cast("long").alias("n_dropped"),
-        kept.alias("text"),
-    )
+    return df.select("doc", F.size("_lines").cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"), kept.alias("text"))
+
+
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, lang, source, n_lines, n_dropped and the remaining text of every row."""
+    return _thinned(docs, min_docs).select("doc.doc_id", "doc.lang", "doc.source", "n_lines", "n_dropped", "text")
+
+
+def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, all their columns, with the remaining text."""
+    return _thinned(docs, min_docs).select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])

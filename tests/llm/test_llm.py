@@ -94,6 +94,41 @@ def test_quality_rules_drop_outliers_only(spark):
     assert not any(kept[i] for i in range(600, 610)) and sum(kept[i] for i in kept if i is not None and i < 600) >= 597
 
 
+def test_topk_ties_across_shards_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD", 7)
+    monkeypatch.setattr(topk_search, "TILE", 3)
+    monkeypatch.setattr(topk_search, "FAN_IN", 2)
+    rows = [(i, [float(i % 3), 1.0]) for i in range(60)]
+    table = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), 1)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.topk(table, table.filter("vec_id % 10 = 0"), 5).collect()}
+    want = {}
+    for q in range(0, 60, 10):
+        best = sorted((-(q % 3) * (i % 3) - 1, i) for i in range(60) if i != q)[:5]
+        want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_ids_that_are_strings(spark):
+    docs = documents(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    n = docs.count()
+    assert packing.pack(staged(packing.pieces(docs, JSON, 2).drop("ids"), "t")).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert bpe_codec.decode(bpe_codec.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).count() == n
+    folder = new_folder(spark, "test")
+    token_store.write(docs, JSON, folder, 0)
+    rows = token_store.checksums(spark, folder).orderBy("start").collect()
+    assert len(rows) == n and [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x or ""))
+    machine = fm_classifier.train(docs, docs.select("doc_id", F.lit(1).alias("label")))
+    assert fm_classifier.score(docs, machine).count() == n
+    assert jaccard_join.join(docs).count() == n and line_dedup.dedup(docs).count() == n
+
+
+def test_repeated_ids_teach_the_same_machine(spark):
+    rows = [(i // 2, f"{t} {i}") for i, t in enumerate(PROSE * 2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, label int")
+    one, two = (fm_classifier.train(spark.createDataFrame(x, "doc_id long, text string").repartition(k), labels) for x, k in ((rows, 1), (rows[::-1], 3)))
+    assert np.array_equal(one.linear, two.linear) and np.array_equal(one.factors, two.factors)
+
+
 def test_quality_fences_follow_their_source(spark):
     def fences(means):
         rng = random.Random(2)
@@ -390,6 +425,7 @@ def test_jaccard(spark, monkeypatch, long, split):
     monkeypatch.setattr(jaccard_join, "LONG", long)  # 2: nearly all goes through the long lists
     monkeypatch.setattr(jaccard_join, "SPLIT", split)  # 4: many lists are dealt to several tasks
     monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "MANY", 0 if split == 4 else 2)  # 0: all tiles are crowded
     monkeypatch.setattr(jaccard_join, "TILE", 2048 if long > 2 else 4)
     monkeypatch.setattr(jaccard_join, "LOCAL_FROM", 2)
     monkeypatch.setattr(jaccard_join, "HEAVY_FROM", 2)
@@ -404,6 +440,15 @@ def test_jaccard(spark, monkeypatch, long, split):
     assert jaccard_join.join(empty(spark)).count() == 0
 
 
+def test_fine_signatures_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 5), (70, 70), (300, 250), (2000, 1700), (5000, 400)):
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        s, t = np.unique(pool[:n]), np.unique(np.r_[pool[: n // 2], pool[n : n + m - min(m, n // 2)]])
+        both = len(np.intersect1d(s, t))
+        assert both <= jaccard_join.fine_bound(jaccard_join.fine(s), jaccard_join.fine(t)) <= min(len(s), len(t)) or len(s) < 64
+
+
 def test_jaccard_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert found(queries.op9_jaccard_join(spark, DATA), "doc_id", "n_shingles", "component_id") == brute_components(rows)
@@ -439,6 +484,21 @@ def test_encoders_agree_on_odd_texts(seed):
         assert codec.encode(text).tolist() == plain
 
 
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    good = spark.read.parquet(f"{DATA}/documents.parquet").limit(30)
+    odd = documents(spark).select("doc_id", "text", "lang", "source", "n_chars", F.lit("x").alias("score"), F.lit("y").alias("doc"), F.lit(1).alias("k1"), "row", F.lit(None).cast("string").alias("drop"))
+    docs = odd.unionByName(good.withColumns({"score": F.lit("x"), "doc": F.lit("y"), "k1": F.lit(1), "row": F.lit("clash"), "drop": F.lit(None).cast("string")}))
+    docs = staged(docs.unionByName(docs.limit(5)), "t")
+    for some in (docs, docs.limit(0)):
+        for _, stage in pipeline.STAGES[:-1]:
+            # each stage alone, on all odd rows
+            got = stage(spark, some, DATA)
+            assert got.columns == docs.columns and got.count() <= some.count()
+        assert pipeline.STAGES[-1][1](spark, some, DATA).select("doc_id").distinct().count() == some.select("doc_id").distinct().count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
