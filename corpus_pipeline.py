@@ -1,7 +1,12 @@
 """Corpus pipeline: raw documents in, packed token sequences out.
 
 Each stage takes all that its predecessor kept and calls one operator of
-palisand.llm.  All but the last return the columns of documents.
+palisand.llm.  All but the last return the columns of documents, whichever there are (doc_id, text, lang and source are needed).
+
+Cases: null and empty texts go to the classifier and the rules like any other, which reject them (no word); repeated rows are
+judged alike, and the join keeps one of them; null doc_id, lang and source are values like any other; texts that line dedup empties
+stay as empty documents, link with nothing and are packed as an end id; very long texts are whole; further columns, whatever
+their names, are carried to the end of the fourth stage; an empty table leaves every stage empty.
 """
 
 from __future__ import annotations
@@ -12,30 +17,28 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from palisand.llm import fm_classifier, jaccard_join, line_dedup, packing, quality_rules
 from palisand.llm.queries import quality_machine
-from palisand.llm.shared import staged
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from palisand.llm.shared import finished, released, staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
-    scored = fm_classifier.score(docs, quality_machine(spark, docs, sf_dir), keep=COLUMNS[1:])
-    return scored.filter("score >= 0.7").select(COLUMNS)
+    return fm_classifier.accepted(docs, quality_machine(spark, docs, sf_dir), 0.7)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the adaptive quality rules."""
-    return quality_rules.filtered(docs).select(COLUMNS)
+    return quality_rules.filtered(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten of them or more share."""
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    left = line_dedup.cleaned(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard_join.deduplicated(docs).select(COLUMNS)
+    return jaccard_join.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each stage written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    """STAGES applied to documents, each stage written and read again; what a stage has staged, and what it has read, is then removed."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = finished(name.replace(" ", "-"), lambda: stage(spark, before, sf_dir))  # noqa: B023  called at once
+        if i:
+            released(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
