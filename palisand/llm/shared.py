@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisand.storage import finished, looked_up, new_folder, released, removed, shuffles_freed, staged  # noqa: F401  for the modules of this package
+from palisand.storage import LOOKUP, finished, looked_up, new_folder, released, removed, shuffles_freed, staged  # noqa: F401  for the modules of this package
 
 #: ASCII white space, the only characters that part words and are stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"

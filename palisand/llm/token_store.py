@@ -37,13 +37,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisand.llm.shared import shuffles_freed, staged
+from palisand.llm.shared import looked_up, shuffles_freed, staged
 from palisand.llm.token_ids import encoder
 
 #: Ids that the rolling hash sees; a cut after one in EVERY positions; bounds of a chunk's length.
 WINDOW, EVERY, LEAST, MOST = 4, 256, 64, 2048
 #: Children of a Merkle node.
 FAN_OUT = 1024
+#: References from which a chunk is joined apart; such chunks that are broadcast (a few KB each).
+HOT, SENT = 50_000, 5_000
 #: Ids that are cut at a time, if a document isn't longer.
 AT_ONCE = 500_000
 
@@ -245,7 +247,13 @@ def _references(spark: SparkSession, folder: str) -> DataFrame:
 
 def _streams(spark: SparkSession, folder: str) -> DataFrame:
     """start, name, payload, n of every chunk of every document: a document's rows are together and in order."""
-    found = _references(spark, folder).join(_chunks(spark, folder), "name", "left")
+    references, chunks = staged(_references(spark, folder), "references"), _chunks(spark, folder)
+    found = references.join(chunks, "name", "left")
+    hot = staged(references.groupBy("name").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("name"), "hot-chunks")
+    if not hot.isEmpty():  # no task gets all references to a chunk that very many documents have
+        payloads = staged(looked_up(chunks, hot, "name", "left_semi"), "hot-payloads")
+        start = F.col("start")
+        found = looked_up(references, hot, "name", "left_anti", start).join(chunks, "name", "left").unionByName(looked_up(looked_up(references, hot, "name", "left_semi", start), payloads, "name", "left", start, SENT))
     right = F.when(F.col("stored") == F.col("n"), F.col("payload")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length than its recipe says")).cast("binary"))
     return found.withColumn("payload", right).repartition("start").sortWithinPartitions("start", "at").select("start", "name", "payload", "n")
 

@@ -319,7 +319,7 @@ def test_pieces_never_get_less_likely(spark):
     assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0] + 10
 
 
-def test_token_store(spark):
+def test_token_store(spark, monkeypatch):
     docs, folder = documents(spark), new_folder(spark, "test")
     token_store.write(docs, JSON, folder, 0)
     start, want = 0, []
@@ -329,6 +329,8 @@ def test_token_store(spark):
         start += len(ids)
     assert found(token_store.checksums(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == collections.Counter(want)
     assert {(r.doc_id, r.start, zlib.crc32(bytes(r.ids))) for r in token_store.read_ids(spark, folder).collect()} == {(a, b, d) for a, b, _, d in want}
+    monkeypatch.setattr(token_store, "HOT", 1)  # every repeated chunk is joined apart
+    assert found(token_store.checksums(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == collections.Counter(want)
     stored = spark.read.parquet(f"{folder}/data").filter("kind = 'chunk'")
     assert stored.count() == stored.select("key").distinct().count()
     path = f"{folder}/manifest"
