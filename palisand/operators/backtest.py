@@ -233,6 +233,7 @@ def walk_forward(returns: DataFrame, share: float = 0.7, strategies: Sequence[st
     cut = days.withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row for each date
     sides = staged(returns.join(cut.select("date", (F.col("k") <= last).alias("train")), "date"), "sides")
     w = staged(optimize.weights(sides.filter("train").drop("train"), strategies, rf), "weights")  # strategies x assets rows
+    # what is sent has strategies x assets rows
     port = staged(sides.join(F.broadcast(w), "asset").groupBy("strategy", "train", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r")), "portfolios")
     labelled = port.withColumn("strategy", F.concat_ws("|", F.when(F.col("train"), "in").otherwise("out"), "strategy"))
     s = metrics.basic(labelled, rf).select(F.split("strategy", r"\|")[1].alias("strategy"), F.split("strategy", r"\|")[0].alias("side"), "sharpe")
@@ -315,7 +316,7 @@ def bootstrap(spark: SparkSession, series: DataFrame, metric, resamples: int = 5
     """strategy, point, mean, sd (population), low, high (2.5 and 97.5 %) of metric(array) under resampling in blocks of dates
     (default sqrt(n); 1: single dates).  A row per strategy holds its dates' returns; resamples are dealt to tasks with a seed each."""
     rows = series.groupBy("strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "r"))), lambda e: e["r"]).alias("r"))
-    tasks = spark.range(resamples).withColumnRenamed("id", "k").crossJoin(F.broadcast(rows))
+    tasks = spark.range(resamples).withColumnRenamed("id", "k").crossJoin(F.broadcast(rows))  # strategies x dates numbers, whatever the sales
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
