@@ -53,7 +53,7 @@ _CLASS[[ord(c) for c in "!?"]] = 7
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = zlib.crc32(word) & (BUCKETS - 1)
         return found

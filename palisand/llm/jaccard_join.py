@@ -54,7 +54,7 @@ N = 5
 #: Frequent shingles that the order knows by name (16 bytes each are sent to tasks); least count of them.
 HEAVY, HEAVY_FROM = 200_000, 20
 #: Shingles that a task counts at a time; least count in a task.
-AT_ONCE, LOCAL_FROM = 4_000_000, 5
+AT_ONCE, LOCAL_FROM = 2_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
 LONG, TILE, BUCKET = 4, 2048, 400_000
 #: Partners that a set of a crowded tile meets at first; pairs for each set from which a tile is crowded.
@@ -76,7 +76,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
