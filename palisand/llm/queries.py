@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from palisand.llm import bpe_codec, fm_classifier, jaccard_join, lattice_lm, line_dedup, packing, quality_rules, token_store, topk_search, url_filter
-from palisand.llm.shared import new_folder, staged
+from palisand.llm import bpe_codec, exact_dedup, fill_in_middle, fm_classifier, jaccard_join, lattice_lm, line_dedup, packing, quality_rules, source_audit, token_store, topk_search, url_filter
+from palisand.llm.shared import finished, new_folder, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,37 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come in two deliveries, those with the larger half of the ids first, so that the second meets an index that has the first."""
+    docs, folder = _table(spark, sf_dir, "documents"), new_folder(spark, "digest-index")
+    index = exact_dedup.DigestIndex(spark, "palisand_" + folder.rpartition("-")[2], folder)
+
+    def taken_in() -> DataFrame:
+        rows = exact_dedup.ledger(docs, "all")
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        second = F.coalesce(F.col("doc_id") < F.lit(middle), F.lit(True))
+        for batch in (rows.filter(~second), rows.filter(second)):
+            index.add(batch)
+        return exact_dedup.decisions(rows, index)
+
+    try:
+        return finished("exact-dedup", taken_in)
+    finally:
+        index.drop()
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(_table(spark, sf_dir, "documents"), seed=1)
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op6_lattice_lm, op7_token_store, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_exact_topk, op3_url_filter, op4_best_fit_packing, op5_line_dedup, op6_lattice_lm, op7_token_store, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe, op11_exact_dedup, op12_source_audit, op13_fill_in_middle)
 }
 
 
@@ -175,4 +204,38 @@ select doc_id, count(*)::bigint as n_lines, count(f.key)::bigint as n_dropped, s
 from k left join f on k.key = f.key group by rid, doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op2_exact_topk": _OP2, "op3_url_filter": _OP3, "op5_line_dedup": _OP5}
+_OP11 = """
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last, rid) = 1 as kept, sha256(t) as text_sha256 from d
+"""
+
+_OP12 = r"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+once as (select lang, source, term, rid, count(*) as c from w group by all),
+kept as (select lang, term from once group by all having count(*) >= 10),
+v as (select lang, count(*) as v from kept group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, sum(c) as c from once join kept using (lang, term) group by all),
+n as (select lang, source, coalesce(sum(c), 0) as n from g left join c using (lang, source) group by all),
+p as (select lang, source, term, coalesce(c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c, 0) + 2) // (n + 2 * v)) as p from n join v using (lang) join kept using (lang) left join c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(c) + 2) // (any_value(l.n) + 2 * any_value(v))) as q from p join v using (lang) join (select lang, sum(n) as n from n group by 1) l using (lang) group by lang, term),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x
+    on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from f) where part = 'pair' or rank <= 10
+"""
+
+_OP13 = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select doc_id, t, length(t)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+x as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(p || m || s) as restored_sha256 from x
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op2_exact_topk": _OP2, "op3_url_filter": _OP3, "op5_line_dedup": _OP5, "op11_exact_dedup": _OP11, "op12_source_audit": _OP12, "op13_fill_in_middle": _OP13}
