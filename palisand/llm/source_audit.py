@@ -1,7 +1,7 @@
 """Source divergence audit: how far apart the sources of a language are, and by which terms.
 
-Tasks count terms in byte tries (radix tries: an edge carries the bytes that its subtree shares), one for each language, whose leaves
-count documents, and occurrences for each source.  A trie that grows beyond LEAVES is handed out and begun anew, since tries merge.
+Tasks count terms in byte tries (radix tries: an edge carries eight bytes), one for each language, whose leaves
+count documents, and occurrences for each source.  Tries that grow beyond LEAVES are handed out and begun anew, since tries merge.
 Its leaves are dealt by ranges of their first bytes; each range's leaves are merged in a trie, and a traversal in order of UTF-8 hands
 out the terms that enough documents of the language hold.  A second traversal sums the divergences of pairs of sources and keeps
 each source's best terms: within a traversal terms come in order, so a stable sort settles ties.
@@ -16,9 +16,9 @@ text is split whole, and a term may be as long as it; an empty table gives an em
 
 from __future__ import annotations
 
-import os
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,145 +31,225 @@ MIN_DOCS, SHOWN = 10, 10
 SCALE = 1_000_000_000
 #: Leaves that a task's tries hold before they are handed out; leaves of a range, before merging; terms in a row of the result; bytes
 #: of a leaf that ranges look at; sources up to whose square a task keeps sums.
-LEAVES, RANGE, ROW, HEAD, SQUARE = 300_000, 100_000, 500, 8, 1000
+LEAVES, RANGE, ROW, HEAD, SQUARE = 600_000, 100_000, 500, 8, 1000
+#: Bytes of text that are cut into terms at once; edges of eight bytes on a path.
+SLICE, DEPTH = 8 << 20, 8
 #: What each byte becomes: letters lower case, all other ASCII characters a space.
-TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+TABLE = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
 
-class Node:
-    __slots__ = ("edges", "docs", "counts")
+def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], np.add.reduceat(value[order], first) if len(first) else value[:0]
 
-    def __init__(self) -> None:
-        self.edges: dict[int, list] = {}
-        self.docs, self.counts = 0, None
+
+def eights(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The eight bytes from start on as a number that sorts like them, zeros behind the end; data has eight bytes to spare."""
+    out = np.zeros(len(start), np.uint64)
+    for j in range(8):
+        out = (out << np.uint64(8)) | np.where(j < size, data[start + j], 0).astype(np.uint64)
+    return out
 
 
 class Trie:
-    """Terms as paths of bytes; a leaf has docs and counts by source."""
-
-    def __init__(self) -> None:
-        self.root, self.leaves = Node(), 0
-
-    def leaf(self, term: bytes) -> Node:
-        """The term's leaf, made where there is none."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            edge = node.edges.get(term[at])
-            if edge is None:
-                node.edges[term[at]] = [term[at:], new := Node()]
-                node = new
-                break
-            label = edge[0]
-            if not term.startswith(label, at):  # part the edge where the term leaves it
-                k = len(os.path.commonprefix((label, term[at : at + len(label)])))
-                middle = Node()
-                middle.edges[label[k]] = [label[k:], edge[1]]
-                edge[:] = label[:k], middle
-                label = edge[0]
-            node, at = edge[1], at + len(label)
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
-        return node
-
-    def add(self, term: bytes, docs: int, sources, counts) -> None:
-        leaf = self.leaf(term)
-        leaf.docs += docs
-        known = leaf.counts
-        for s, c in zip(sources, counts):  # noqa: B905
-            known[s] = known.get(s, 0) + c
-
-    def merge(self, other: Trie) -> None:
-        for term, leaf in other.walk():
-            self.add(term, leaf.docs, leaf.counts, leaf.counts.values())
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """Terms in order of their bytes, and their leaves."""
-        stack = [(b"", self.root)]
-        while stack:
-            path, node = stack.pop()
-            if node.counts is not None:
-                yield path, node
-            for first in sorted(node.edges, reverse=True):
-                label, child = node.edges[first]
-                stack.append((path + label, child))
+    """Terms as paths: an edge carries eight bytes (after DEPTH of them, all that is left), and a level's nodes are arrays, in order of parents and
+    then of edges.  A node may end a term and have children.  Terms have no byte 0.
+
+    A trie is made of many strings at once, level by level, and tries merge by being made anew of their terms.  leaf: for each string its
+    leaf, numbered as a traversal in order of bytes meets them."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.parents: list[np.ndarray] = []
+        self.edges: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+        node, ended, alive = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.arange(len(start))
+        while len(alive):
+            depth, at = len(self.edges), start[alive]
+            done, left = 8 * depth, size[alive] - 8 * depth
+            if depth < DEPTH:
+                names, edge = np.unique(eights(data, at + done, left), return_inverse=True)
+            else:
+                tails = np.empty(len(alive), object)
+                tails[:] = [data[i : i + n].tobytes() for i, n in zip((at + done).tolist(), left.tolist())]  # noqa: B905
+                names, edge = np.unique(tails, return_inverse=True)
+            found, own = np.unique(node[alive] * len(names) + edge, return_inverse=True) if depth else (np.arange(len(names)), edge)
+            node[alive], ended[alive] = own, depth
+            self.parents.append(found // len(names))
+            self.edges.append(names[found % len(names)])
+            last = np.zeros(len(found), bool)
+            stops = (left <= 8) | (depth == DEPTH)
+            last[own[stops]] = True
+            self.ends.append(last)
+            alive = alive[~stops]
+        self.first = self._places()
+        self.leaf = np.zeros(len(start), np.int64)
+        for depth, first in enumerate(self.first):
+            here = ended == depth
+            self.leaf[here] = first[node[here]]
+
+    def _places(self) -> list[np.ndarray]:
+        """For each level's nodes the number of leaves before them in the traversal."""
+        sizes: list[np.ndarray] = []
+        for depth in reversed(range(len(self.edges))):
+            below = np.bincount(self.parents[depth + 1], sizes[-1], len(self.edges[depth])).astype(np.int64) if sizes else 0
+            sizes.append(self.ends[depth] + below)
+        first: list[np.ndarray] = []
+        for depth, size in enumerate(reversed(sizes)):
+            parent = self.parents[depth]
+            before = np.cumsum(size) - size
+            eldest = np.maximum.accumulate(np.where(np.r_[True, parent[1:] != parent[:-1]], np.arange(len(parent)), 0))
+            above = first[-1][parent] + self.ends[depth - 1][parent] if depth else 0
+            first.append(above + before - before[eldest])
+        return first
+
+    def __len__(self) -> int:
+        return int(sum(x.sum() for x in self.ends))
+
+    def terms(self) -> list[bytes]:
+        """In order of their bytes: the traversal, a level at a time."""
+        out, prefix = np.empty(len(self), object), np.zeros((1, 0), np.uint8)
+        for depth, edge in enumerate(self.edges):
+            prefix = prefix[self.parents[depth]]
+            last = self.ends[depth]
+            if depth == DEPTH:
+                out[self.first[depth]] = [a.tobytes() + b for a, b in zip(prefix, edge)]  # noqa: B905
+            else:
+                prefix = np.hstack([prefix, edge.astype(">u8").view(np.uint8).reshape(-1, 8)])
+                out[self.first[depth][last]] = prefix[last].view(f"S{prefix.shape[1]}").ravel().tolist()
+        return out.tolist()
+
+
+def _strings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of strings or binaries, and where each begins and how long it is."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if "large" in str(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at[:-1] - at[0], np.diff(at)
+
+
+def _terms_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of a column of texts, and the start, length and row of each term."""
+    raw, start, size = _strings(column)
+    data = TABLE[raw]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = data != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends = ~inside
+    ends[1:] &= inside[:-1]
+    ends[0] = False
+    cut = start[(start > 0) & (start < len(data))]
+    cut = cut[inside[cut] & inside[cut - 1]]  # a text ends in a term, and the next begins with one
+    begins[cut] = ends[cut] = True
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    return data, first, last - first, np.searchsorted(start + size, first, side="right")
+
+
+@dataclass
+class Counted:
+    """Terms in order, their documents, and occurrences by source: count of source (a number in names) for the term of this number."""
+
+    terms: list[bytes]
+    docs: np.ndarray
+    term: np.ndarray
+    source: np.ndarray
+    count: np.ndarray
+
+
+def merged(parts: list[Counted], n_sources: int) -> Counted:
+    """One trie of all terms, its leaf counters summed."""
+    if len(parts) == 1:
+        return parts[0]
+    size = np.fromiter((len(t) for x in parts for t in x.terms), np.int64)
+    data = np.frombuffer(b"".join(t for x in parts for t in x.terms), np.uint8)
+    trie = Trie(data, np.cumsum(size) - size, size)
+    shift = np.cumsum([0] + [len(x.terms) for x in parts])
+    docs = np.zeros(len(trie), np.int64)
+    np.add.at(docs, trie.leaf, np.concatenate([x.docs for x in parts]))
+    owner = trie.leaf[np.concatenate([x.term + s for x, s in zip(parts, shift)])]  # noqa: B905
+    key, count = summed(owner * n_sources + np.concatenate([x.source for x in parts]), np.concatenate([x.count for x in parts]))
+    return Counted(trie.terms(), docs, key // n_sources, key % n_sources, count)
+
+
+def _lists(owner: np.ndarray, n: int) -> np.ndarray:
+    """Where the entries of each of n owners begin, owners being in order, the end last."""
+    return np.searchsorted(owner, np.arange(n + 1))
 
 
 def _counted(batches: Iterator) -> Iterator:
     """Leaves of the tries of a task's documents (lang, source, text)."""
     import pyarrow as pa
 
-    tries: dict[str, Trie] = defaultdict(Trie)
+    names: dict[str, int] = {}
+    held: dict[str, list[Counted]] = defaultdict(list)
 
     def out():
-        for lang, trie in sorted(tries.items()):
-            rows: list = []
-            for term, leaf in trie.walk():
-                rows.append((lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())))
-                if len(rows) == 10_000:
-                    yield _leaf_batch(pa, rows)
-                    rows = []
-            if rows:
-                yield _leaf_batch(pa, rows)
-        tries.clear()
+        known = pa.array(list(names), pa.string())
+        for lang, parts in sorted(held.items()):
+            x = merged(parts, len(names))
+            n = len(x.terms)
+            at = pa.array(_lists(x.term, n), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, v) for v in (known.take(pa.array(x.source)), pa.array(x.count, pa.int64()))]
+            table = pa.Table.from_arrays([pa.array([lang] * n, pa.string()), pa.array(x.terms, pa.binary()), pa.array(x.docs, pa.int64()), *lists], ["lang", "term", "docs", "sources", "counts"])
+            yield from table.to_batches(max_chunksize=20_000)
+        held.clear()
+        names.clear()
 
     for batch in batches:
-        said: dict = defaultdict(Counter)
-        held: dict = defaultdict(Counter)
-        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):  # noqa: B905
-            terms = text.encode().translate(TABLE).split(b" ")
-            said[lang, source].update(terms)
-            held[lang].update(set(terms))
-        for (lang, source), counts in said.items():
-            counts.pop(b"", None)
-            trie = tries[lang]
-            for term, c in counts.items():
-                known = trie.leaf(term).counts
-                known[source] = known.get(source, 0) + c
-        for lang, counts in held.items():
-            counts.pop(b"", None)
-            trie = tries[lang]
-            for term, c in counts.items():
-                trie.leaf(term).docs += c
-        if sum(t.leaves for t in tries.values()) > LEAVES:
-            yield from out()
+        done, upto = 0, np.cumsum(_strings(batch.column(2))[2]) if len(batch) else np.zeros(0)
+        while done < len(batch):
+            end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + SLICE, side="right")))
+            part = batch.slice(done, end - done)
+            done = end
+            data, start, size, row = _terms_of(part.column(2))
+            source = np.array([names.setdefault(s, len(names)) for s in part.column(1).to_pylist()])
+            lang = part.column(0).dictionary_encode()
+            of_row = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = np.flatnonzero(of_row[row] == k)
+                if len(own):
+                    trie = Trie(data, start[own], size[own])
+                    n = len(trie)
+                    docs = np.bincount(np.unique(row[own] * n + trie.leaf) % n, minlength=n)
+                    key, count = np.unique(trie.leaf * len(names) + source[row[own]], return_counts=True)
+                    held[name].append(Counted(trie.terms(), docs, key // len(names), key % len(names), count))
+            if sum(len(x.terms) for parts in held.values() for x in parts) > LEAVES:
+                for name, parts in held.items():
+                    held[name] = [merged(parts, len(names))]
+                if sum(len(x.terms) for parts in held.values() for x in parts) > LEAVES // 2:
+                    yield from out()
     yield from out()
 
 
-def _leaf_batch(pa, rows: list):
-    lang, term, docs, sources, counts = zip(*rows)  # noqa: B905
-    types = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((lang, term, docs, sources, counts), types)], ["lang", "term", "docs", "sources", "counts"])  # noqa: B905
-
-
 def _merged(least: int):
     """Merges the leaves of a range and hands out the terms of at least so many documents, ROW of them in a row, in order."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tries: dict[str, Trie] = defaultdict(Trie)
-        for b in batches:
-            for lang, term, docs, sources, counts in zip(*(b.column(i).to_pylist() for i in range(5))):  # noqa: B905
-                tries[lang].add(term, docs, sources, counts)
+        table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))], ["lang", "term", "docs", "sources", "counts"])])
         types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
-
-        def row(lang, terms, at, sources, counts):
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, terms, at, sources, counts), types)], ["lang", "terms", "at", "sources", "counts"])  # noqa: B905
-
-        for lang, trie in sorted(tries.items()):
-            held: tuple[list, list, list, list] = ([], [], [], [])
-            for term, leaf in trie.walk():
-                if leaf.docs >= least:
-                    held[1].extend([len(held[0])] * len(leaf.counts))
-                    held[0].append(term.decode())
-                    held[2].extend(leaf.counts)
-                    held[3].extend(leaf.counts.values())
-                    if len(held[0]) == ROW:
-                        yield row(lang, *held)
-                        held = ([], [], [], [])
-            if held[0]:
-                yield row(lang, *held)
+        for lang in sorted(table.column("lang").unique().to_pylist()):
+            rows = table.filter(pa.compute.equal(table.column("lang"), lang)).combine_chunks()
+            sources = rows.column("sources").combine_chunks()
+            named = pa.compute.list_flatten(sources).dictionary_encode()
+            owner = np.repeat(np.arange(len(rows)), pa.compute.list_value_length(sources).to_numpy())
+            counts = pa.compute.list_flatten(rows.column("counts").combine_chunks()).to_numpy()
+            own = Counted(rows.column("term").to_pylist(), rows.column("docs").to_numpy(), owner, named.indices.to_numpy().astype(np.int64), counts)
+            none = Counted([], np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3)
+            x, names = merged([own, none], max(1, len(named.dictionary))), named.dictionary
+            number = np.cumsum(x.docs >= least) - 1
+            good = x.docs[x.term] >= least
+            terms = [t.decode() for t, d in zip(x.terms, x.docs.tolist()) if d >= least]  # noqa: B905
+            term, source, count = number[x.term[good]], x.source[good], x.count[good]
+            for a in range(0, len(terms), ROW):
+                i, j = np.searchsorted(term, [a, a + ROW])
+                cells = (lang, terms[a : a + ROW], (term[i:j] - a).tolist(), names.take(pa.array(source[i:j])).to_pylist(), count[i:j].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cells, types)], ["lang", "terms", "at", "sources", "counts"])  # noqa: B905
 
     return run
 

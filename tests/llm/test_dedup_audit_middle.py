@@ -173,7 +173,7 @@ def audited(rows, least=10, shown=10):
 @pytest.mark.parametrize("small", [False, True])
 def test_source_audit(spark, monkeypatch, small):
     if small:  # many flushes, ranges, rows and sums that are handed out one by one
-        for name, value in {"LEAVES": 5, "RANGE": 7, "ROW": 2, "HEAD": 2, "SQUARE": 1, "LOOKUP": 0}.items():
+        for name, value in {"LEAVES": 5, "RANGE": 7, "ROW": 2, "HEAD": 2, "SQUARE": 1, "LOOKUP": 0, "SLICE": 90, "DEPTH": 1}.items():
             monkeypatch.setattr(source_audit, name, value)
     docs = documents(spark)
     got = collections.Counter(map(tuple, source_audit.audit(docs).collect()))
@@ -191,20 +191,41 @@ def test_source_audit_without_kept_terms_and_with_ties(spark):
     assert collections.Counter(map(tuple, source_audit.audit(tied).collect())) == audited(tied.collect())
 
 
+def trie_of(terms):
+    size = np.array([len(t) for t in terms], np.int64)
+    return source_audit.Trie(np.frombuffer(b"".join(terms), np.uint8), np.cumsum(size) - size, size)
+
+
+@pytest.mark.parametrize("depth", [8, 1, 0])
+def test_tries_are_in_order_of_bytes(monkeypatch, depth):
+    monkeypatch.setattr(source_audit, "DEPTH", depth)
+    rng = random.Random(3)
+    terms = ["".join(rng.choices("abé漢", k=rng.choice([1, 2, 3, 4, 8, 9, 16, 17, 40, 200]))).encode() for _ in range(600)] + [b"a" * n for n in range(1, 90)]
+    trie = trie_of(terms * 2)
+    assert trie.terms() == sorted(set(terms)) and len(trie) == len(set(terms))
+    assert [trie.terms()[i] for i in trie.leaf] == terms * 2
+    assert len(trie_of([])) == 0 and trie_of([]).terms() == []
+
+
 def test_tries_merge():
     rng = random.Random(3)
-    terms = ["".join(rng.choices("abé", k=rng.randint(1, 6))).encode() for _ in range(400)]
-    tries, want = [source_audit.Trie() for _ in range(3)], collections.defaultdict(lambda: [0, collections.Counter()])
-    for i, t in enumerate(terms):
-        tries[i % 3].add(t, 1, [f"s{i % 4}"], [i])
-        want[t][0] += 1
-        want[t][1][f"s{i % 4}"] += i
-    whole = source_audit.Trie()
-    for t in tries:
-        whole.merge(t)
-    got = list(whole.walk())
-    assert [t for t, _ in got] == sorted(want) and whole.leaves == len(want)
-    assert all((leaf.docs, leaf.counts) == (want[t][0], want[t][1]) for t, leaf in got)
+    parts, want = [], collections.defaultdict(lambda: [0, collections.Counter()])
+    for p in range(3):
+        terms = sorted({"".join(rng.choices("abé", k=rng.randint(1, 6))).encode() for _ in range(60)})
+        docs = np.array([rng.randint(1, 9) for _ in terms])
+        entries = sorted((i, s) for i in range(len(terms)) for s in range(4) if rng.random() < 0.5)
+        count = np.array([rng.randint(1, 99) for _ in entries])
+        parts.append(source_audit.Counted(terms, docs, np.array([i for i, _ in entries]), np.array([s for _, s in entries]), count))
+        for t, d in zip(terms, docs, strict=True):
+            want[t][0] += d
+        for (i, s), c in zip(entries, count, strict=True):
+            want[terms[i]][1][s] += c
+    whole = source_audit.merged(parts, 4)
+    assert whole.terms == sorted(want) and whole.docs.tolist() == [want[t][0] for t in whole.terms]
+    got = collections.defaultdict(collections.Counter)
+    for t, s, c in zip(whole.term, whole.source, whole.count, strict=True):
+        got[whole.terms[t]][int(s)] += int(c)
+    assert got == {t: c for t, (_, c) in want.items() if c}
 
 
 def test_probabilities_are_exact():
