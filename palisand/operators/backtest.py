@@ -1,7 +1,7 @@
 """Back-tests and their validation.
 
 Windows, splits, parameter values and resamples are independent, so each is a group of its own that Spark deals to
-tasks; only the recursion of one run's weights over its dates is sequential, one task for each run.
+tasks.  A run's days meet the estimates and targets that hold for them in joins; weights between rebalancing days are closed forms.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisand.functions.distributions import binomial_two_sided, t_two_sided
 from palisand.operators import metrics, optimize
+from palisand.operators.blocks import numbered
 from palisand.operators.factors import NAMES, RECENT, components, regimes
 from palisand.storage import staged
 
@@ -49,28 +51,45 @@ class Config:
     period_offset: int = 1
 
 
-def _config(run_id: str, configs: Sequence[Config]) -> Config:
-    return next(c for c in configs if c.run_id == run_id)
+def _checked(configs: Sequence[Config]) -> dict[str, Config]:
+    """configs by run_id; ValueError unless they are sound and differ in it."""
+    for f in configs:
+        if f.window < 2 or f.n_components < 1 or f.min_weight > f.max_weight:
+            raise ValueError(f"bad configuration {f.run_id}")
+    if len({c.run_id for c in configs}) < len(configs):
+        raise ValueError("two runs have the same run_id")
+    return {c.run_id: c for c in configs}
+
 
+def ordered(logs: DataFrame) -> DataFrame:
+    """block, i (from 0), date, and in the order of assets r and before, the sum of r on the dates before."""
+    upto = F.sum("r").over(Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    long = logs.select("date", "asset", "r", (upto - F.col("r")).alias("before"))
+    rows = long.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("asset", "r", "before"))).alias("x"))  # one entry for each asset
+    return numbered(rows.select("date", F.col("x.r").alias("r"), F.col("x.before").alias("before")), "date")
 
-def _numbered(logs: DataFrame) -> DataFrame:
-    """date, r (array in the order of assets) and i, the date's number from 0 (one row for each date)."""
-    return optimize.dense(logs).withColumn("i", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
+
+def _runs(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
+    return spark.createDataFrame([(c.run_id, c.window, c.reestimation_freq + c.period_offset, c.rebalance_freq + c.period_offset) for c in configs], "run_id string, window int, step int, rebalance int")
+
+
+def _dealt(rows: DataFrame, runs: DataFrame, back: Column, ahead: Column) -> DataFrame:
+    """rows and runs, a copy for each estimation date t = window + k step of the run with t - back <= i < t + ahead."""
+    last = rows.agg(F.max("i").alias("last"))
+    k0 = F.greatest(F.floor((F.col("i") - F.col("window") - ahead) / F.col("step")) + 1, F.lit(0))
+    k1 = F.least(F.floor((F.col("i") - F.col("window") + back) / F.col("step")), F.floor((F.col("last") - F.col("window")) / F.col("step")))
+    dealt = rows.join(F.broadcast(runs), how="cross").join(F.broadcast(last), how="cross").filter(k0 <= k1)  # a row for each run; one row
+    return dealt.withColumn("k", F.explode(F.sequence(k0, k1))).withColumn("t", (F.col("window") + F.col("k") * F.col("step")).cast("int"))
 
 
-def estimates(spark: SparkSession, logs: DataFrame, configs: Sequence[Config]) -> DataFrame:
+def estimates(spark: SparkSession, rows: DataFrame, configs: Sequence[Config]) -> DataFrame:
     """run_id, t, mean, sd, loadings (by component), reverting, move, centre, spread: what each run learns on the window
     of dates before its estimation date t.  Each (run, t) is a group of window rows."""
-    rows = _numbered(logs)
-    runs = spark.createDataFrame([(c.run_id, c.window, c.reestimation_freq + c.period_offset) for c in configs], "run_id string, window int, step int")
-    last = rows.agg(F.max("i").alias("last"))
-    # date i is in the windows of t = window + k * step with t - window <= i < t
-    k0, k1 = F.greatest(F.floor((F.col("i") - F.col("window")) / F.col("step")) + 1, F.lit(0)), F.least(F.floor(F.col("i") / F.col("step")), F.floor((F.col("last") - F.col("window")) / F.col("step")))
-    dealt = rows.crossJoin(F.broadcast(runs)).crossJoin(F.broadcast(last))
-    dealt = dealt.filter(k0 <= k1).withColumn("k", F.explode(F.sequence(k0, k1))).withColumn("t", (F.col("window") + F.col("k") * F.col("step")).cast("int"))
+    known = _checked(configs)
+    dealt = _dealt(rows, _runs(spark, configs), F.col("window"), F.lit(0)).select("run_id", "t", "i", "r")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        c = _config(frame["run_id"].iloc[0], configs)
+        c = known[frame["run_id"].iloc[0]]
         x = np.stack(frame.sort_values("i")["r"].to_numpy())
         mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
         z = (x - mean) / sd
@@ -109,41 +128,103 @@ def target(z: np.ndarray, load: np.ndarray, reverting: Sequence[bool], regime: s
     return w / w.sum(), {k + 1: float(x) for k, x in active.items()}
 
 
+def signals(rows: DataFrame, learned: DataFrame, runs: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """run_id, i, t, z: on each date from the window's end on, how far every factor's running sum stands out against its last RECENT values
+    (fewer, if the window is shorter), by the latest estimate t.  Since only differences count, the sum runs over the dates that the estimate's z need."""
+    parts = []
+    for back in sorted({min(RECENT, c.window) for c in configs}):
+        own = runs.filter(F.least("window", F.lit(RECENT)) == back)
+        scored = _dealt(rows, own, F.lit(back), F.col("step")).join(learned, ["run_id", "t"])
+        score = lambda load: F.aggregate(F.zip_with("e", load, lambda e, v: e * v), F.lit(0.0), lambda a, v: a + v)
+        n = F.size("r")
+        x = scored.withColumn("e", F.zip_with(F.zip_with("r", "mean", lambda a, m: a - m), "sd", lambda a, s: a / s))
+        x = x.select("run_id", "t", "i", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("loadings") / n).cast("int") - 1), lambda k: score(F.slice("loadings", k * n + 1, n)))).alias("factor", "score"))
+        by = Window.partitionBy("run_id", "t", "factor").orderBy("i")
+        x = x.withColumn("f", F.sum("score").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        near = by.rowsBetween(-back, -1)
+        sd = F.stddev_pop("f").over(near)
+        z = F.when(sd > 1e-8, (F.lag("f").over(by) - F.avg("f").over(near)) / sd).otherwise(0.0)
+        on = x.withColumn("z", z).filter("i >= t").groupBy("run_id", "i", "t").agg(F.array_sort(F.collect_list(F.struct("factor", "z"))).alias("z"))  # one entry for each factor
+        parts.append(on.select("run_id", "i", "t", F.col("z.z").alias("z")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def regimes_now(rows: DataFrame, learned: DataFrame, runs: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """run_id, i, regime: the last state of the most likely path over the window before each date, by the latest estimate.  A group has the dates that one
+    estimate looks at."""
+    known = _checked(configs)
+    used = runs.filter(F.col("run_id").isin([c.run_id for c in configs if c.use_hmm]))
+    mean = F.aggregate("r", F.lit(0.0), lambda a, v: a + v) / F.size("r")
+    dealt = _dealt(rows, used, F.col("window"), F.col("step")).select("run_id", "t", "i", mean.alias("m")).join(learned.select("run_id", "t", "move", "centre", "spread"), ["run_id", "t"])
+
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        c, p, m, i = known[frame["run_id"].iloc[0]], frame.iloc[0], frame["m"].to_numpy(), frame["i"].to_numpy()
+        move = np.array(p.move).reshape(c.n_regimes, -1)
+        days = i[i >= p.t]
+        states = [regime_now(m[(i >= d - c.window) & (i < d)], move, np.array(p.centre), np.array(p.spread)) for d in days]
+        return pd.DataFrame({"run_id": c.run_id, "i": days, "regime": [NAMES[c.n_regimes][x] for x in states]})
+
+    return dealt.groupBy("run_id", "t").applyInPandas(last, "run_id string, i long, regime string")
+
+
+def _normal(v: Column) -> Column:
+    return F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y))
+
+
+def _drifted(w: Column, then: Column, now: Column) -> Column:
+    """Weights w after log returns, whose sums before stood at then and now."""
+    return _normal(F.zip_with(w, F.zip_with(now, then, lambda a, b: F.exp(a - b)), lambda x, g: x * g))
+
+
+def path(spark: SparkSession, rows: DataFrame, learned: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """run_id, date, r (strategy), b (equal weights), regime, turnover, cost, traded, signals (z of active factors), z: a row for each date from
+    the window's end on, from what each run has learned (staged; as estimates()).
+
+    Targets on rebalancing days depend on signals, not on the path; between them weights drift in closed form; so a day meets its estimate, its rebalancing
+    day and the one before that in equi-joins, and no run is walked."""
+    known, runs = _checked(configs), _runs(spark, configs)
+    z = signals(rows, learned, runs, configs)
+    if any(c.use_hmm for c in configs):
+        z = z.join(regimes_now(rows, learned, runs, configs), ["run_id", "i"], "left")
+    else:
+        z = z.withColumn("regime", F.lit("Calm"))
+    z = staged(z.withColumn("regime", F.coalesce("regime", F.lit("Calm"))).join(F.broadcast(runs), "run_id"), "signals")
+    n = F.floor((F.col("i") - F.col("window")) / F.col("rebalance"))
+    days = z.withColumn("s", F.col("window") + n * F.col("rebalance"))
+    chosen = days.filter("i = s").join(learned.select("run_id", "t", "loadings", "reverting"), ["run_id", "t"]).select("run_id", "s", "rebalance", "regime", "z", "loadings", "reverting")
+
+    def targets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for p in frame.itertuples(index=False):
+                c, z = known[p.run_id], np.array(p.z)
+                w, active = target(z, np.array(p.loadings).reshape(len(z), -1), p.reverting, p.regime, c)
+                out.append((p.run_id, p.s, p.rebalance, w, active))
+            yield pd.DataFrame(out, columns=["run_id", "s", "rebalance", "w", "signals"])
+
+    places = rows.select("i", "before")
+    at = chosen.mapInPandas(targets, "run_id string, s long, rebalance int, w array<double>, signals map<int, double>").join(places.withColumnRenamed("i", "s"), "s")
+    at = staged(at, "targets")
+    earlier = at.select("run_id", (F.col("s") + F.col("rebalance")).alias("s"), F.col("w").alias("w0"), F.col("before").alias("before0"))
+    held = F.coalesce(_drifted(F.col("w0"), F.col("before0"), F.col("before")), F.transform("w", lambda x: 1.0 / F.size("w")))
+    moved = F.aggregate(F.zip_with("w", held, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: a + v)
+    cost = F.create_map(*[x for c in configs for x in (F.lit(c.run_id), F.lit(float(c.cost_bps)))])
+    at = at.join(earlier, ["run_id", "s"], "left").select("run_id", "s", "w", "signals", F.col("before").alias("then"), moved.alias("turnover"))
+    on = days.select("run_id", "i", "s", "z", "regime").join(rows.select("i", "date", "r", "before"), "i").join(at, ["run_id", "s"])
+    traded = F.col("i") == F.col("s")
+    on = on.withColumn("turnover", F.when(traded, F.col("turnover")).otherwise(0.0)).withColumn("cost", F.col("turnover") * cost[F.col("run_id")] / 1e4)
+    earned = F.aggregate(F.zip_with(_drifted(F.col("w"), F.col("then"), F.col("before")), "r", lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v)
+    mean = F.aggregate("r", F.lit(0.0), lambda a, v: a + v) / F.size("r")
+    none = F.create_map().cast("map<int, double>")
+    return on.select("run_id", "date", (earned - F.col("cost")).alias("r"), mean.alias("b"), "regime", "turnover", "cost", (F.col("turnover") > 0.001).alias("traded"), F.when(traded, F.col("signals")).otherwise(none).alias("signals"), "z")
+
+
 def run(spark: SparkSession, logs: DataFrame, configs: Sequence[Config]) -> DataFrame:
-    """run_id, date, r (strategy), b (equal weights), regime, turnover, cost, traded, signals (z of active factors), z: a row for each date from the window's end on.
-    The learned parameters meet the dates by run; a run's dates are one task."""
-    for f in configs:
-        if f.window < 2 or f.n_components < 1 or f.min_weight > f.max_weight:
-            raise ValueError(f"bad configuration {f.run_id}")
-    learned = estimates(spark, logs, configs)
-    rows = _numbered(logs).withColumn("run_id", F.explode(F.array(*[F.lit(c.run_id) for c in configs])))
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("i")
-        c = _config(left["run_id"].iloc[0], configs)
-        x, dates, out = np.stack(left["r"].to_numpy()), left["date"].to_numpy(), []
-        known = {p.t: p for p in right.itertuples(index=False)}
-        w, p = np.full(x.shape[1], 1 / x.shape[1]), None
-        for t in range(c.window, len(x)):
-            p = known.get(t, p)
-            load, recent = np.array(p.loadings).reshape(-1, x.shape[1]), x[t - c.window : t]
-            f = ((recent - p.mean) / p.sd @ load.T).cumsum(axis=0)[-RECENT:]
-            s = f.std(axis=0)
-            z = np.where(s > 1e-8, (f[-1] - f.mean(axis=0)) / np.maximum(s, 1e-8), 0.0)
-            regime = NAMES[c.n_regimes][regime_now(recent.mean(axis=1), np.array(p.move).reshape(c.n_regimes, -1), np.array(p.centre), np.array(p.spread))] if c.use_hmm else "Calm"
-            turnover = cost = 0.0
-            active: dict[int, float] = {}
-            if (t - c.window) % (c.rebalance_freq + c.period_offset) == 0:
-                new, active = target(z, load, p.reverting, regime, c)
-                turnover = float(np.abs(new - w).sum())
-                cost, w = turnover * c.cost_bps / 1e4, new
-            out.append((c.run_id, dates[t], float(w @ x[t]) - cost, float(x[t].mean()), regime, turnover, cost, turnover > 0.001, active, z))
-            w = w * np.exp(x[t])
-            w /= w.sum()
-        return pd.DataFrame(out, columns=["run_id", "date", "r", "b", "regime", "turnover", "cost", "traded", "signals", "z"])
-
-    schema = "run_id string, date date, r double, b double, regime string, turnover double, cost double, traded boolean, signals map<int, double>, z array<double>"
-    return rows.groupBy("run_id").cogroup(learned.groupBy("run_id")).applyInPandas(walk, schema)
+    """path() of what each run learns from log returns."""
+    _checked(configs)
+    rows = ordered(logs)
+    return path(spark, rows, staged(estimates(spark, rows, configs), "estimates"), configs)
 
 
 def summary(path: DataFrame, rf: float = 0.02) -> DataFrame:

@@ -1,7 +1,7 @@
 """Principal components of returns, mean reversion of their cumulated scores, and market regimes.
 
 Standardisation, scores, sums, regressions and z-scores are DataFrame operations; the eigenvectors
-of one n x n correlation matrix, and the regime model of one series of dates, are grouped tasks.
+of one n x n correlation matrix are found in one row.  The regime model of a window of dates is here; that of all dates is in regimes.py.
 """
 
 from __future__ import annotations
@@ -177,18 +177,3 @@ def regimes(r: np.ndarray, k: int, steps: int = 100) -> tuple[np.ndarray, np.nda
 
 
 NAMES = {1: ["Calm"], 2: ["Calm", "Panic"], 3: ["Calm", "Normal", "Panic"]}
-
-
-def market_regimes(returns: DataFrame, k: int = 2) -> DataFrame:
-    """date, regime, p (its posterior), stay (expected dates in it) and p_next (its probability tomorrow), on the mean return of all assets."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        path, post, move, _, _ = regimes(frame["r"].to_numpy(), k)
-        at = np.arange(len(path))
-        return pd.DataFrame({
-            "date": frame["date"], "regime": [NAMES[k][s] for s in path], "p": post[at, path], "stay": 1 / np.maximum(1 - np.diag(move)[path], 1e-12), "p_next": (post @ move)[at, path],
-        })
-
-    mean = returns.groupBy("date").agg(F.avg("r").alias("r")).withColumn("set", F.lit(1))
-    return mean.groupBy("set").applyInPandas(run, "date date, regime string, p double, stay double, p_next double")

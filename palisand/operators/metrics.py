@@ -31,6 +31,21 @@ def tail(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
     return returns.join(var, "strategy").groupBy("strategy").agg(F.first("var").alias("var"), F.coalesce(F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))), F.first("var")).alias("cvar"))
 
 
+def worst_dates(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """strategy, place, date, r and var of the dates whose return is at or below the interpolated quantile, the worst first."""
+    var = returns.groupBy("strategy").agg(F.percentile("r", F.lit(alpha)).alias("var"))
+    place = F.row_number().over(Window.partitionBy("strategy").orderBy("r", "date"))
+    return returns.join(var, "strategy").filter(F.col("r") <= F.col("var")).select("strategy", place.alias("place"), "date", "r", "var")
+
+
+def extremes(returns: DataFrame) -> DataFrame:
+    """strategy, unit (date or month), best, best_date, worst, worst_date: months are compounded and named by their last date; of equal ones the first."""
+    months = returns.groupBy("strategy", F.trunc("date", "month").alias("m")).agg(F.max("date").alias("date"), (F.product(1 + F.col("r")) - 1).alias("r"))
+    both = returns.select("strategy", F.lit("date").alias("unit"), "date", "r").unionByName(months.select("strategy", F.lit("month").alias("unit"), "date", "r"))
+    best, worst = F.min(F.struct((-F.col("r")).alias("r"), "date")).alias("best"), F.min(F.struct("r", "date")).alias("worst")
+    return both.groupBy("strategy", "unit").agg(best, worst).select("strategy", "unit", (-F.col("best.r")).alias("best"), F.col("best.date").alias("best_date"), F.col("worst.r").alias("worst"), F.col("worst.date").alias("worst_date"))
+
+
 def ratio(top: Column, bottom: Column, otherwise: Column | None = None) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0) if otherwise is None else otherwise)
 

@@ -1,8 +1,7 @@
 """Time-series models of returns: independence, normality, volatility, correlation, vector models.
 
-What windows and aggregates can say stays in Spark.  Models whose likelihood runs through time are fitted in grouped
-tasks: one per asset (GARCH), or one per set of assets where they share a state (dynamic correlation, vector models); a
-group holds the dates of a calendar times a few assets, however many sales lie behind them.
+What windows and aggregates can say stays in Spark.  A GARCH likelihood is fitted in one task for each asset, over its dates.  Dynamic
+correlations are in correlation.py, Student t models in robust.py.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisand.functions.distributions import kolmogorov, shapiro, simplex_search
-from palisand.operators.optimize import dense
 from palisand.storage import staged
 
 
@@ -83,47 +81,6 @@ def garch(returns: DataFrame) -> DataFrame:
     return returns.select("asset", "date", "r").groupBy("asset").applyInPandas(fitted, "asset string, date date, z double, vol double, mu double, omega double, alpha double, beta double")
 
 
-def in_one(frames: DataFrame, run, schema: str) -> DataFrame:
-    """run(dates, T x n values) for the rows (date, r array) of one set of assets."""
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        return run(frame["date"].to_numpy(), np.stack(frame["r"].to_numpy()))
-
-    return frames.withColumn("set", F.lit(1)).groupBy("set").applyInPandas(whole, schema)
-
-
-def correlation_path(z: np.ndarray, target: np.ndarray, a: float, b: float) -> Iterator[np.ndarray]:
-    q = target.copy()
-    for row in z:
-        d = np.sqrt(np.diag(q))
-        yield q / np.outer(d, d)
-        q = (1 - a - b) * target + a * np.outer(row, row) + b * q
-
-
-def dcc(residuals: DataFrame) -> DataFrame:
-    """date, i, j, rho, a, b: the DCC(1, 1) path of correlations of standardised residuals (asset, date, z), i < j by order of assets.
-    a and b (a + b < 1) maximise the correlation part of the normal likelihood around the sample correlation."""
-
-    def fit(dates: np.ndarray, z: np.ndarray) -> pd.DataFrame:
-        target = np.corrcoef(z.T)
-
-        def unpacked(p: np.ndarray) -> tuple[float, float]:
-            total, part = 0.999 / (1 + math.exp(-np.clip(p[0], -30, 30))), 1 / (1 + math.exp(-np.clip(p[1], -30, 30)))
-            return total * part, total * (1 - part)
-
-        def loss(p: np.ndarray) -> float:
-            rho = np.stack(list(correlation_path(z, target, *unpacked(p))))
-            return float(0.5 * (np.linalg.slogdet(rho)[1] + (z * np.linalg.solve(rho, z[:, :, None])[:, :, 0]).sum(axis=1)).sum())
-
-        a, b = unpacked(simplex_search(loss, np.array([3.0, -3.0]), 1.0, 120, 1e-8))
-        i, j = np.triu_indices(z.shape[1], 1)
-        rho = np.stack([m[i, j] for m in correlation_path(z, target, a, b)])
-        return pd.DataFrame({"date": np.repeat(dates, len(i)), "i": np.tile(i, len(dates)), "j": np.tile(j, len(dates)), "rho": rho.ravel(), "a": a, "b": b})
-
-    return in_one(dense(residuals, value="z"), fit, "date date, i int, j int, rho double, a double, b double")
-
-
 def dcc_summary(path: DataFrame) -> DataFrame:
     """i, j, now, long_run, sd, high (share of dates above long_run + sd) and half_life of shocks."""
     mean = path.groupBy("i", "j").agg(F.avg("rho").alias("long_run"), F.stddev_samp("rho").alias("sd"), F.max_by("rho", "date").alias("now"), F.first(F.col("a") + F.col("b")).alias("ab"))
@@ -131,44 +88,6 @@ def dcc_summary(path: DataFrame) -> DataFrame:
     return mean.join(above, ["i", "j"]).select("i", "j", "now", "long_run", "sd", "high", (F.lit(math.log(0.5)) / F.ln("ab")).alias("half_life"))
 
 
-def location_dispersion(x: np.ndarray, p: np.ndarray, nu: float = 5.0, steps: int = 1000, tol: float = 1e-9, normalised: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum-likelihood location and dispersion of a Student t distribution with weighted observations, by fixed point.
-    A step's dispersion is a sum of weights, centred on the weighted sum, which only at the end is divided by the weights' sum;
-    normalised divides both in each step."""
-    mu = p @ x
-    sigma = (x - mu).T @ ((x - mu) * p[:, None])
-    if nu > 2:
-        sigma *= (nu - 2) / nu
-    for _ in range(steps):
-        far = ((x - mu) @ np.linalg.inv(sigma) * (x - mu)).sum(axis=1)
-        w = p * (nu + x.shape[1]) / (nu + far)
-        m = w @ x / (w.sum() if normalised else 1.0)
-        s = (x - m).T @ ((x - m) * w[:, None]) / (w.sum() if normalised else 1.0)
-        m = m / (1.0 if normalised else w.sum())
-        done = max(np.abs(m - mu).max(), np.abs(s - sigma).max() / np.abs(s).max()) < tol
-        mu, sigma = m, s
-        if done:
-            break
-    return mu, sigma
-
-
-def mlfp(returns: DataFrame, half_life: float = 120.0, nu: float = 5.0) -> DataFrame:
-    """i, j, location (of i) and dispersion of i and j under flexible probabilities."""
-
-    def fit(dates: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        p = decay(len(x), half_life)
-        mu, sigma = location_dispersion(x, p, nu)
-        i, j = np.indices(sigma.shape)
-        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "location": mu[i.ravel()], "dispersion": sigma.ravel()})
-
-    return in_one(dense(returns), fit, "i int, j int, location double, dispersion double")
-
-
-def decay(n: int, half_life: float) -> np.ndarray:
-    p = 0.5 ** (np.arange(n)[::-1] / half_life)
-    return p / p.sum()
-
-
 def weighted(dates: DataFrame, half_life: float) -> DataFrame:
     """date, p: flexible probabilities of the dates."""
     return flexible_probabilities(dates, half_life)
@@ -272,34 +191,3 @@ def normality_votes(returns: DataFrame, jarque_bera: DataFrame) -> DataFrame:
     """normality() with jb_p (of asset, p) and votes, how many of the three tests don't reject at 5 %."""
     out = normality(returns).join(jarque_bera.select("asset", F.col("p").alias("jb_p")), "asset")
     return out.withColumn("votes", sum((F.col(c) > 0.05).cast("int") for c in ("ks_p", "jb_p", "w_p")))
-
-
-def lasso(x: np.ndarray, y: np.ndarray, p: np.ndarray, penalty: float, steps: int = 500) -> np.ndarray:
-    """Weighted least squares with an absolute penalty, by coordinate descent; no penalty: the plain solution."""
-    if penalty <= 0:
-        r = np.sqrt(p)
-        return np.linalg.lstsq(x * r[:, None], y * r, rcond=None)[0]
-    b, size = np.zeros(x.shape[1]), p @ x**2
-    for _ in range(steps):
-        before = b.copy()
-        for k in range(len(b)):
-            rest = (p * x[:, k]) @ (y - x @ b + x[:, k] * b[k])
-            b[k] = math.copysign(max(abs(rest) - penalty, 0.0), rest) / size[k] if size[k] > 0 else 0.0
-        if np.abs(b - before).max() < 1e-12:
-            break
-    return b
-
-
-def factor_model(panel: DataFrame, penalty: float = 0.0, half_life: float = 120.0) -> DataFrame:
-    """asset, factor, beta, alpha, r2: returns on factors (asset, date, r, f: array) under flexible probabilities, one task for each asset."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        x, y = np.stack(frame["f"].to_numpy()), frame["r"].to_numpy()
-        p = decay(len(y), half_life)
-        mx, my = p @ x, p @ y
-        b = lasso(x - mx, y - my, p, penalty)
-        e = y - my - (x - mx) @ b
-        return pd.DataFrame({"asset": frame["asset"].iloc[0], "factor": np.arange(len(b)), "beta": b, "alpha": my - mx @ b, "r2": 1 - float(p @ e**2 / (p @ (y - my) ** 2))})
-
-    return panel.select("asset", "date", "r", "f").groupBy("asset").applyInPandas(fit, "asset string, factor int, beta double, alpha double, r2 double")

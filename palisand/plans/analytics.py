@@ -43,7 +43,7 @@ def _(spark, d):
 @query("met_custom", """select strategy, total, ann_return, ann_vol, (ann_return - 0.02) / ann_vol as sharpe, mdd as max_drawdown, (pow(1 + total, 252.0 / n) - 1) / abs(mdd) as calmar from
   (select strategy, product(1 + r) - 1 as total, count(*) as n, avg(r) * 252 as ann_return, stddev_samp(r) * sqrt(252) as ann_vol, min(drawdown) as mdd from dd where strategy = 'tilt' group by 1)""", "total ann_return ann_vol sharpe max_drawdown calmar", "strategy")
 def _(spark, d):
-    percent = weights(spark).filter("strategy = 'tilt'").withColumn("w", F.col("w") * 100)  # as a user gives them
+    percent = weights(spark, d).filter("strategy = 'tilt'").withColumn("w", F.col("w") * 100)  # as a user gives them
     return metrics.custom(p.portfolio_returns(returns(spark, d), percent.withColumn("w", F.col("w") / 100)), 0.02)
 
 
@@ -166,7 +166,7 @@ _CLUSTERS = [("AFRICA", 0), ("AMERICA", 0), ("ASIA", 1), ("EUROPE", 1), ("MIDDLE
   (select cluster, avg(rho) as rho from (select x.cluster, corr(a.r, b.r) as rho from rets a join rets b on a.date = b.date and a.asset < b.asset join cl x on x.asset = a.asset join cl y on y.asset = b.asset and y.cluster = x.cluster group by x.cluster, a.asset, b.asset) group by 1) using (cluster)""".replace(
   " cl ", f" (select * from (values {', '.join(map(str, _CLUSTERS))}) t(asset, cluster)) "), "rho w", "cluster n")
 def _(spark, d):
-    return optimize.by_cluster(stored_returns(spark, d), spark.createDataFrame(_CLUSTERS, "asset string, cluster int"), weights(spark).filter("strategy = 'tilt'"))
+    return optimize.by_cluster(stored_returns(spark, d), spark.createDataFrame(_CLUSTERS, "asset string, cluster int"), weights(spark, d).filter("strategy = 'tilt'"))
 
 
 _CLOSED = ["equal", "max_return"]
@@ -268,7 +268,7 @@ def _(spark, d):
 @query("snk_json_metrics_shown", """select strategy, to_json({'strategy': strategy, 'weights': wm, 'metrics': {'return': round_even(m * 100, 2), 'volatility': round_even(s * 100, 2), 'sharpe': round_even((m - 0.02) / s, 3)}}) as js from
   (select strategy, map_from_entries(list(row(asset, round_even(w * 100, 2)) order by asset)) as wm from w where w > 0.001 group by 1) join (select strategy, avg(r) * 252 as m, stddev_samp(r) * sqrt(252) as s from port group by 1) using (strategy)""", "", "strategy js")
 def _(spark, d):
-    return src.to_json(weights(spark), metrics.basic(portfolios(spark, d), 0.02))
+    return src.to_json(weights(spark, d), metrics.basic(portfolios(spark, d), 0.02))
 
 
 # --- scalars and labels
@@ -284,9 +284,9 @@ def _(spark, d):
     )
 
 
-@query("sc_now_minus", None, "", "end")
+@query("sc_now_minus", "select date, date_diff('day', date, (now() at time zone 'UTC')::date - 1)::int as age from (select distinct date from prices)", "", "date age")
 def _(spark, d):
-    return spark.range(1).select(src.default_end().alias("end"))
+    return region_prices(spark, d).select("date").distinct().withColumn("age", F.date_diff(src.default_end(), "date"))
 
 
 @query("sc_labels", """select k, case when x / 100 >= 0.5 then 'high' when x / 100 >= 0.3 then 'moderate' when x / 100 >= 0.1 then 'low' else 'very low' end as pbo, case when x / 50 > 0.8 then 'stable' when x / 50 > 0.5 then 'fair' when x / 50 > 0 then 'weak' else 'failed' end as walk,
@@ -327,6 +327,6 @@ def _(spark, d):
 @query("snk_tables", "select 'prices' as name, count(*) as n from prices union all select 'returns', count(*) from rets union all select 'weights', count(*) from w union all select 'metrics', count(distinct strategy) from port", "", "name n")
 def _(spark, d):
     folder = new_folder(spark, "export")
-    src.export({"prices": region_prices(spark, d), "returns": returns(spark, d), "weights": weights(spark), "metrics": metrics.basic(portfolios(spark, d), 0.02)}, folder)
+    src.export({"prices": region_prices(spark, d), "returns": returns(spark, d), "weights": weights(spark, d), "metrics": metrics.basic(portfolios(spark, d), 0.02)}, folder)
     read = [spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("prices", "returns", "weights", "metrics")]
     return read[0].union(read[1]).union(read[2]).union(read[3])

@@ -63,7 +63,7 @@ def stored_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.portfolio_returns(returns(spark, sf_dir), weights(spark))
+    return p.portfolio_returns(returns(spark, sf_dir), weights(spark, sf_dir))
 
 
 def tilt_over_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def _(spark, d):
 
 @query("flt_weights_shown", "select strategy, asset, w from w where w > 0.15", "w", "strategy asset")
 def _(spark, d):
-    return weights(spark).filter("w > 0.15")
+    return weights(spark, d).filter("w > 0.15")
 
 
 @query("jn_outer_align", "select coalesce(a.date, b.date) as date, a.price as a, b.price as b from (select * from px where asset = 'ASIA') a full join (select * from px where asset = 'EUROPE' and date > date '1998-01-01') b on a.date = b.date", "a b", "date")
@@ -314,7 +314,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     o = Window.partitionBy("strategy").orderBy(F.desc("w"), "asset")
-    x = weights(spark).withColumns({"k": F.row_number().over(o), "c": F.sum("w").over(o.rowsBetween(Window.unboundedPreceding, 0))})
+    x = weights(spark, d).withColumns({"k": F.row_number().over(o), "c": F.sum("w").over(o.rowsBetween(Window.unboundedPreceding, 0))})
     return x.groupBy("strategy").agg(F.sum(F.when(F.col("k") <= 3, F.col("w"))).alias("top3"), F.sum(F.col("w") ** 2).alias("hhi"), (F.count_if(F.col("c") <= 0.9) + 1).alias("n90"))
 
 
@@ -407,5 +407,5 @@ def _(spark, d):
 
 @query("snk_json", "select strategy, to_json(map_from_entries(list(row(asset, round(w * 100, 2)) order by asset))) as js from w where w > 0.001 group by 1", "", "strategy js")
 def _(spark, d):
-    shown = weights(spark).filter("w > 0.001")
+    shown = weights(spark, d).filter("w > 0.001")
     return shown.groupBy("strategy").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", F.round(F.col("w") * 100, 2).alias("v")))))).alias("js"))

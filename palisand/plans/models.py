@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisand.functions import scalars
 from palisand.operators import backtest as bt
-from palisand.operators import factors, metrics, optimize, rebalance, series
+from palisand.operators import correlation, factors, metrics, optimize, rebalance, regimes, robust, series
 from palisand.operators import panel as p
 from palisand.plans.catalog import BASE, ORACLES, portfolios, query, returns, stored_returns, tilt_over_equal
 from palisand.plans.panel import once, region_prices, table, weights
@@ -115,7 +115,7 @@ def _(spark, d):
 
 @query("reb_hold", "select strategy, date, sum(w * g) as value from (select *, product(1 + r) over (partition by asset order by date rows unbounded preceding) as g from rets) join w using (asset) group by 1, 2", "value", "strategy date")
 def _(spark, d):
-    return rebalance.hold(returns(spark, d), weights(spark))
+    return rebalance.hold(returns(spark, d), weights(spark, d))
 
 
 def _walked(flag: str, shown: str) -> str:
@@ -135,7 +135,7 @@ _PATH = "select strategy, date, round(net, 6) as net, round(gross, 6) as gross,
 
 def calendar_path(spark: SparkSession, d: str) -> DataFrame:
     r = stored_returns(spark, d)
-    return once("calendar-path", lambda: rebalance.calendar(r, weights(spark), rebalance.schedule(r, "M")))
+    return once("calendar-path", lambda: rebalance.calendar(r, weights(spark, d), rebalance.schedule(r, "M")))
 
 
 @query("reb_calendar", None, "net gross turnover", "strategy date")
@@ -145,8 +145,13 @@ def _(spark, d):
 
 @query("reb_simulate_threshold", None, "net gross turnover", "strategy date")
 def _(spark, d):
-    target = weights(spark).groupBy("strategy").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "w"))), lambda x: x["w"]).alias("w"))
-    return rebalance.threshold(optimize.dense(stored_returns(spark, d)).crossJoin(F.broadcast(target)), 0.05)
+    return rebalance.simulate(stored_returns(spark, d), weights(spark, d), 0.05)
+
+
+@query("reb_simulate_both", None, "net gross turnover", "strategy date")
+def _(spark, d):
+    r = stored_returns(spark, d)
+    return rebalance.simulate(r, weights(spark, d), 0.05, rebalance.schedule(r, "M"))
 
 
 @query("reb_metrics", None, "ret_net ret_gross vol_net vol_gross sharpe_net sharpe_gross sortino_net max_drawdown calmar_net turnover turnover_a_year cost_drag", "strategy n_rebalances")
@@ -162,12 +167,39 @@ def _(spark, d):
     return rebalance.rank_change(staged(rebalance.costs(path), "costs"))
 
 
+def drifting_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of all strategies that rebalance at month ends, or earlier when a weight is off by a twentieth."""
+
+    def make() -> DataFrame:
+        r = stored_returns(spark, d)
+        w = staged(optimize.weights(r).select("strategy", "asset", "w"), "weights")
+        return rebalance.costs(rebalance.simulate(r, w, 0.05, rebalance.schedule(r, "M")))
+
+    return once("drifting-costs", make)
+
+
+@query("reb_all_threshold", None, "ret_net ret_gross sharpe_net sharpe_gross turnover cost_drag", "strategy n_rebalances")
+def _(spark, d):
+    return drifting_costs(spark, d)
+
+
+@query("reb_cost_drags_all", None, "cost_drag turnover_a_year n_rebalances", "kind strategy")
+def _(spark, d):
+    return rebalance.cost_drags(drifting_costs(spark, d))
+
+
+@query("reb_cost_drags", None, "cost_drag turnover_a_year n_rebalances", "kind strategy")
+def _(spark, d):
+    return rebalance.cost_drags(staged(rebalance.costs(calendar_path(spark, d)), "costs"))
+
+
 @query("reb_cost_ranks", None, "", "strategy rank_gross rank_net change")
 def _(spark, d):
     return rebalance.rank_change(staged(rebalance.costs(calendar_path(spark, d)), "costs"))
 
 
 ORACLES["reb_calendar"] = _walked("month_end", _PATH)
+ORACLES["reb_simulate_both"] = _walked("(off > 0.05 or month_end)", _PATH)
 ORACLES["reb_simulate_threshold"] = _walked("off > 0.05", _PATH)
 ORACLES["reb_metrics"] = _walked("month_end", """, x as (select *, net / lag(net) over o - 1 as rn, gross / lag(gross) over o - 1 as rg, net / max(net) over (partition by strategy order by date rows unbounded preceding) - 1 as dd
   from walk where i > 0 window o as (partition by strategy order by date)),
@@ -177,6 +209,10 @@ select strategy, round(a, 6) as ret_net, round(b, 6) as ret_gross, round(vn, 6)
   round(mdd, 6) as max_drawdown, round(a / abs(mdd), 6) as calmar_net, round(t, 6) as turnover, round(t * 252 / n, 6) as turnover_a_year, round(b - a, 6) as cost_drag, k as n_rebalances from g""")
 ORACLES["reb_cost_ranks"] = ORACLES["reb_metrics"].rpartition("select strategy, round(a, 6)")[0].rstrip() + """, k as (select strategy, (row_number() over (order by (b - 0.02) / vg desc))::int as rank_gross, (row_number() over (order by (a - 0.02) / vn desc))::int as rank_net from g)
 select strategy, rank_gross, rank_net, rank_gross - rank_net as change from k"""
+ORACLES["reb_cost_drags"] = ORACLES["reb_metrics"].rpartition("select strategy, round(a, 6)")[0].rstrip() + """, k as (select strategy, b - a as cost_drag, t * 252 / n as turnover_a_year, k::double as n_rebalances from g),
+kinds as (select 'average' as kind, null::varchar as strategy, avg(cost_drag) as cost_drag, avg(turnover_a_year) as turnover_a_year, avg(n_rebalances) as n_rebalances from k
+  union all (select 'most affected', * from k order by cost_drag desc, strategy limit 1) union all (select 'least affected', * from k order by cost_drag, strategy limit 1))
+select kind, strategy, round(cost_drag, 6) as cost_drag, round(turnover_a_year, 6) as turnover_a_year, round(n_rebalances, 6) as n_rebalances from kinds"""
 
 
 # --- time series
@@ -199,17 +235,22 @@ def _(spark, d):
 
 @query("ts_dcc_core", None, "rho a b", "date i j")
 def _(spark, d):
-    return series.dcc(series.garch(logs(spark, d)))
+    return correlation.dcc(series.garch(logs(spark, d)))
+
+
+@query("ts_dcc_ui", None, "rho a b", "date i j")
+def _(spark, d):
+    return correlation.dcc(series.garch(logs(spark, d)), half_life=120.0, lookback=252, bounds=((0.001, 0.3), (0.5, 0.999)))
 
 
 @query("ts_dcc_summary", None, "now long_run sd high half_life", "i j")
 def _(spark, d):
-    return series.dcc_summary(series.dcc(series.garch(logs(spark, d))))
+    return series.dcc_summary(correlation.dcc(series.garch(logs(spark, d))))
 
 
 @query("ts_mlfp", None, "location dispersion", "i j")
 def _(spark, d):
-    return series.mlfp(logs(spark, d))
+    return robust.mlfp(logs(spark, d))
 
 
 for _form in ("levels", "differences"):
@@ -227,8 +268,13 @@ def _(spark, d):
 @query("ts_lfm", None, "beta alpha r2", "asset factor")
 def _(spark, d):
     r = logs(spark, d)
-    market = r.groupBy("date").agg(F.array(F.avg("r"), F.min("r")).alias("f"))
-    return series.factor_model(r.join(market, "date"), penalty=0.0)
+    return robust.factor_model(r, r.groupBy("date").agg(F.array(F.avg("r"), F.min("r")).alias("f")))
+
+
+@query("ts_lfm_robust", None, "beta alpha r2 sigma", "asset factor")
+def _(spark, d):
+    r = logs(spark, d)
+    return robust.factor_model(r, r.groupBy("date").agg(F.array(F.avg("r"), F.min("r")).alias("f")), nu=4.0, penalty=0.01, rescale=True)
 
 
 @query("ts_histogram_pdf", "select strategy, i, lo + i * (hi - lo) / 99.0 as x, exp(-pow((lo + i * (hi - lo) / 99.0 - m) / s, 2) / 2) / (sqrt(2 * pi()) * s) as y from (select strategy, min(r) as lo, max(r) as hi, avg(r) as m, stddev_pop(r) as s from port group by 1), range(100) t(i)", "x y", "strategy i")
@@ -337,7 +383,7 @@ def _(spark, d):
 
 @query("fac_hmm", None, "p stay p_next", "date regime")
 def _(spark, d):
-    return factors.market_regimes(logs(spark, d), 3)
+    return regimes.market_regimes(logs(spark, d), 3)
 
 
 # --- back-tests
@@ -480,4 +526,4 @@ def _(spark, d):
 
 @query("snk_json_metrics", None, "", "strategy js")
 def _(spark, d):
-    return src.to_json(weights(spark), metrics.basic(portfolios(spark, d), 0.02))
+    return src.to_json(weights(spark, d), metrics.basic(portfolios(spark, d), 0.02))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisand.operators import panel as ops
@@ -63,8 +63,11 @@ def _average_prices(spark: SparkSession, sf_dir: str, bucket: str) -> DataFrame:
     return sales.join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("date", "asset").agg((F.sum("value") / F.sum("quantity")).alias("price"))
 
 
-def weights(spark: SparkSession) -> DataFrame:
-    """Two example portfolios over the five regions: strategy, asset, w."""
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    rows = [("equal", a, 0.2) for a in names] + [("tilt", a, (i + 1) / 15) for i, a in enumerate(names)]
-    return spark.createDataFrame(rows, "strategy string, asset string, w double")
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two portfolios over the regions: strategy, asset, w; equal weights, and weights in proportion to the place by name."""
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("asset"))
+    whole = Window.partitionBy()  # a row for each region
+    place = F.row_number().over(Window.orderBy("asset"))
+    held = names.select("asset", F.count("*").over(whole).alias("n"), place.alias("k"))
+    both = F.array(F.struct(F.lit("equal").alias("strategy"), (1 / F.col("n")).alias("w")), F.struct(F.lit("tilt").alias("strategy"), (F.col("k") / (F.col("n") * (F.col("n") + 1) / 2)).alias("w")))
+    return held.select("asset", F.explode(both).alias("x")).select("x.strategy", "asset", "x.w")

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from palisand.plans import analytics, catalog, models  # noqa: F401
+from palisand.plans import analytics, catalog, models, paths  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
