@@ -2,8 +2,8 @@
 
 The step of a date is a k x k matrix in logarithms; products of such matrices (sums of exponentials, or maxima for the most likely
 path) are associative.  Blocks of dates are multiplied out in tasks, their k x k products (at most blocks.BLOCKS of them) are put together
-forwards and backwards on the driver, and each block then knows what enters it from either side: posteriors, expected counts for the next round
-and the most likely states follow from its own dates.  No task holds all dates.
+forwards and backwards on the driver, and each block then knows what enters it from either side: posteriors
+and the most likely states follow from its own dates.  A round of the fit is one such pass.  No task holds all dates.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisand.operators.blocks import flat, numbered, summed
+from palisand.operators.blocks import numbered
 from palisand.operators.factors import NAMES, log_sum
 from palisand.storage import staged
 
@@ -102,23 +102,55 @@ def _both(frame: pd.DataFrame, m: Model, side) -> tuple[np.ndarray, np.ndarray,
     return like, fwd, bwd
 
 
-def learned(rows: DataFrame, m: Model, known, like_all: float, centre: float) -> Model:
-    """The model of the next round, from expected counts summed over blocks."""
+def expected(rows: DataFrame, m: Model, centre: float) -> tuple[float, np.ndarray]:
+    """The log-likelihood, and expected counts of moves (k x k), of states, and their sums of r - centre and its squares, and of first states.
+
+    One job: a block tells its product and, for each pair of a state before it and a state at its end, what it would count if these were the ones;
+    how likely they are is known when the products are put together."""
     k = len(m.sd)
 
-    def counts(frame: pd.DataFrame) -> pd.DataFrame:
+    def conditional(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
-        side = known[frame["block"].iloc[0]]
-        like, fwd, bwd = _both(frame, m, side)
-        post, x = np.exp(fwd + bwd - like_all), frame["r"].to_numpy() - centre
-        began = not frame["i"].iloc[0]
-        past = fwd[:-1] if began else np.vstack([side[0], fwd[:-1]])
-        pairs = np.exp(past[:, :, None] + m.logs[None] + (like + bwd)[began:, None, :] - like_all).sum(axis=0)
-        return flat(np.concatenate([pairs.ravel(), post.sum(axis=0), x @ post, x**2 @ post, post[0] if began else np.zeros(k)]))
-
-    found = summed(rows.groupBy("block").applyInPandas(counts, "k long, v double"))
-    x = np.array([found[i] for i in range(len(found))])
-    pair, (size, one, two, start) = x[: k * k].reshape(k, k), x[k * k :].reshape(4, k)
+        r, opens = frame["r"].to_numpy(), not frame["i"].iloc[0]
+        like, logs, never = m.like(r), m.logs, np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+        fwd, bwd = np.empty((len(r), k, k)), np.empty((len(r), k, k))  # by the state before, by the state at the end
+        state = never
+        for t, row in enumerate(like):
+            state = row + (state if opens and not t else total(state[:, :, None] + logs[None], 1))
+            fwd[t] = state
+        bwd[-1] = never
+        for t in range(len(r) - 2, -1, -1):
+            bwd[t] = total(logs[None] + (like[t + 1] + bwd[t + 1])[:, None, :], 2)
+        product = fwd[-1]
+        base = np.where(np.isfinite(product), product, np.inf)
+        post = np.exp(fwd[:, :, None, :] + bwd[:, None, :, :] - base[None, :, :, None])
+        ahead = like[:, None, :] + bwd
+        pair = np.exp(fwd[:-1, :, None, :, None] + logs[None, None, None] + ahead[1:, None, :, None, :] - base[None, :, :, None, None]).sum(axis=0)
+        if not opens:  # the move into the block
+            into = np.exp(logs[:, None, :] + ahead[0][None, :, :] - base[:, :, None])
+            pair[np.arange(k), :, np.arange(k), :] += into
+        x = r - centre
+        counts = np.concatenate([pair.reshape(k, k, k * k), post.sum(axis=0), np.tensordot(x, post, 1), np.tensordot(x**2, post, 1), post[0] * opens], axis=2)
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "m": [product.ravel()], "counts": [counts.ravel()]})
+
+    found = sorted(rows.groupBy("block").applyInPandas(conditional, "block int, m array<double>, counts array<double>").collect())
+    maps = [np.array(x.m).reshape(k, k) for x in found]
+    before, state = [], m.first
+    for p in maps:
+        before.append(state)
+        state = log_sum(state[:, None] + p, 0)
+    like_all, after, sums = float(log_sum(state, 0)), np.zeros(k), 0.0
+    for x, p, enter in zip(reversed(found), reversed(maps), reversed(before), strict=True):
+        share = np.exp(enter[:, None] + p + after[None, :] - like_all)
+        sums = sums + np.tensordot(share, np.array(x.counts).reshape(k, k, -1), 2)
+        after = log_sum(p + after[None, :], 1)
+    return like_all, sums
+
+
+def learned(m: Model, counts: np.ndarray, centre: float) -> Model:
+    """The model of the next round."""
+    k = len(m.sd)
+    pair, (size, one, two, start) = counts[: k * k].reshape(k, k), counts[k * k :].reshape(4, k)
     return Model(start / start.sum(), pair / pair.sum(axis=1, keepdims=True), centre + one / size, np.sqrt(np.maximum(two / size - (one / size) ** 2, 1e-12)))
 
 
@@ -135,17 +167,17 @@ def began(rows: DataFrame, k: int) -> tuple[Model, float]:
     return Model(np.full(k, 1 / k), move, np.full(k, centre), np.array([max(sd.get(g, 0.0), 1e-6) for g in range(k)])), centre
 
 
-def fit(rows: DataFrame, k: int, steps: int = 100, tol: float = 1e-6) -> tuple[Model, list[float]]:
+def fit(rows: DataFrame, k: int, steps: int = 100, tol: float = 0.01) -> tuple[Model, list[float]]:
     """The model by expectation and maximisation, states in ascending order of deviation, and the log-likelihood of each round;
-    it ends when a round gains less than tol of it."""
+    it ends when a round gains less than tol."""
     m, centre = began(rows, k)
     seen: list[float] = []
     for step in range(steps + 1):
-        known, like_all = sides(rows, m)
+        like_all, counts = expected(rows, m, centre)
         seen.append(like_all)
-        if step == steps or step and abs(seen[-1] - seen[-2]) < tol * abs(seen[-1]):
+        if step == steps or step and abs(seen[-1] - seen[-2]) < tol:
             break
-        m = learned(rows, m, known, like_all, centre)
+        m = learned(m, counts, centre)
     return m.by_deviation(), seen
 
 
@@ -221,7 +253,7 @@ def ordered(returns: DataFrame) -> DataFrame:
     return numbered(returns.groupBy("date").agg(F.avg("r").alias("r")), "date")
 
 
-def market_regimes(returns: DataFrame, k: int = 2, steps: int = 100, tol: float = 1e-6) -> DataFrame:
+def market_regimes(returns: DataFrame, k: int = 2, steps: int = 100, tol: float = 0.01) -> DataFrame:
     """described() of the mean return of all assets under the model that fits it."""
     rows = ordered(returns)
     return staged(described(rows, fit(rows, k, steps, tol)[0]), "regimes")
