@@ -20,7 +20,7 @@ shingle before it: where two sets have the same one, an earlier list has them bo
 Lists of up to LONG sets make their pairs.  In longer ones, which come from groups of near copies, each set
 meets the list's hubs only: of its own and the neighbouring size ranges, the sets of least hash, by two hashes
 (the same in all lists of a group, so that a pair is made once).  What is linked so far is joined into components.
-Then only sets of different components still meet, in tiles of TILE sets.  A tile with more than MANY pairs for each of its sets that may
+Then only sets of different components still meet, in tiles of about TILE sets of like sizes; tiles whose sizes are too far apart for a link don't meet.  A tile with more than MANY pairs for each of its sets that may
 be linked makes at first, for each set, the BEST pairs that the bound below ranks highest (in a star of copies, those with its
 centre); with what these have linked, it then makes all that are still apart.
 Lists of a shingle that more than SPLIT documents hold are dealt by set to several tasks, with the sets of least hash
@@ -40,15 +40,16 @@ an empty table gives an empty result.  A class is named by 64 hash bits of its s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisand.llm.components import components
-from palisand.llm.shared import finished, looked_up, released, staged
+from palisand.llm.shared import finished, looked_up, released, sliced, staged
 
 N = 5
 #: Frequent shingles that the order knows by name (16 bytes each are sent to tasks); least count of them.
@@ -57,6 +58,10 @@ HEAVY, HEAVY_FROM = 200_000, 20
 AT_ONCE, LOCAL_FROM = 2_000_000, 5
 #: Longest list of which all pairs are made at once; sets in a tile of longer ones; postings of a bucket.
 LONG, TILE, BUCKET = 4, 2048, 400_000
+#: Factor between the sizes of two steps, by which long lists are parted into tiles.
+STEP = 1.02
+#: Pairs of a set beyond which its rows are dealt to several tasks.
+HOT = 50_000
 #: Partners that a set of a crowded tile meets at first; pairs for each set from which a tile is crowded.
 BEST, MANY = 2, 2
 #: Documents with a shingle beyond which its list is dealt to several tasks; hubs that all of them see.
@@ -153,7 +158,7 @@ def described(docs: DataFrame) -> DataFrame:
             k = len(h)
             return _batches([["count"] * k + ["total"], [None] * (k + 1), [None] * (k + 1), [*h, len(all_)], [*c[often].tolist(), int((c * (c - 1)).sum())], [None] * (k + 1)], names, types)
 
-        for b in batches:
+        for b in sliced(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingles(text)
@@ -257,7 +262,7 @@ def _bucketed(docs: DataFrame, order, small: int, n_buckets: int) -> DataFrame:
             parts = [x.tobytes() for x in np.split(all_, start[1:])]
             return _batches([bucket[start].tolist(), parts], ["bucket", "block"], [pa.int64(), pa.binary()])
 
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 s = shingles(text)
                 if len(s) < 2 or (sid := set_id(s)) in seen:
@@ -357,15 +362,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).filter("a <> b").distinct()
 
 
+def tiles(found: DataFrame) -> DataFrame:
+    """key, step, tile0, tile1, to0, to1: for the sets of each step of size in each list (key, step, part) with several components, the tiles
+    they are in and the tiles that hold all sets of up to 5/4 or down to 4/5 of their size; linked sets don't differ by more."""
+    steps = found.groupBy("key", "step").agg(F.count("*").alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+    whole, by = Window.partitionBy("key"), Window.partitionBy("key").orderBy("step")  # a row for each step of size
+    steps = steps.withColumns({"p0": F.min("p0").over(whole), "p1": F.max("p1").over(whole), "upto": F.sum("c").over(by)}).filter("p0 <> p1")
+    steps = steps.withColumns({"tile0": F.floor((F.col("upto") - F.col("c")) / TILE), "tile1": F.floor((F.col("upto") - 1) / TILE)})
+    reach = math.ceil(math.log(1.25) / math.log(STEP)) + 1
+    return steps.select("key", "step", "tile0", "tile1", F.min("tile0").over(by.rangeBetween(-reach, 0)).alias("to0"), F.max("tile1").over(by.rangeBetween(0, reach)).alias("to1"))
+
+
 def _met_across(longs: DataFrame, parts: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
     """Pairs (sid, other) of sets of a long list that are in different components and pass both bounds.  With best, a crowded tile makes the
     best pairs of each set only and a row with its list's key."""
     named = parts.select(F.col("node").alias("sid"), F.col("component").alias("part"))
     found = looked_up(longs, named, "sid", "left", F.col("key")).withColumn("part", F.coalesce("part", "sid"))
-    sums = staged(found.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key", "size"), "list-sizes")
-    found = looked_up(found, sums, "key", "inner", F.col("sid")).join(classes.select("sid", "sign"), "sid")
-    tiles = F.ceil(F.col("size") / TILE)
-    found = found.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    found = found.withColumn("step", F.floor(F.ln("n") / math.log(STEP)))
+    found = looked_up(found, staged(tiles(found), "list-sizes"), ["key", "step"], "inner", F.col("sid")).join(classes.select("sid", "sign"), "sid")
+    own = F.col("tile0") + F.pmod(F.xxhash64("sid"), F.col("tile1") - F.col("tile0") + 1)
+    found = found.withColumn("tile", own).withColumn("to", F.explode(F.sequence("to0", "to1")))
     found = found.select("key", F.least("tile", "to").alias("t0"), F.greatest("tile", "to").alias("t1"), "tile", "sid", "n", "at", "before", "part", "sign")
     many = MANY
 
@@ -409,10 +425,24 @@ def fine_bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(f, g.reshape(-1, len(f)).sum(axis=0, dtype=np.int64)).sum(dtype=np.int64))
 
 
+def _sided(pairs: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Staged pairs (a, b) with columns of the table (staged, unique sid) for both, as <column>_a and <column>_b.  The pairs of a set that has very
+    many (a hub) are dealt to several tasks."""
+    for c, other in (("a", "b"), ("b", "a")):
+        named = table.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+        hot = staged(pairs.groupBy(c).agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(c), "hubs")
+        if hot.isEmpty():
+            pairs = pairs.join(named, c)
+        else:
+            few = staged(looked_up(named, hot, c, "left_semi"), "hub-sets")
+            salt = F.col(other)
+            dealt_out = looked_up(looked_up(pairs, hot, c, "left_semi", salt), few, c, "inner", salt, 0)
+            pairs = looked_up(pairs, hot, c, "left_anti", salt).join(named, c).unionByName(dealt_out)
+    return pairs
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures leave room for enough overlap."""
-    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -424,7 +454,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = (9 * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= 4 * (n + m)) | (np.maximum(n, m) >= WIDE)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+    return _sided(staged(pairs, "pairs"), classes, ["n", "sign"]).select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -438,7 +468,7 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFr
         import pyarrow as pa
 
         done: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             rows: list[list] = [[], [], [], []]
             for text in b.column(0).to_pylist():
                 s = shingles(text)
@@ -453,14 +483,13 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFr
     def bounded(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             most = np.array([fine_bound(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
             both = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(most / np.maximum(both, 1))], ["a", "b", "score"]).filter(pa.array(9 * most >= 4 * both))
 
     brief = sets.select("sid", "n", "f").dropDuplicates(["sid"])
-    side = lambda c: brief.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("f").alias(f"f_{c}"))
-    near = staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(bounded, "a long, b long, score double"), "near-pairs")
+    near = staged(_sided(pairs, brief, ["n", "f"]).select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(bounded, "a long, b long, score double"), "near-pairs")
     released(pairs, wanted)
     return near, sets.select("sid", "s")
 
@@ -471,7 +500,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def compared(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -481,8 +510,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     single = sets.join(needed, "sid", "left_semi").dropDuplicates(["sid"])
-    side = lambda c: single.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
-    return staged(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
+    return staged(_sided(pairs, single, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
 
 
 def _joined(links: DataFrame, parts: DataFrame | None) -> DataFrame:

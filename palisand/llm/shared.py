@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,17 @@ def row_key(*columns: str) -> list[Column]:
     ]
 
 
+def sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices of so many rows, so that what a task makes of them stays small; memory that a batch took is given back after it."""
+    import pyarrow as pa
+
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def one_thread() -> None:
     """Executors have their cores from Spark; libraries shall not start threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
