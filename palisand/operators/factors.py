@@ -1,19 +1,17 @@
 """Principal components of returns, mean reversion of their cumulated scores, and market regimes.
 
-Standardisation, scores, sums, regressions and z-scores are DataFrame operations; the eigenvectors
-of one n x n correlation matrix are found in one row.  The regime model of a window of dates is here; that of all dates is in regimes.py.
+Standardisation, scores, sums, regressions and z-scores are DataFrame operations; eigenvectors
+are found by products with blocks of the correlation matrix (gram.py).  The regime model of a window of dates is here; that of all dates is in regimes.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisand.operators.optimize import moments
+from palisand.operators import gram
+from palisand.storage import staged
 
 #: Last dates that a z-score looks at.
 RECENT = 60
@@ -35,16 +33,9 @@ def components(corr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def loadings(returns: DataFrame, k: int) -> DataFrame:
     """pc (from 1), asset, loading, share."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                cov = np.stack(row.cov)
-                sd = np.sqrt(np.diag(cov))
-                v, share = components(cov / np.outer(sd, sd), k)
-                yield pd.DataFrame([(p + 1, a, v[i, p], share[p]) for p in range(v.shape[1]) for i, a in enumerate(row.assets)], columns=["pc", "asset", "loading", "share"])
-
-    return moments(returns).mapInPandas(run, "pc int, asset string, loading double, share double")
+    assets, v, share = gram.leading(staged(gram.products(returns), "products"), k)
+    rows = [(p + 1, a, float(v[i, p]), float(share[p])) for p in range(v.shape[1]) for i, a in enumerate(assets)]
+    return returns.sparkSession.createDataFrame(rows, "pc int, asset string, loading double, share double")
 
 
 def scores(returns: DataFrame, load: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Portfolio construction: eight strategies, the efficient frontier and clusters.
 
-Spark computes means and covariances (one pass over asset pairs by date) and brings
+Spark computes means and covariances (products of blocks of assets, gram.py) and brings
 each problem (a split, a strategy, a target return) into one row: n means, n x n covariances and, for the
 tail-risk strategy only, the dates' returns.  Their size depends on assets and trading dates,
 never on the number of sales behind the prices.  Problems are dealt to tasks and solved with small
@@ -19,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisand.operators import gram, tree
+from palisand.storage import staged
+
 YEAR, RIDGE, LEAST_SHARE = 252, 1e-8, 0.001
 #: Fewest dates and assets of the tail-risk strategy.
 LEAST_DATES, LEAST_ASSETS = 30, 2
@@ -26,11 +29,8 @@ LEAST_DATES, LEAST_ASSETS = 30, 2
 
 def moments(returns: DataFrame, *by: str) -> DataFrame:
     """by, assets, mean and cov (both annual, in the order of assets, cov by rows), one row for each group of by."""
-    other = returns.select(*by, "date", F.col("asset").alias("j"), F.col("r").alias("s"))
-    pairs = returns.join(other, [*by, "date"]).groupBy(*by, F.col("asset").alias("i"), "j").agg(
-        (F.covar_samp("r", "s") * YEAR).alias("c"), (F.avg("r") * YEAR).alias("m")
-    )
-    rows = pairs.groupBy(*by, "i").agg(F.first("m").alias("m"), F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("c"))
+    pairs = gram.covariances(gram.products(returns, *by), *by)
+    rows = pairs.groupBy(*by, "i").agg((F.max("m") * YEAR).alias("m"), F.transform(F.array_sort(F.collect_list(F.struct("j", (F.col("c") * YEAR).alias("c")))), lambda x: x["c"]).alias("c"))
     whole = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "m", "c"))).alias("x"))
     return whole.select(*by, F.col("x.i").alias("assets"), F.col("x.m").alias("mean"), F.col("x.c").alias("cov"))
 
@@ -133,18 +133,6 @@ def leaves(merges: list[tuple[int, int, float]], n: int) -> list[int]:
     return order[n + len(merges) - 1] if merges else list(range(n))
 
 
-def clusters(cov: np.ndarray, most: int) -> np.ndarray:
-    """Cluster of each asset, numbered from 1, when the tree is cut into at most this many."""
-    n = len(cov)
-    group = {i: [i] for i in range(n)}
-    for k, (i, j, _) in enumerate(linkage(distances(cov))[: max(n - most, 0)]):
-        group[n + k] = group.pop(i) + group.pop(j)
-    out = np.empty(n, dtype=np.int64)
-    for k, members in enumerate(sorted(group.values(), key=min)):
-        out[members] = k + 1
-    return out
-
-
 def distances(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.diag(cov))
     both = np.outer(sd, sd)
@@ -289,16 +277,22 @@ def frontier(returns: DataFrame, points: int = 50, rf: float = 0.02) -> DataFram
 
 
 def asset_clusters(returns: DataFrame, most: int = 3) -> DataFrame:
-    """asset, place (in the order of the tree) and cluster."""
+    """asset, place (in the order of the tree) and cluster, by single linkage of the assets' spanning tree."""
+    found = asset_tree(returns)
+    place = {a: k for k, a in enumerate(found.order())}
+    rows = [(a, place[i], c) for i, (a, c) in enumerate(zip(found.assets, found.clusters(min(most, len(found.assets))), strict=True))]
+    return returns.sparkSession.createDataFrame(rows, "asset string, place long, cluster long")
+
+
+def asset_tree(returns: DataFrame) -> tree.Linkage:
+    assets = [r.asset for r in returns.select("asset").distinct().orderBy("asset").collect()]  # as many as the tree has leaves
+    blocks = staged(gram.products(returns), "products")
+    return tree.linkage(assets, tree.spanning(tree.distances(gram.correlations(blocks))))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                cov = np.stack(row.cov)
-                place = np.argsort(leaves(linkage(distances(cov)), len(cov)))
-                yield pd.DataFrame({"asset": row.assets, "place": place, "cluster": clusters(cov, min(most, len(cov)))})
 
-    return moments(returns).mapInPandas(cut, "asset string, place long, cluster long")
+def merge_heights(returns: DataFrame) -> DataFrame:
+    """k (from 1) and height of each merge of asset_tree()."""
+    return returns.sparkSession.createDataFrame([(k + 1, d) for k, (_, _, d) in enumerate(asset_tree(returns).merges)], "k int, height double")
 
 
 def by_cluster(returns: DataFrame, clusters: DataFrame, weights: DataFrame) -> DataFrame:

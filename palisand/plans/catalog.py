@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from palisand.operators import metrics as m
 from palisand.operators import panel as p
+from palisand.operators import quantiles
 from palisand.plans.panel import once, region_prices, stored_panels, table, weights
+from palisand.storage import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,7 +280,7 @@ def _(spark, d):
 
 @query("met_var_cvar", "select * from tails", "var cvar", "strategy")
 def _(spark, d):
-    return m.tail(portfolios(spark, d))
+    return quantiles.tail(staged(portfolios(spark, d), "portfolios"))
 
 
 @query("met_info_ratio", "select strategy, avg(x) / stddev_samp(x) * sqrt(252) as information_ratio from ex group by 1", "information_ratio", "strategy")

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisand.operators import backtest as bt
-from palisand.operators import correlation, factors, metrics, regimes, robust
+from palisand.operators import correlation, factors, metrics, optimize, quantiles, regimes, robust
 from palisand.operators.blocks import numbered
 from palisand.operators.optimize import dense
-from palisand.plans.catalog import BASE, ORACLES, portfolios, query
+from palisand.plans.catalog import BASE, ORACLES, portfolios, query, stored_returns
 from palisand.plans.models import logs
+from palisand.plans.panel import table
 from palisand.storage import staged
 
 RECURSIVE = BASE.replace("with px", "with recursive px")
@@ -202,3 +203,23 @@ def _(spark, d):
     n = F.size("r")
     weight = F.transform(F.sequence(F.lit(1), n), lambda k: k / (n * (n + 1) / 2))
     return rows.select("date", F.aggregate(F.zip_with(weight, "r", lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v).alias("value"))
+
+
+# --- quantiles of sales, and the tree of assets
+
+
+@query("agg_percentile", """select l_returnflag as flag, level::double as level, quantile_cont(l_extendedprice / l_quantity, level) as value from lineitem, (values (0.01), (0.05), (0.5), (0.95), (1.0)) v(level) group by 1, 2""".replace(
+    "quantile_cont(l_extendedprice / l_quantity, level)", "case level " + " ".join(f"when {x} then quantile_cont(l_extendedprice / l_quantity, {x})" for x in (0.01, 0.05, 0.5, 0.95, 1.0)) + " end"), "level value", "flag", base=False)
+def _(spark, d):
+    sales = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    return quantiles.quantiles(sales, ["flag"], "x", [0.01, 0.05, 0.5, 0.95, 1.0])
+
+
+@query("opt_merge_heights", None, "height", "k")
+def _(spark, d):
+    return optimize.merge_heights(stored_returns(spark, d))
+
+
+ORACLES["opt_merge_heights"] = RECURSIVE + """, ed as (select a.asset as i, b.asset as j, sqrt(greatest((1 - corr(a.r, b.r)) / 2, 0)) as d from rets a join rets b on a.date = b.date and a.asset < b.asset group by 1, 2),
+reach as (select e.i, e.j, e.d, e.i as x from ed e union select r.i, r.j, r.d, case when s.i = r.x then s.j else s.i end from reach r join ed s on s.d < r.d and (s.i = r.x or s.j = r.x))
+select (row_number() over (order by d))::int as k, round(d, 6) as height from ed where not exists (select 1 from reach r where r.i = ed.i and r.j = ed.j and r.x = ed.j)"""
