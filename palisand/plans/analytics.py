@@ -14,7 +14,8 @@ from palisand.plans.catalog import BASE, ORACLES, portfolios, query, returns, st
 from palisand.plans.models import _SERIES, _SPLITS, cumulated, logs, stability, with_loadings
 from palisand.plans.panel import once, region_prices, table, weights
 from palisand.sources import prices as src
-from palisand.storage import new_folder, staged
+from palisand.sources import workbook
+from palisand.storage import new_folder, shared_files, staged
 
 # --- comparisons of strategies
 
@@ -330,3 +331,27 @@ def _(spark, d):
     src.export({"prices": region_prices(spark, d), "returns": returns(spark, d), "weights": weights(spark, d), "metrics": metrics.basic(portfolios(spark, d), 0.02)}, folder)
     read = [spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("prices", "returns", "weights", "metrics")]
     return read[0].union(read[1]).union(read[2]).union(read[3])
+
+
+def exported(spark: SparkSession, d: str) -> str:
+    """A workbook of prices (wide), returns, weights, metrics and the frontier."""
+    folder = shared_files(spark, "workbooks")
+    r = stored_returns(spark, d)
+    assets = [x.asset for x in r.select("asset").distinct().orderBy("asset").collect()]
+    path = f"{folder}/portfolios.xlsx"
+    workbook.export({
+        "prices": (p.wide(region_prices(spark, d), "price", assets), ["date"]), "returns": (r, ["date", "asset"]), "weights": (weights(spark, d), ["strategy", "asset"]),
+        "metrics": (metrics.basic(portfolios(spark, d), 0.02), ["strategy"]), "frontier": (staged(optimize.frontier(r), "frontier"), ["i"]),
+    }, path)
+    return path
+
+
+@query("src_xlsx", "select * from prices", "price", "date asset")
+def _(spark, d):
+    return src.validated(staged(workbook.wide_workbook(spark, f"file://{exported(spark, d)}", "prices"), "prices"))
+
+
+@query("snk_xlsx", """select 'prices' as sheet, 1 + count(distinct date) as n_rows, 6::long as n_columns from prices union all select 'returns', 1 + count(*), 3 from rets union all select 'weights', 1 + count(*), 3 from w union all
+  select 'metrics', 1 + count(distinct strategy), 10 from port union all select 'frontier', 51, 6""", "", "sheet n_rows n_columns")
+def _(spark, d):
+    return workbook.cells(spark, f"file://{exported(spark, d)}").groupBy("sheet").agg(F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_columns"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisand.operators import panel
+from palisand.sources.workbook import wide_workbook
 
 #: Files that a directory is searched for, in this order.
-PROBED = ("prices_data.parquet", "prices_data.csv")
+PROBED = ("prices_data.parquet", "prices_data.csv", "prices_data.xlsx")
 LEAST_DATES = 30
 
 
@@ -35,8 +36,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """Prices from a file, or from the first of PROBED in a directory.  Pickle files are refused: they can run code."""
     if path.endswith((".pkl", ".pickle")):
         raise ValueError("pickle files aren't read; write the panel as Parquet")
-    if path.endswith((".xlsx", ".xls")):
-        raise ValueError("no reader for workbooks is installed; write the panel as CSV or Parquet")
+    if path.endswith(".xlsx"):
+        return wide_workbook(spark, path)
+    if path.endswith(".xls"):
+        raise ValueError("workbooks of the old binary format aren't read; save it as .xlsx, CSV or Parquet")
     if path.endswith(".csv"):
         return wide_csv(spark, path)
     if path.endswith(".parquet"):

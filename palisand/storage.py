@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -36,6 +37,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palisand/{name}-{uuid.uuid4().hex}"
 
 
+def shared_files(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for writers that need plain files.  ValueError unless that is mounted as files."""
+    path = new_folder(spark, name)
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"{path} is not mounted as files")
+    path = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(path)
+    return path
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """What is written inside leaves no shuffle files behind."""
