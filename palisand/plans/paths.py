@@ -208,8 +208,8 @@ def _(spark, d):
 # --- quantiles of sales, and the tree of assets
 
 
-@query("agg_percentile", """select l_returnflag as flag, level::double as level, quantile_cont(l_extendedprice / l_quantity, level) as value from lineitem, (values (0.01), (0.05), (0.5), (0.95), (1.0)) v(level) group by 1, 2""".replace(
-    "quantile_cont(l_extendedprice / l_quantity, level)", "case level " + " ".join(f"when {x} then quantile_cont(l_extendedprice / l_quantity, {x})" for x in (0.01, 0.05, 0.5, 0.95, 1.0)) + " end"), "level value", "flag", base=False)
+@query("agg_percentile", "select l_returnflag as flag, lv::double as level, case lv " + " ".join(f"when {x} then quantile_cont(l_extendedprice / l_quantity, {x})" for x in (0.01, 0.05, 0.5, 0.95, 1.0)) +
+       " end as value from lineitem, (values (0.01), (0.05), (0.5), (0.95), (1.0)) v(lv) group by l_returnflag, lv", "level value", "flag", base=False)
 def _(spark, d):
     sales = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
     return quantiles.quantiles(sales, ["flag"], "x", [0.01, 0.05, 0.5, 0.95, 1.0])
