@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisand.llm.shared import only, remembers, sliced
+
 #: Hash buckets of words and metadata; statistics; width of the factors.
 BUCKETS, STATS, FACTORS = 1 << 13, 18, 4
 #: Most labelled rows that the model is fitted on.
@@ -60,6 +62,7 @@ class _Buckets(dict):
 
 
 _BUCKETS = _Buckets()
+remembers("word buckets", _BUCKETS.clear)
 
 
 def features(text: str | None, metadata: Sequence[tuple[str, object]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, metadata: dict[str, Column] | None
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        only("word buckets")
+        for b in sliced(batches):
             made = list(_with_metadata([b.column(i).to_pylist() for i in range(3, b.num_columns)], list(metadata)))
             columns = [b.column(0), b.column(1), *(pa.array([x[i].astype(np.float64).tolist() for x in made], type=pa.list_(pa.float64())) for i in range(3))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "label", "i", "x", "s"])
@@ -175,28 +179,30 @@ def train(docs: DataFrame, labels: DataFrame, metadata: dict[str, Column] | None
     return fit(rows, table["label"].to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, keep: Sequence[str] = (), metadata: dict[str, Column] | None = None) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, keep: Sequence[str] = (), metadata: dict[str, Column] | None = None, within: str | None = None) -> DataFrame:
     """doc_id, the columns of keep, and score (0 to 1) of every row.  The machine travels
-    as a broadcast of fixed size: (BUCKETS + STATS) * (FACTORS + 1) numbers."""
+    as a broadcast of fixed size: (BUCKETS + STATS) * (FACTORS + 1) numbers.  within: the struct column of keep that holds text, if it is no column of its own."""
     metadata, sent = metadata or {}, docs.sparkSession.sparkContext.broadcast(machine)
     kept = ["doc_id", *keep]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            made = list(_with_metadata([b.column(i).to_pylist() for i in range(len(kept), b.num_columns)], list(metadata)))
+        only("word buckets")
+        for b in sliced(batches):
+            bodies = b.column(kept.index(within)).field("text") if within else b.column(len(kept))
+            made = list(_with_metadata([bodies.to_pylist(), *(b.column(i).to_pylist() for i in range(b.num_columns - len(metadata), b.num_columns))], list(metadata)))
             p = probability(_logits(sent.value, made)) if made else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p, type=pa.float64())], [*kept, "score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
-    given = docs.select(*kept, F.col("text").alias("_text"), *[c.cast("string").alias(f"_m_{k}") for k, c in metadata.items()])
+    given = docs.select(*kept, *([] if within else [F.col("text").alias("_text")]), *[c.cast("string").alias(f"_m_{k}") for k, c in metadata.items()])
     return given.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
     """The rows of docs, all their columns, whose score is least or more."""
-    whole = docs.select("doc_id", "text", F.struct("*").alias("doc"))  # whatever the columns of docs are called
-    return score(whole, machine, keep=["doc"]).filter(F.col("score") >= least).select("doc.*")
+    whole = docs.select("doc_id", F.struct("*").alias("doc"))  # whatever the columns of docs are called
+    return score(whole, machine, keep=["doc"], within="doc").filter(F.col("score") >= least).select("doc.*")

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisand.llm.components import components
-from palisand.llm.shared import finished, looked_up, released, sliced, staged
+from palisand.llm.shared import finished, looked_up, only, released, remembers, sliced, staged
 
 N = 5
 #: Frequent shingles that the order knows by name (16 bytes each are sent to tasks); least count of them.
@@ -92,6 +92,9 @@ def _words() -> _Words:
     return _Words()
 
 
+remembers("shingled words", _words.cache_clear)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -158,6 +161,7 @@ def described(docs: DataFrame) -> DataFrame:
             k = len(h)
             return _batches([["count"] * k + ["total"], [None] * (k + 1), [None] * (k + 1), [*h, len(all_)], [*c[often].tolist(), int((c * (c - 1)).sum())], [None] * (k + 1)], names, types)
 
+        only("shingled words")
         for b in sliced(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):

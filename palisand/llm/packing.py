@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisand.llm.shared import only
 from palisand.llm.token_ids import encoder, texts
 
 CAPACITY = 1024
@@ -35,6 +36,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        only("token ids")
         encode = encoder(path).ids
         for doc_ids, bodies in texts(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])

@@ -8,7 +8,8 @@ the whole corpus are sums of the groups'.
 
 No cutoff is fixed.  RULES names for each measure a high level (and a low one, where low values are bad too).  With q
 the quantile at that level and m the median, the fence is q + SPREAD * (q - m): it follows
-each group's own distribution, its place and its width.  A group's quantiles are
+each group's own distribution, its place and its width.  A text breaks a rule of counts when it has more than SLACK occurrences beyond the fence,
+for its size: where a count is mostly 0 its quantiles are 0, and without that a single exclamation mark would be too many.  A group's quantiles are
 (n * own + PRIOR * its language's) / (n + PRIOR), those of a language the same with the corpus's, n being the group's
 documents: small groups lean on larger ones, by a weight that falls smoothly.
 Documents are then joined with their group's fences; what lies beyond a fence goes.
@@ -33,6 +34,8 @@ from palisand.llm.shared import looked_up, row_key, staged, words
 RULES: dict[str, tuple[int | None, int]] = {"word_len": (25, 75), "symbols": (None, 90), "dup_lines": (None, 98), "repeats": (None, 98), "shouting": (None, 98), "marks": (None, 98)}
 #: Distances between median and quantile from the quantile to the fence: for levels below 90, and from there on.
 SPREAD = (8, 2)
+#: Measure -> what its counts are divided by, and occurrences beyond the fence that don't break it yet (two; of repeated words, two windows found twice).
+SLACK: dict[str, tuple[str, int]] = {"symbols": ("n_words", 2), "dup_lines": ("n_lines", 2), "repeats": ("n_words", 12), "shouting": ("word_chars", 2), "marks": ("n_words", 2)}
 #: Documents' worth of the larger group's quantiles in a group's own.
 PRIOR = 20
 #: Most groups whose fences are broadcast.
@@ -107,7 +110,7 @@ def measured(docs: DataFrame) -> DataFrame:
         df = df.withColumn(name, c)
     share = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
     return df.select(
-        "doc_id", "k1", "k2", "lang", "source", *COUNTS,
+        "doc_id", "k1", "k2", "lang", "source", *COUNTS, F.col("_n_lines").alias("n_lines"),
         share("word_chars", "n_words").alias("word_len"),
         share("n_symbols", "n_words").alias("symbols"),
         share("n_dup_lines", "_n_lines").alias("dup_lines"),
@@ -189,10 +192,11 @@ def filtered(docs: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame) -> DataFrame:
     """What judge() returns, and k1, k2 of each row."""
     m = staged(measured(docs), "quality-measures")
-    limits = staged(thresholds(sketches(m)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "fences"), "quality-fences")
+    limits = staged(thresholds(staged(sketches(m), "quality-sketches")).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "fences"), "quality-fences")
     keyed = m.withColumns({"_l": F.struct("lang"), "_s": F.struct("source")})
+    slack = lambda x: F.expr(f"{SLACK[x][1] * 1000} div greatest({SLACK[x][0]}, 1)") if x in SLACK else F.lit(0)
     broken = F.filter(
-        F.array(*[F.when((bucket(F.col(x)) > F.col("fences")[x]["hi"]) | F.coalesce(bucket(F.col(x)) < F.col("fences")[x]["lo"], F.lit(False)), F.lit(x)) for x in RULES]), lambda x: x.isNotNull()
+        F.array(*[F.when((bucket(F.col(x)) > F.col("fences")[x]["hi"] + slack(x)) | F.coalesce(bucket(F.col(x)) < F.col("fences")[x]["lo"], F.lit(False)), F.lit(x)) for x in RULES]), lambda x: x.isNotNull()
     )
     return (
         looked_up(keyed, limits, ["_l", "_s"], "left", F.col("k1"), GROUPS)

@@ -130,6 +130,9 @@ def _levels(side: int) -> str:
     return " ".join(f"when '{m}' then {x[side] or 0}" for m, x in quality_rules.RULES.items())
 
 
+_SLACKS = ", ".join(f"{quality_rules.SLACK[m][1] * 1000} // greatest({quality_rules.SLACK[m][0]}, 1)" if m in quality_rules.SLACK else "0" for m in quality_rules.RULES)
+
+
 def _leaning(own: str, larger: str) -> str:
     return ", ".join(f"({own}.n * {own}.{x} + {quality_rules.PRIOR} * {larger}.{x}) // ({own}.n + {quality_rules.PRIOR}) as {x}" for x in ("lo", "mid", "hi"))
 
@@ -170,10 +173,10 @@ q2 as (select b.lang, measure, {_leaning("b", "c")} from q b join q c using (mea
 q1 as (select a.lang, a.source, a.measure, {_leaning("a", "b")} from q a join q2 b on b.lang is not distinct from a.lang and b.measure = a.measure where a.lvl = 1),
 t as (select *, case measure {" ".join(f"when '{m}' then lo - {quality_rules.spread(x[0])} * (mid - lo)" for m, x in quality_rules.RULES.items() if x[0])} end as least,
     case measure {" ".join(f"when '{m}' then hi + {quality_rules.spread(x[1])} * (hi - mid)" for m, x in quality_rules.RULES.items())} end as most from q1),
-mv as (select rid, lang, source, measure, (v >> greatest(length(bin(v)) - {quality_rules.BITS}, 0)) << greatest(length(bin(v)) - {quality_rules.BITS}, 0) as v
-  from (select rid, lang, source, unnest([{_NAMES}]) as measure, unnest([{", ".join(quality_rules.RULES)}]) as v from m)),
+mv as (select rid, lang, source, measure, slack, (v >> greatest(length(bin(v)) - {quality_rules.BITS}, 0)) << greatest(length(bin(v)) - {quality_rules.BITS}, 0) as v
+  from (select rid, lang, source, unnest([{_NAMES}]) as measure, unnest([{", ".join(quality_rules.RULES)}]) as v, unnest([{_SLACKS}]) as slack from m)),
 broken as (select mv.rid, list(mv.measure order by list_position([{_NAMES}], mv.measure)) as b
-  from mv join t on mv.lang is not distinct from t.lang and mv.source is not distinct from t.source and mv.measure = t.measure where v > most or v < least group by mv.rid)
+  from mv join t on mv.lang is not distinct from t.lang and mv.source is not distinct from t.source and mv.measure = t.measure where v > most + slack or v < least group by mv.rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and b is null) as kept, array_to_string(coalesce(b, []), ',') as broken
 from m left join broken using (rid)
 """

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,30 @@ def sliced(batches: Iterator, rows: int = 256) -> Iterator:
             yield b.slice(at, rows)
         del b
         pa.default_memory_pool().release_unused()
+        _given_back()
+
+
+#: What operators remember in a Python worker, which lives on after a task: name -> how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[name] = forget
+
+
+def only(name: str) -> None:
+    """What others than this one remember in this worker goes: a task needs its own words alone."""
+    for other, forget in _REMEMBERED.items():
+        if other != name:
+            forget()
+    _given_back()
+
+
+def _given_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def one_thread() -> None:

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from palisand.llm.shared import one_thread
+from palisand.llm.shared import one_thread, remembers, sliced
 
 #: Words, and matches, that a Python worker remembers before it starts anew (about 200 bytes each).
 REMEMBERED = 600_000
@@ -124,7 +124,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers("token ids", encoder.cache_clear)
+
+
 def texts(batches: Iterator) -> Iterator[tuple[list, list]]:
     """(first column, second column) of Arrow batches, as Python lists."""
-    for b in batches:
+    for b in sliced(batches):
         yield b.column(0).to_pylist(), b.column(1).to_pylist()

@@ -93,6 +93,16 @@ def test_quality_rules_drop_outliers_only(spark):
     assert not any(kept[i] for i in range(600, 610)) and sum(kept[i] for i in kept if i is not None and i < 600) >= 597
 
 
+def test_quality_rules_bear_measures_that_are_mostly_zero(spark):
+    """One mark in a hundred texts is not too many, though all quantiles are 0; very many are."""
+    rng = random.Random(4)
+    plain = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(rng.randint(60, 200))) for _ in range(400)]
+    marked = [t.replace(" ", f"{m} ", k) for t, m, k in zip(plain, "!%A!%", (1, 1, 1, 2, 2))]
+    junk = [t.replace(" ", f"{m} ", 40) for t, m in zip(plain, "!%")]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(documents(spark, ["x"] * 4 + plain + marked + junk, ("en",) * 3)).collect()}
+    assert all(kept[i] for i in range(404, 409)) and not kept[409] and not kept[410]
+
+
 def test_topk_ties_across_shards_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD", 7)
     monkeypatch.setattr(topk_search, "TILE", 3)
