@@ -1,23 +1,22 @@
 """LM scoring: the likelihood of a text over all segmentations into subwords.
 
-The pieces are those of an existing subword vocabulary, whose scores are negative merge ranks.  The
-pieces' probabilities start from that order (a piece of rank r weighs 1 / (r + 10)) and are re-estimated over
-the lattice: ROUNDS rounds of expected counts of the pieces, by forward and backward
-recursion in logarithms over all segmentations of each distinct training word, with one added to every count
-(so the likelihood with that prior never falls).  A character that is no
-piece is spelled by its bytes' pieces.  Words begin with the vocabulary's word mark; the end of a text is a piece of its own.
-
-The lattice of a token has one more path: a whole word of the training texts.  With c its
-count there, N all tokens and p the summed probability of its segmentations into pieces, the token's probability is
-(c + K p) / (N + K): a distribution over all words, known or not.  K, how much the
-pieces weigh, is the one of WEIGHTS under which each training token is likeliest given all the others.
+The pieces are those of an existing subword vocabulary, whose scores are negative merge ranks, and, as further pieces of the same lattice, the whole
+words that training texts hold WHOLE times or more.  The subwords' probabilities start from the vocabulary's order (a piece of rank r weighs 1 / (r + 10)),
+those of whole words from half their counts, and all are re-estimated together: a round sums the expected
+counts of all pieces in the training texts, by forward and backward recursion in logarithms over all segmentations of each
+distinct word, weighted by its tokens, with one added to every subword's count (so the likelihood with that prior never falls).  Rounds go on until
+one gains less than GAIN of the likelihood.  A character that is no piece is spelled by its bytes' pieces.  Words begin
+with the vocabulary's word mark.  There is one distribution over what begins a token (subwords, whole words, the end of a text) and one over what goes on
+within a word (subwords, the stop), so that probabilities of all words sum to one.
+
+A token's probability is the sum over all its paths, the whole word's one included: a distribution over all words, known or not.
 A text's probability is the product over its words and its end.
 
 The base score is that of single words with one added to every count.
 
-Both need, for every distinct word, its count and its lattice probability: the
+Both need, for every distinct word, its count and its probability: the
 words are counted by Spark (each task sums first), scored once each, and joined with
-the documents.  The HEAD most frequent words, a bounded number, are sent to all tasks; a
+the documents.  A whole word's expected count is a column beside its word, so that no vocabulary that grows with the texts is sent anywhere.  The HEAD most frequent words, a bounded number, are sent to all tasks; a
 document leaves its sums over those and a row for each other word.
 
 Cases: null and empty texts are the end alone; without training documents every count is 0 and pieces keep the
@@ -44,9 +43,10 @@ from palisand.llm.shared import one_thread, released, staged
 HEAD = 200_000
 #: Distinct words that a task holds before it emits their counts.
 AT_ONCE = 300_000
-#: Rounds of re-estimation; the lattice's weights to choose from, in tokens; characters that are worked on at a time; tasks that
-#: words are dealt to, per shuffle partition.
-ROUNDS, WEIGHTS, AT_A_TIME, DEALT = 2, [10.0 ** (k / 2) for k in range(2, 17)], 40_000, 2
+#: Training tokens of a word that make it a piece; share of the likelihood that a further round must gain, and rounds at most; characters that
+#: are worked on at a time; tasks that words are dealt to, per shuffle partition.
+WHOLE, GAIN, ROUNDS, AT_A_TIME, DEALT = 2, 0.001, 30, 40_000, 2
+LN10 = math.log(10)
 MARK = "▁"
 #: A word that no text holds: the end.
 END = b""
@@ -61,7 +61,8 @@ class Vocabulary:
     hashes: np.ndarray  # ascending
     numbers: np.ndarray
     byte: np.ndarray
-    start: np.ndarray = field(repr=False)  # log10 probabilities by the vocabulary's order
+    prior: np.ndarray = field(repr=False)  # counts that are there before any text: of what begins a token, of what goes on (last: the end, the stop)
+    start: np.ndarray = field(repr=False)  # log10 probabilities by the vocabulary's order, for both
 
 
 _TIMES = 0x9E3779B97F4A7C15
@@ -82,7 +83,13 @@ def vocabulary(pieces: dict[str, float], byte: list[int] | None = None, weights:
     if weights is None:
         weights = np.full(total + 1, 1.0 / (max(pieces.values(), default=0) + 10))
         weights[:n] = 1 / (np.array(list(pieces.values())) + 10)
-    return Vocabulary(total, max(map(len, pieces), default=1), hashes[at], at, byte_at, np.log10(weights / weights.sum()))
+    marked, spells = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+    marked[:n] = [p.startswith(MARK) for p in pieces]
+    spells[byte_at] = spells[-1] = True
+    prior = np.stack([np.where(marked | spells, 1.0, 0.0), np.where(marked, 0.001, 1.0)])  # a mark within a word is rare
+    with np.errstate(divide="ignore"):
+        start = np.log10(prior * weights / (prior * weights).sum(axis=1, keepdims=True))
+    return Vocabulary(total, max(map(len, pieces), default=1), hashes[at], at, byte_at, prior, start)
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -115,14 +122,18 @@ class Lattice:
             to = np.minimum(np.searchsorted(v.hashes, x), max(len(v.hashes) - 1, 0))
             if len(v.hashes):
                 self.piece[:, k:, k] = np.where(v.hashes[to] == x, v.numbers[to], -1)
-        self.edge = np.where(self.piece >= 0, logs[self.piece], -np.inf)
+        logs = logs * LN10  # natural ones are faster
+        self.edge = np.where(self.piece >= 0, logs[1, self.piece], -np.inf)
+        for k in range(width):  # pieces that begin the word
+            self.edge[:, k, k] = np.where(self.piece[:, k, k] >= 0, logs[0, self.piece[:, k, k]], -np.inf)
         # a character that is no piece is spelled by its bytes
         self.spelled = {}
         bare = self.piece[:, :, 0] < 0
         for c in np.unique(cp[bare]).tolist():
             where = bare & (cp == c)
             numbers = v.byte[list(chr(c).encode("utf-8", "surrogatepass"))]
-            self.edge[:, :, 0][where] = logs[numbers].sum()
+            self.edge[:, :, 0][where] = logs[1, numbers].sum()
+            self.edge[:, 0, 0][where[:, 0]] = logs[0, numbers[0]] + logs[1, numbers[1:]].sum()
             self.spelled[c] = where, numbers
         self.forward = np.full((m, n + 1), -np.inf)
         self.forward[:, 0] = 0
@@ -131,35 +142,41 @@ class Lattice:
             self.forward[:, end] = _log_sum(self.forward[:, end - k : end][:, ::-1] + self.edge[:, end - 1, :k])
 
     def total(self) -> np.ndarray:
-        """log10 of each word's probability."""
-        return self.forward[:, -1]
+        """log10 of each word's probability, the stop included."""
+        return self.forward[:, -1] / LN10 + self.logs[1, -1]
 
-    def expected(self) -> np.ndarray:
-        """How often each piece stands in the words, over all segmentations by their probability."""
-        m, n, width = self.edge.shape
+    def expected(self, weight: np.ndarray) -> np.ndarray:
+        """How often each piece begins a word, and goes on in it, in the words, each so many times, over all segmentations by their probability."""
+        n, width = self.edge.shape[1:]
+        m = len(weight)
         back = np.full((m, n + 1), -np.inf)
         back[:, n] = 0
         for start in range(n - 1, -1, -1):
             k = min(n - start, width)
             steps = np.arange(k)
             back[:, start] = _log_sum(back[:, start + 1 : start + 1 + k] + self.edge[:, start + steps, steps])
-        share = np.zeros(self.edge.shape)
-        for k in range(width):
-            share[:, k:, k] = self.forward[:, : n - k] + self.edge[:, k:, k] + back[:, k + 1 :]
-        share = np.where(np.isneginf(self.edge), 0, 10.0 ** (share - self.total()[:, None, None]))
-        real = self.piece >= 0
-        count = np.bincount(self.piece[real], weights=share[real], minlength=self.v.n + 1)
+        word, end, k = np.nonzero(~np.isneginf(self.edge))  # most places have no piece
+        share = np.exp(self.forward[word, end - k] + self.edge[word, end, k] + back[word, end + 1] - self.forward[word, -1]) * weight[word]
+        number, size = self.piece[word, end, k], self.v.n + 1
+        real = number >= 0
+        count = np.bincount(np.where(k == end, 0, size)[real] + number[real], weights=share[real], minlength=2 * size).reshape(2, size)
+        spelled = np.zeros(self.edge.shape[:2])
+        spelled[word[~real], end[~real]] = share[~real]
         for where, numbers in self.spelled.values():
-            np.add.at(count, numbers, share[:, :, 0][where].sum())
+            first = spelled[:, 0][where[:, 0]].sum()
+            count[0, numbers[0]] += first
+            np.add.at(count[1], numbers, spelled[where].sum())
+            count[1, numbers[0]] -= first
+        count[1, -1] += weight.sum()
         return count
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log10 of the sum of 10^x along the second axis."""
+    """The logarithm of the sum of exponentials along the second axis."""
     top = x.max(axis=1)
     top = np.where(np.isneginf(top), 0, top)
     with np.errstate(divide="ignore"):
-        return top + np.log10((10.0 ** (x - top[:, None])).sum(axis=1))
+        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
 def lattices(words: list[str], v: Vocabulary, logs: np.ndarray) -> Iterator[tuple[list[int], Lattice]]:
@@ -204,72 +221,100 @@ def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
     return docs.select("text", trains.alias("train")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def estimated(words: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
-    """log10 probabilities of the pieces after some rounds over the words, each word once; and log10 of the words'
-    likelihood with the prior before each round.  What comes to the driver is bounded by the vocabulary."""
-    spark, logs, trace = words.sparkSession, v.start, []
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((v, logs))
+@dataclass(frozen=True)
+class Estimate:
+    """log10 probabilities of subwords (what begins, what goes on); log10 of the sum of all expected counts of what begins a token, by which those of whole words
+    are divided; and log10 of the training texts' likelihood with the prior before each round."""
+
+    logs: np.ndarray
+    total: float
+    trace: list[float]
+
+
+def _whole(expected, total: float) -> np.ndarray:
+    """log10 probabilities of whole words from their expected counts."""
+    with np.errstate(divide="ignore"):
+        return np.log10(np.asarray(expected, dtype=np.float64)) - total
+
+
+def estimated(words: DataFrame, v: Vocabulary, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Estimate, DataFrame]:
+    """What some rounds over the training words (word, c) give, and word, whole: the expected count of each word as one piece, staged.
+    What comes to the driver is bounded by the vocabulary."""
+    spark, trace = words.sparkSession, []
+    state = words.select("word", "c", F.when((F.col("c") >= WHOLE) & (F.length("word") > 0), F.col("c") / 2).otherwise(F.lit(0.0)).alias("whole"))
+    n, held = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.rint(F.col("whole") * 1e6).cast("long")), F.lit(0))).first()
+    total = math.log10(max(n, 1))
+    logs = v.start + np.array([[math.log10(1 - held / 1e6 / max(n, 1))], [0.0]])
+    while True:
+        sent = spark.sparkContext.broadcast((v, logs, total))
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
-            vocabulary, now = sent.value
-            total, likelihood = np.zeros(vocabulary.n + 1), 0.0
+            vocabulary, now, total = sent.value
+            count, likelihood, held = np.zeros((2, vocabulary.n + 1)), 0.0, 0.0
+            types = [pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             for b in batches:
                 texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-                ends = sum(not t for t in texts)
-                total[-1] += ends
-                likelihood += ends * now[-1]
-                for _, x in lattices([t for t in texts if t], vocabulary, now):
-                    total += x.expected()
-                    likelihood += x.total().sum()
-            used = np.flatnonzero(total)
-            millionths = np.rint(1e6 * np.r_[total[used], likelihood]).astype(np.int64)  # whole numbers, whose sum has no order
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1]), pa.array(millionths)], ["piece", "c"])
-
-        got = words.select("word").mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).toArrow()
-        piece, c = got["piece"].to_numpy(), got["c"].to_numpy() / 1e6
-        trace.append(float(c[piece < 0].sum() + logs.sum()))
-        count = np.ones(v.n + 1)
-        count[piece[piece >= 0]] += c[piece >= 0]
-        logs = np.log10(count / count.sum())
+                c, own = b.column(1).to_numpy().astype(np.float64), _whole(b.column(2).to_numpy(), total)
+                whole = np.zeros(len(texts))
+                ends = np.array([not t for t in texts], dtype=bool)
+                count[0, -1] += c[ends].sum()
+                likelihood += c[ends].sum() * now[0, -1]
+                some = np.flatnonzero(~ends)
+                for at, x in lattices([texts[i] for i in some], vocabulary, now):
+                    at = some[at]
+                    spelled = x.total()
+                    both = np.logaddexp(spelled * LN10, own[at] * LN10) / LN10
+                    whole[at] = c[at] * 10.0 ** (own[at] - both)
+                    count += x.expected(c[at] - whole[at])
+                    likelihood += float(c[at] @ both)
+                held += np.rint(whole * 1e6).sum()
+                k = len(texts)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole), pa.nulls(k, types[3]), pa.nulls(k, types[4])], ["word", "c", "whole", "piece", "n"])
+            count = count.ravel()
+            used = np.flatnonzero(count)
+            millionths = np.rint(np.r_[1e6 * count[used], 1e6 * likelihood, held]).astype(np.int64)  # whole numbers, whose sum has no order
+            k = len(millionths)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in types[:3]), pa.array(np.r_[used, -1, -2]), pa.array(millionths)], ["word", "c", "whole", "piece", "n"])
+
+        after = staged(state.mapInArrow(run, "word binary, c long, whole double, piece long, n long"), "lattice-round")
+        got = after.filter("piece is not null").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        piece, n = got["piece"].to_numpy(), got["n"].to_numpy() / 1e6
+        trace.append(float(n[piece == -1].sum() + (v.prior * np.where(v.prior > 0, logs, 0)).sum()))
         sent.unpersist()
-    return logs, trace
-
-
-def scored_words(words: DataFrame, v: Vocabulary, logs: np.ndarray) -> DataFrame:
-    """word, c, p: the log10 lattice probability of each word (of the end: its own)."""
-    sent = words.sparkSession.sparkContext.broadcast((v, logs))
+        if trace[1:]:
+            released(state)
+        state = after.filter("word is not null").select("word", "c", "whole")
+        count = v.prior.copy()
+        count.ravel()[piece[piece >= 0]] += n[piece >= 0]
+        every = count.sum(axis=1) + np.array([n[piece == -2].sum(), 0.0])
+        with np.errstate(divide="ignore"):
+            logs, total = np.log10(count / every[:, None]), math.log10(every[0])
+        if len(trace) >= rounds or trace[1:] and trace[-1] - trace[-2] < gain * abs(trace[-2]):
+            return Estimate(logs, total, trace), state.select("word", "whole")
+
+
+def scored_words(words: DataFrame, v: Vocabulary, e: Estimate) -> DataFrame:
+    """word, c, p (log10 probability; of the end: its own) and spelled (the share of it that segmentations into subwords have), of word, c, whole."""
+    sent = words.sparkSession.sparkContext.broadcast((v, e.logs, e.total))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary, now = sent.value
+        vocabulary, now, total = sent.value
         for b in batches:
             texts = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-            out = np.full(len(texts), now[-1])
-            some = [i for i, t in enumerate(texts) if t]
+            own = _whole(b.column(2).to_numpy(), total)
+            out, share = np.full(len(texts), now[0, -1]), np.ones(len(texts))
+            some = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
             for at, x in lattices([texts[i] for i in some], vocabulary, now):
-                out[[some[i] for i in at]] = x.total()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.float64())], ["word", "c", "p"])
-
-    return words.mapInArrow(run, "word binary, c long, p double")
-
-
-def lattice_weight(words: DataFrame, total: int) -> float:
-    """The K under which the training tokens are likeliest, each given all others."""
-    if not total:
-        return 1.0
-    each = [F.sum(F.col("c") * F.log10(F.greatest(F.col("c") - 1 + k * F.pow(F.lit(10.0), "p"), F.lit(1e-300)) / (total - 1 + k))).alias(str(i)) for i, k in enumerate(WEIGHTS)]
-    found = words.filter("c > 0").agg(*each).first()
-    return WEIGHTS[max(range(len(WEIGHTS)), key=lambda i: found[i])]
-
+                at = some[at]
+                out[at] = np.logaddexp(x.total() * LN10, own[at] * LN10) / LN10
+                share[at] = 10.0 ** (x.total() - out[at])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.float64()), pa.array(share, type=pa.float64())], ["word", "c", "p", "spelled"])
 
-def token_score(total: int, k: float) -> Column:
-    """log10 of a token's probability, of the columns c and p."""
-    every = math.log10(total + k)
-    return F.when(F.col("c") == 0, math.log10(k) + F.col("p")).otherwise(F.log10(F.col("c") + k * F.pow(F.lit(10.0), F.col("p")))) - every
+    return words.select("word", "c", "whole").mapInArrow(run, "word binary, c long, p double, spelled double")
 
 
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
@@ -279,10 +324,10 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     counts = staged(word_counts(docs, ~F.col("held_out")), "word-counts")
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     v, tasks = read_vocabulary(path), DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    logs, _ = estimated(counts.filter("c > 0").repartition(tasks, "word"), v)
-    plain = staged(scored_words(counts.repartition(tasks, "word"), v, logs), "word-lattices")
+    estimate, whole = estimated(counts.filter("c > 0").repartition(tasks, "word"), v)
+    known = counts.join(whole, "word", "left").withColumn("whole", F.coalesce("whole", F.lit(0.0)))
+    words = staged(scored_words(known.repartition(tasks, "word"), v, estimate), "word-lattices").drop("spelled")
     released(counts)
-    words = plain.withColumn("p", token_score(total, lattice_weight(plain, total)))
     base = math.log10(total + distinct + 1)
     head = words.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     sent = spark.sparkContext.broadcast({w: (math.log10(c + 1) - base, p, int(c > 0)) for w, c, p in zip(*(head[x].to_pylist() for x in ("word", "c", "p")), strict=True)})

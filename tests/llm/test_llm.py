@@ -266,30 +266,33 @@ def test_lattice(spark):
     # each document's score from an independent recursion over pieces
     counts = staged(lattice_lm.word_counts(docs, ~F.coalesce(fm_classifier.remainder(7) == 2, F.lit(False))), "t")
     v = lattice_lm.read_vocabulary(PIECES)
-    logs, _ = lattice_lm.estimated(counts.filter("c > 0"), v)
+    e, found_whole = lattice_lm.estimated(counts.filter("c > 0"), v)
+    logs, whole = e.logs, {bytes(r.word): r.whole for r in found_whole.collect()}
+    assert all(x == 0 or c[w] >= lattice_lm.WHOLE and x <= c[w] for w, x in whole.items()) and any(whole.values())
+    assert abs(sum(10.0 ** logs[0]) + sum(whole.values()) / 10**e.total - 1) < 1e-6 and abs(sum(10.0 ** logs[1]) - 1) < 1e-9  # what begins a token, and what goes on
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    piece = {sp.id_to_piece(i): logs[k] for k, i in enumerate(plain)}
+    piece = {sp.id_to_piece(i): logs[:, k] for k, i in enumerate(plain)}
 
     def recursion(word):
         if not word:
-            return logs[-1]
+            return logs[0, -1]
         text = "▁" + word.decode()
         reached = [0.0] + [-math.inf] * len(text)
         for end in range(1, len(text) + 1):
-            steps = [reached[a] + piece[text[a:end]] for a in range(max(0, end - 16), end) if text[a:end] in piece]
+            steps = [reached[a] + piece[text[a:end]][min(a, 1)] for a in range(max(0, end - 16), end) if text[a:end] in piece]
             if text[end - 1] not in piece:
-                steps.append(reached[end - 1] + sum(logs[len(plain) + b] for b in text[end - 1].encode()))
+                steps.append(reached[end - 1] + sum(logs[1, len(plain) + b] for b in text[end - 1].encode()))
             top = max(steps)
             reached[end] = top + math.log10(sum(10 ** (x - top) for x in steps))
-        return reached[-1]
+        return reached[-1] + logs[1, -1]
 
-    p = {w: recursion(w) for _, ws in tokens for w in ws}
-    k = max(lattice_lm.WEIGHTS, key=lambda k: sum(x * math.log10(max(x - 1 + k * 10 ** p[w], 1e-300) / (n - 1 + k)) for w, x in c.items()))
-    scores = collections.Counter((i, round(sum(math.log10(c[w] + k * 10 ** p[w]) if c[w] else math.log10(k) + p[w] for w in ws) - len(ws) * math.log10(n + k), 4)) for i, ws in tokens)
-    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in got) == scores
+    p = {w: math.log10(10 ** recursion(w) + whole.get(w, 0.0) / 10**e.total) if recursion(w) > -290 else recursion(w) for _, ws in tokens for w in ws}
+    key = lambda r: (r[0] is not None, r)
+    for a, b in zip(sorted(((r.doc_id, r.score) for r in got), key=key), sorted(((i, sum(p[w] for w in ws)) for i, ws in tokens), key=key), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-6, abs_tol=1e-4)
     assert lattice_lm.score(empty(spark), F.lit(False), PIECES).count() == 0
 
 
@@ -298,6 +301,7 @@ def test_lattice_sums_all_segmentations():
     v = lattice_lm.vocabulary(dict.fromkeys(weights, 0.0), weights=np.array([*weights.values(), *[0.001] * 256, 0.1]))
     names = list(weights)
     chance = 10**v.start
+    assert np.allclose(chance.sum(axis=1), 1)
 
     def segmentations(text):
         if not text:
@@ -311,21 +315,25 @@ def test_lattice_sums_all_segmentations():
     words = ["a", "ab", "abab", "abcab", "é", "aéb", "ba", "c"]
     seen = set()
     for at, lattice in lattice_lm.lattices(words, v, v.start):
-        count = np.zeros(v.n + 1)
+        count = np.zeros((2, v.n + 1))
         for i, total in zip(at, lattice.total(), strict=True):
             seen.add(i)
-            ways = [(math.prod(chance[x] for x in way), way) for way in segmentations("▁" + words[i])]
+            ways = [(math.prod(chance[min(j, 1), x] for j, x in enumerate(way)) * chance[1, -1], way) for way in segmentations("▁" + words[i])]
             assert math.isclose(total, math.log10(sum(x for x, _ in ways)), rel_tol=1e-12)
             for x, way in ways:
-                np.add.at(count, way, x / sum(y for y, _ in ways))
-        assert np.allclose(lattice.expected(), count)
+                np.add.at(count, (np.minimum(np.arange(len(way)), 1), way), x / sum(y for y, _ in ways))
+                count[1, -1] += x / sum(y for y, _ in ways)
+        assert np.allclose(lattice.expected(np.ones(len(at))), count)
+        assert np.allclose(lattice.expected(np.full(len(at), 2.5)), 2.5 * count)
     assert seen == set(range(len(words)))
 
 
 def test_pieces_never_get_less_likely(spark):
-    words = spark.createDataFrame([(bytearray(w.encode()),) for t in PROSE[:2] for w in {*t.split(), t[:30].replace(" ", "é"), ""}], "word binary").distinct()
-    _, trace = lattice_lm.estimated(words, lattice_lm.read_vocabulary(PIECES), 5)
-    assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0] + 10
+    rows = [(bytearray(w.encode()), 1 + len(w) % 4) for w in sorted({x for t in PROSE[:2] for x in {*t.split(), t[:30].replace(" ", "é"), ""}})]
+    words = spark.createDataFrame(rows, "word binary, c long")
+    trace = lattice_lm.estimated(words, lattice_lm.read_vocabulary(PIECES), 6, 0.0)[0].trace
+    assert len(trace) == 6 and all(b >= a - 1e-4 for a, b in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0] + 10
+    assert len(lattice_lm.estimated(words, lattice_lm.read_vocabulary(PIECES), gain=0.5)[0].trace) == 2  # the stopping rule
 
 
 def test_token_store(spark, monkeypatch):
