@@ -20,29 +20,44 @@ from palisand.llm.queries import quality_machine
 from palisand.llm.shared import finished, released, staged
 
 
+#: Rows that Spark hands to a Python worker at a time; documents are long, and a worker and its executor hold a batch each.
+BATCH = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
+    _short_batches(spark)
     return fm_classifier.accepted(docs, quality_machine(spark, docs, sf_dir), 0.7)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the adaptive quality rules."""
+    _short_batches(spark)
     return quality_rules.filtered(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten of them or more share."""
+    _short_batches(spark)
     left = line_dedup.cleaned(docs)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _short_batches(spark)
     return jaccard_join.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    _short_batches(spark)
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     return packing.pack(staged(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), 1024)
 
