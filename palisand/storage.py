@@ -97,12 +97,12 @@ def released(*tables: DataFrame) -> None:
             removed(df.sparkSession, path)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str, salt: Column | None = None, most: int = LOOKUP) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, on: str | Sequence[str], how: str, salt: Column | None = None, most: int | None = None) -> DataFrame:
     """rows joined (inner, left, left_semi or left_anti) with a staged table whose keys are unique.  A table of at
-    most this many rows is broadcast.  With a larger one, where many rows may share a key, each key is
+    most so many rows (most; LOOKUP where it is not given) is broadcast.  With a larger one, where many rows may share a key, each key is
     copied to SALTS tasks, among which the hash of salt deals the rows; without salt it is a plain join."""
     on = [on] if isinstance(on, str) else list(on)
-    if table.count() <= most:
+    if table.count() <= (LOOKUP if most is None else most):
         return rows.join(F.broadcast(table), on, how)
     if salt is None:
         return rows.join(table, on, how)
