@@ -3,6 +3,8 @@ for which SQL can give the same rows."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from palisand.plans.catalog import BASE, ORACLES, portfolios, query, returns, st
 from palisand.plans.models import _SERIES, _SPLITS, cumulated, logs, stability, with_loadings
 from palisand.plans.panel import once, region_prices, table, weights
 from palisand.sources import prices as src
-from palisand.sources import workbook
+from palisand.sources import quotes, workbook
 from palisand.storage import new_folder, shared_files, staged
 
 # --- comparisons of strategies
@@ -355,3 +357,26 @@ def _(spark, d):
   select 'metrics', 1 + count(distinct strategy), 10 from port union all select 'frontier', 51, 6""", "", "sheet n_rows n_columns")
 def _(spark, d):
     return workbook.cells(spark, f"file://{exported(spark, d)}").groupBy("sheet").agg(F.count_distinct("row").alias("n_rows"), F.count_distinct("col").alias("n_columns"))
+
+
+def _answers(spark: SparkSession, d: str) -> str:
+    """A folder with a CSV answer for each asset, as a quote service gives them; written in tasks."""
+    folder = shared_files(spark, "answers")
+
+    def write(frame):
+        name = f"{folder}/{frame['asset'].iloc[0]}.csv"
+        frame = frame.sort_values("date")
+        frame[["date", "price"]].rename(columns={"date": "Date", "price": "Close"}).to_csv(f"{name}.part", index=False)
+        os.replace(f"{name}.part", name)
+        return frame[["asset"]].head(1)
+
+    region_prices(spark, d).select("date", "asset", "price").groupBy("asset").applyInPandas(write, "asset string").collect()  # a row for each asset
+    return folder
+
+
+@query("src_yahoo", "select * from prices", "price", "date asset")
+def _(spark, d):
+    spark.dataSource.register(quotes.QuoteSource)
+    symbols = ",".join(r.asset for r in region_prices(spark, d).select("asset").distinct().orderBy("asset").collect())
+    read = spark.read.format("quotes").option("url", f"file://{_answers(spark, d)}/{{symbol}}.csv").option("schemes", "file")
+    return read.option("symbols", symbols).load()

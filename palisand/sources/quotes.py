@@ -5,7 +5,8 @@
 
 An answer is CSV text whose first column holds dates.  The price is the column Close, else Adj Close, else
 the first whose name holds Close.  A symbol with fewer than LEAST_DATES prices has no rows; one whose request or
-answer fails has none either, unless the option on_error is "fail".
+answer fails has none either, unless the option on_error is "fail".  The format quote_status, with the same options, tells for each symbol
+how many prices were found and what failed.  Only URLs of the option schemes (default "https,http") are followed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import io
 import math
 from collections.abc import Iterator
 from datetime import date
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,24 +54,36 @@ class QuoteReader(DataSourceReader):
         self.options = options
         if not options.get("symbols") or "{symbol}" not in options.get("url", ""):
             raise ValueError("the options symbols, and url with {symbol}, are needed")
+        if (scheme := urlsplit(options["url"]).scheme) not in options.get("schemes", "https,http").split(","):
+            raise ValueError(f"URLs of {scheme} aren't followed")
 
     def partitions(self) -> list[_Symbol]:
         return [_Symbol(s) for s in dict.fromkeys(x.strip().upper() for x in self.options["symbols"].split(",")) if s]
 
-    def read(self, partition: _Symbol) -> Iterator[tuple]:
+    def found(self, symbol: str) -> tuple[list[tuple[date, float]], str | None]:
+        """A symbol's prices, or what failed."""
         o = self.options
-        url = o["url"].format(symbol=quote(partition.symbol), start=o.get("start", ""), end=o.get("end", ""))
+        url = o["url"].format(symbol=quote(symbol), start=o.get("start", ""), end=o.get("end", ""))
         try:
             with urlopen(url, timeout=float(o.get("timeout", 30))) as answer:
-                found = parsed(answer.read().decode())
-        except (OSError, ValueError):
+                return parsed(answer.read().decode()), None
+        except (OSError, ValueError) as e:
             if o.get("on_error") == "fail":
                 raise
-            found = []
+            return [], str(e) or type(e).__name__
+
+    def read(self, partition: _Symbol) -> Iterator[tuple]:
+        found, _ = self.found(partition.symbol)
         if len(found) >= LEAST_DATES:
             yield from ((day, partition.symbol, price) for day, price in found)
 
 
+class StatusReader(QuoteReader):
+    def read(self, partition: _Symbol) -> Iterator[tuple]:
+        found, error = self.found(partition.symbol)
+        yield partition.symbol, len(found), error or (None if len(found) >= LEAST_DATES else f"fewer than {LEAST_DATES} prices")
+
+
 class QuoteSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -81,3 +94,15 @@ class QuoteSource(DataSource):
 
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(dict(self.options))
+
+
+class QuoteStatus(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quote_status"
+
+    def schema(self) -> str:
+        return "asset string, n int, error string"
+
+    def reader(self, schema) -> StatusReader:
+        return StatusReader(dict(self.options))

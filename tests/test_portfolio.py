@@ -298,9 +298,16 @@ def test_quotes_behind_a_url(spark, tmp_path):
     (tmp_path / "BBB.csv").write_text("Date,X Close\n" + "".join(f"{d} 00:00:00,{i}\n" for i, d in enumerate(dates)))
     (tmp_path / "CCC.csv").write_text("Date,Close\n2020-01-01,3\n")
     spark.dataSource.register(quotes.QuoteSource)
-    read = spark.read.format("quotes").option("url", f"file://{tmp_path}/{{symbol}}.csv")
+    spark.dataSource.register(quotes.QuoteStatus)
+    options = {"url": f"file://{tmp_path}/{{symbol}}.csv", "schemes": "file"}
+    read = spark.read.format("quotes").options(**options)
     got = read.option("symbols", "aaa, BBB,CCC,DDD,AAA").load().groupBy("asset").agg(F.count("*").alias("n"), F.max("price").alias("p")).collect()
     assert sorted(map(tuple, got)) == [("AAA", 40, 39.0), ("BBB", 40, 39.0)]
+    status = {r.asset: (r.n, r.error) for r in spark.read.format("quote_status").options(**options).option("symbols", "AAA,CCC,DDD").load().collect()}
+    assert status["AAA"] == (40, None) and status["CCC"] == (1, "fewer than 30 prices") and status["DDD"][0] == 0 and status["DDD"][1]
+    for wrong in ({"schemes": "https"}, {"url": f"file://{tmp_path}/AAA.csv"}):
+        with pytest.raises(Exception, match="followed|needed"):
+            spark.read.format("quotes").options(**{**options, **wrong}).option("symbols", "AAA").load().collect()
     assert quotes.price_column(["Date", "Adj Close"]) == 1
     with pytest.raises(ValueError):
         quotes.parsed("Date,Open\n2020-01-01,1\n")
