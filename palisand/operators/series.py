@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisand.functions.distributions import kolmogorov, shapiro, simplex_search
+from palisand.functions.scalars import normal_ppf
 from palisand.storage import staged
 
 
@@ -191,3 +192,11 @@ def normality_votes(returns: DataFrame, jarque_bera: DataFrame) -> DataFrame:
     """normality() with jb_p (of asset, p) and votes, how many of the three tests don't reject at 5 %."""
     out = normality(returns).join(jarque_bera.select("asset", F.col("p").alias("jb_p")), "asset")
     return out.withColumn("votes", sum((F.col(c) > 0.05).cast("int") for c in ("ks_p", "jb_p", "w_p")))
+
+
+def normal_plot(series: DataFrame) -> DataFrame:
+    """strategy, k, theory, r: each return beside the normal quantile of its rank, at (k - 1/2) / n, scaled to the series' mean and population deviation."""
+    each = Window.partitionBy("strategy")  # a series' dates
+    k, n = F.row_number().over(each.orderBy("r", "date")), F.count("*").over(each)
+    ranked = series.select("strategy", "r", k.alias("k"), n.alias("n"), F.avg("r").over(each).alias("m"), F.stddev_pop("r").over(each).alias("s"))
+    return ranked.select("strategy", "k", (F.col("m") + F.col("s") * normal_ppf((F.col("k") - 0.5) / F.col("n"))).alias("theory"), "r")

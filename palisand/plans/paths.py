@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisand.operators import backtest as bt
-from palisand.operators import correlation, factors, metrics, optimize, quantiles, regimes, robust
+from palisand.functions import scalars
+from palisand.operators import correlation, factors, metrics, optimize, quantiles, regimes, robust, series
 from palisand.operators.blocks import numbered
 from palisand.operators.optimize import dense
 from palisand.plans.catalog import BASE, ORACLES, portfolios, query, stored_returns
@@ -223,3 +224,22 @@ def _(spark, d):
 ORACLES["opt_merge_heights"] = RECURSIVE + """, ed as (select a.asset as i, b.asset as j, sqrt(greatest((1 - corr(a.r, b.r)) / 2, 0)) as d from rets a join rets b on a.date = b.date and a.asset < b.asset group by 1, 2),
 reach as (select e.i, e.j, e.d, e.i as x from ed e union select r.i, r.j, r.d, case when s.i = r.x then s.j else s.i end from reach r join ed s on s.d < r.d and (s.i = r.x or s.j = r.x))
 select (row_number() over (order by d))::int as k, round(d, 6) as height from ed where not exists (select 1 from reach r where r.i = ed.i and r.j = ed.j and r.x = ed.j)"""
+
+
+# --- normal quantiles
+
+
+def _rational(r: str, parts: tuple) -> str:
+    both = []
+    for coefficients in (parts[0], (1.0, *parts[1])):
+        out = repr(float(coefficients[-1])) + "::double"
+        for c in reversed(coefficients[:-1]):
+            out = f"({out} * ({r}) + {float(c)!r}::double)"
+        both.append(out)
+    return f"({both[0]} / {both[1]})"
+
+
+@query("ts_normal_plot", f"""select strategy, k, m + s * case when abs(q) <= 0.425 then q * {_rational("0.180625 - q * q", scalars.MIDDLE)} else sign(q) * case when t <= 5 then {_rational("t - 1.6", scalars.SIDES)} else {_rational("t - 5", scalars.TAILS)} end end as theory, r from
+  (select *, p - 0.5 as q, sqrt(-ln(least(p, 1 - p))) as t from (select *, (k - 0.5::double) / n as p from (select strategy, r, (row_number() over (partition by strategy order by r, date))::int as k, count(*) over (partition by strategy) as n, avg(r) over (partition by strategy) as m, stddev_pop(r) over (partition by strategy) as s from port)))""", "theory r", "strategy k")
+def _(spark, d):
+    return series.normal_plot(portfolios(spark, d))

@@ -347,3 +347,14 @@ def test_bars_of_a_stream(spark, tmp_path):
     q = bars(spark.readStream.schema("ts timestamp, asset string, value double").parquet(src)).writeStream.format("memory").queryName("bars_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((x["price"], x["n"]) for x in spark.table("bars_out").collect()) == [(2.0, 2), (5.0, 1)]
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from palisand.functions import scalars
+
+    ps = [1e-300, 1e-12, 1e-4, 0.05, 0.075, 0.25, 0.5, 0.6, 0.925, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, -0.5, None]], "p double").select("p", scalars.normal_ppf(F.col("p")).alias("z")).collect()
+    for r in got:
+        assert r.z is None if r.p not in ps else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-13, abs=1e-15)
