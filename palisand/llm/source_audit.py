@@ -230,6 +230,7 @@ def _merged(least: int):
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute
 
         table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))], ["lang", "term", "docs", "sources", "counts"])])
         types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
