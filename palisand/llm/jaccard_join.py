@@ -430,18 +430,20 @@ def fine_bound(x: bytes, y: bytes) -> int:
 
 
 def _sided(pairs: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Staged pairs (a, b) with columns of the table (staged, unique sid) for both, as <column>_a and <column>_b.  The pairs of a set that has very
-    many (a hub) are dealt to several tasks."""
+    """Staged pairs (a, b) with columns of the table (unique sid) for both, as <column>_a and <column>_b.  Where a set has very
+    many pairs (a hub), its rows are dealt to several tasks."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    hubs = pairs.count() > HOT and ends.groupBy("sid").count().agg(F.max("count")).first()[0] > HOT
     for c, other in (("a", "b"), ("b", "a")):
         named = table.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
-        hot = staged(pairs.groupBy(c).agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(c), "hubs")
-        if hot.isEmpty():
+        if not hubs:
             pairs = pairs.join(named, c)
-        else:
-            few = staged(looked_up(named, hot, c, "left_semi"), "hub-sets")
-            salt = F.col(other)
-            dealt_out = looked_up(looked_up(pairs, hot, c, "left_semi", salt), few, c, "inner", salt, 0)
-            pairs = looked_up(pairs, hot, c, "left_anti", salt).join(named, c).unionByName(dealt_out)
+            continue
+        hot = staged(pairs.groupBy(c).agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(c), "hubs")
+        few = staged(looked_up(named, hot, c, "left_semi"), "hub-sets")
+        salt = F.col(other)
+        dealt_out = looked_up(looked_up(pairs, hot, c, "left_semi", salt), few, c, "inner", salt, 0)
+        pairs = looked_up(pairs, hot, c, "left_anti", salt).join(named, c).unionByName(dealt_out)
     return pairs
 
 
