@@ -122,6 +122,9 @@ class Lattice:
             to = np.minimum(np.searchsorted(v.hashes, x), max(len(v.hashes) - 1, 0))
             if len(v.hashes):
                 self.piece[:, k:, k] = np.where(v.hashes[to] == x, v.numbers[to], -1)
+        found = np.flatnonzero((self.piece >= 0).any(axis=(0, 1)))
+        width = int(found.max(initial=0)) + 1  # no longer piece stands in these words
+        self.piece = np.ascontiguousarray(self.piece[:, :, :width])
         logs = logs * LN10  # natural ones are faster
         self.edge = np.where(self.piece >= 0, logs[1, self.piece], -np.inf)
         for k in range(width):  # pieces that begin the word
