@@ -47,6 +47,8 @@ AT_ONCE = 300_000
 #: are worked on at a time; tasks that words are dealt to, per shuffle partition.
 WHOLE, GAIN, ROUNDS, AT_A_TIME, DEALT = 2, 0.001, 30, 40_000, 2
 LN10 = math.log(10)
+#: Leading bits of a hash by which most strings that are no pieces are told.
+NEAR = 20
 MARK = "▁"
 #: A word that no text holds: the end.
 END = b""
@@ -63,6 +65,7 @@ class Vocabulary:
     byte: np.ndarray
     prior: np.ndarray = field(repr=False)  # counts that are there before any text: of what begins a token, of what goes on (last: the end, the stop)
     start: np.ndarray = field(repr=False)  # log10 probabilities by the vocabulary's order, for both
+    near: np.ndarray = field(repr=False)  # by the leading NEAR bits of a hash: whether any piece has them
 
 
 _TIMES = 0x9E3779B97F4A7C15
@@ -89,7 +92,9 @@ def vocabulary(pieces: dict[str, float], byte: list[int] | None = None, weights:
     prior = np.stack([np.where(marked | spells, 1.0, 0.0), np.where(marked, 0.001, 1.0)])  # a mark within a word is rare
     with np.errstate(divide="ignore"):
         start = np.log10(prior * weights / (prior * weights).sum(axis=1, keepdims=True))
-    return Vocabulary(total, max(map(len, pieces), default=1), hashes[at], at, byte_at, prior, start)
+    near = np.zeros(1 << NEAR, dtype=bool)
+    near[(hashes >> np.uint64(64 - NEAR)).astype(np.int64)] = True
+    return Vocabulary(total, max(map(len, pieces), default=1), hashes[at], at, byte_at, prior, start, near)
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -119,9 +124,11 @@ class Lattice:
         for k in range(width):  # lengths of k + 1 characters
             h[:, k:] += cp[:, : n - k] * np.uint64(pow(_TIMES, k, 2**64))
             x = _hashed(h[:, k:], k + 1)
-            to = np.minimum(np.searchsorted(v.hashes, x), max(len(v.hashes) - 1, 0))
-            if len(v.hashes):
-                self.piece[:, k:, k] = np.where(v.hashes[to] == x, v.numbers[to], -1)
+            some = v.near[(x >> np.uint64(64 - NEAR)).astype(np.int64)]  # most strings are no pieces, and this tells it of nearly all of them
+            y = x[some]
+            to = np.minimum(np.searchsorted(v.hashes, y), len(v.hashes) - 1)
+            if len(y):
+                self.piece[:, k:, k][some] = np.where(v.hashes[to] == y, v.numbers[to], -1)
         found = np.flatnonzero((self.piece >= 0).any(axis=(0, 1)))
         width = int(found.max(initial=0)) + 1  # no longer piece stands in these words
         self.piece = np.ascontiguousarray(self.piece[:, :, :width])
