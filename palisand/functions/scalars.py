@@ -19,7 +19,7 @@ SEASONALITY = ((3.0, "high"), (1.5, "moderate"), (None, "low"))
 CORRELATION = ((0.10, "raised"), (None, "normal"))
 ALPHA = ((0.15, "high"), (None, "moderate"))
 BETA = ((0.9, "very persistent"), (0.7, "persistent"), (None, "fleeting"))
-TAILS = ((1.0, "fat"), (None, "normal"))
+KURTOSIS = ((1.0, "fat"), (None, "normal"))
 #: Lower bound, upper bound, and the labels below, between and above.
 PERCENTILE = (20.0, 80.0, "low", "normal", "high")
 SKEW = (-0.5, 0.5, "left", "even", "right")

@@ -302,7 +302,7 @@ def _(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 101).alias("x")).select(
         "k", s.label(x / 100, s.PBO).alias("pbo"), s.label(x / 50, s.STABILITY, strict=True).alias("walk"), s.label(x / 20, s.SEASONALITY, strict=True).alias("season"), s.label(x / 400, s.CORRELATION, strict=True).alias("corr"),
         s.label(x / 100, s.PERSISTENCE, strict=True).alias("persistence"), s.label(x / 400, s.ALPHA, strict=True).alias("alpha"), s.label(x / 100, s.BETA, strict=True).alias("beta"), s.between(x, s.PERCENTILE).alias("vol"), s.between(x / 50 - 1, s.SKEW).alias("skew"),
-        s.label(x / 50, s.TAILS, strict=True).alias("tails"), s.label(x, s.RISK).alias("risk"), s.label(x, s.SCORE).alias("score"),
+        s.label(x / 50, s.KURTOSIS, strict=True).alias("tails"), s.label(x, s.RISK).alias("risk"), s.label(x, s.SCORE).alias("score"),
     )
 
 
