@@ -330,7 +330,10 @@ def random_cloud(spark, returns: DataFrame, n: int = 10_000, rf: float = 0.02, s
 
 
 def risk_buckets(cloud: DataFrame, n: int = 50) -> DataFrame:
-    """The best return in each of n equal ranges of volatility; the most volatile portfolio lies beyond the last, half-open one."""
-    ends = cloud.agg(F.min("vol").alias("lo"), ((F.max("vol") - F.min("vol")) / n).alias("size"))
-    placed = cloud.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("vol") - F.col("lo")) / F.col("size")).cast("int"))
+    """The best return in each of n equal ranges of volatility; the most volatile portfolio lies beyond the last, half-open one.
+    The cloud is stored, so that the ends are those of the very rows that are placed: made again, they may differ in their last bits."""
+    cloud = staged(cloud, "cloud")
+    ends = cloud.agg(F.min("vol").alias("lo"), F.max("vol").alias("hi"), ((F.max("vol") - F.min("vol")) / n).alias("size"))
+    bucket = F.when(F.col("vol") < F.col("hi"), F.floor((F.col("vol") - F.col("lo")) / F.col("size")).cast("int"))  # at the upper end the division may round down
+    placed = cloud.crossJoin(F.broadcast(ends)).withColumn("bucket", bucket)
     return placed.filter(F.col("bucket") < n).groupBy("bucket").agg(F.max("ret").alias("ret"), F.max_by("vol", "ret").alias("vol"))

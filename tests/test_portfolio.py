@@ -358,3 +358,21 @@ def test_normal_quantiles(spark):
     got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, -0.5, None]], "p double").select("p", scalars.normal_ppf(F.col("p")).alias("z")).collect()
     for r in got:
         assert r.z is None if r.p not in ps else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-13, abs=1e-15)
+
+
+def test_the_most_volatile_portfolio_is_in_no_bucket(spark):
+    top = next(x / 7 for x in range(1, 1000) if x / 7 / (x / 7 / 50) < 50)  # the division rounds down
+    cloud = spark.createDataFrame([(0.1, 0.0), (0.2, top / 2 + top / 1000), (9.0, top)], "ret double, vol double")
+    assert {(r.bucket, r.ret) for r in optimize.risk_buckets(cloud).collect()} == {(0, 0.1), (25, 0.2)}
+
+
+def test_buckets_are_of_one_cloud(spark):
+    def made(frames):
+        import random
+
+        shift = random.SystemRandom().uniform(0, 1000)  # another one whenever the cloud is made
+        for x in frames:
+            yield pd.DataFrame({"ret": x["id"] * 1.0, "vol": shift + x["id"] / 101})
+
+    cloud = spark.range(0, 102, 1, 1).mapInPandas(made, "ret double, vol double")
+    assert {r.bucket for r in optimize.risk_buckets(cloud).collect()} == set(range(50))
