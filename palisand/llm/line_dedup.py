@@ -4,7 +4,7 @@ Lines are exploded and hashed (128 bits); a document counts once for each of its
 aggregation sums map-side, so a line that a third of the documents hold is
 a few rows after it.  Only hashes and positions move for that.  The frequent keys are broadcast where they are few, and else
 copied to several tasks each, so no task gets all places of one line.  The positions to be
-dropped then meet the documents, whose remaining lines are put together in order.
+dropped then meet the documents (of more than a few, by a shuffle that carries each text once), whose remaining lines are put together in order.
 
 Only DataFrame functions are used.
 
@@ -25,7 +25,7 @@ from palisand.llm.shared import SPACES, ascii_lower, finished, looked_up, row_ke
 #: Documents in which a key must be found for its lines to go.
 MIN_DOCS = 10
 #: Documents with lines to be dropped up to which their positions are broadcast.
-FEW = 100_000
+FEW = 10_000
 
 
 def split_lines(c: Column) -> Column:
@@ -53,8 +53,9 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def _thinned(docs: DataFrame, min_docs: int) -> DataFrame:
-    """doc (a struct of the row, whatever its columns are called), n_lines, n_dropped and text, the remaining lines."""
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("text").alias("_text"), *row_key("doc_id", "text"))
+    """doc (a struct of the row but for its text, whatever its columns are called), n_lines, n_dropped and text, the remaining lines."""
+    others = F.struct(*[f"`{c}`" for c in docs.columns if c != "text"])
+    keyed = docs.select(others.alias("doc"), F.col("text").alias("_text"), *row_key("doc_id", "text"))
     df = looked_up(keyed, finished("dropped-lines", lambda: dropped_positions(docs, min_docs)), ["k1", "k2"], "left", most=FEW)
     df = df.withColumn("_lines", split_lines(F.col("_text"))).withColumn("_drop", F.coalesce("drop", F.array().cast("array<int>")))
     df = df.withColumn("_keep", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"))
@@ -66,7 +67,7 @@ def _thinned(docs: DataFrame, min_docs: int) -> DataFrame:
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, lang, source, n_lines, n_dropped and the remaining text of every row."""
-    return _thinned(docs, min_docs).select("doc.doc_id", "doc.lang", "doc.source", "n_lines", "n_dropped", "text")
+    return _thinned(docs.select("doc_id", "lang", "source", "text"), min_docs).select("doc.doc_id", "doc.lang", "doc.source", "n_lines", "n_dropped", "text")
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

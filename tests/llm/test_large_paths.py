@@ -117,3 +117,13 @@ def test_lines_and_rules_by_lookups_that_are_not_sent(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "GROUPS", 0)
     monkeypatch.setattr(storage, "LOOKUP", 0)
     assert one() == want
+
+
+def test_lines_meet_their_documents_with_each_text_once(spark, monkeypatch):
+    met, lookup = [], line_dedup.looked_up
+    monkeypatch.setattr(line_dedup, "looked_up", lambda rows, *more, **named: met.append(rows) or lookup(rows, *more, **named))
+    docs = texts(spark).withColumn("a.b", F.lit(1))
+    assert line_dedup.cleaned(docs).columns == docs.columns and line_dedup.dedup(docs).count() == 240
+    for rows in (x for x in met if "doc" in x.columns):
+        assert "text" not in rows.schema["doc"].dataType.names
+    assert line_dedup.FEW <= 10_000  # beyond that, what is sent to all tasks would grow with the documents
