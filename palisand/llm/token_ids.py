@@ -19,6 +19,8 @@ from palisand.llm.shared import one_thread, remembers, sliced
 
 #: Words, and matches, that a Python worker remembers before it starts anew (about 200 bytes each).
 REMEMBERED = 600_000
+#: Marks that are a match by themselves between a letter and a space.
+MARKS = frozenset(",.;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,9 +30,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1024)
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
 def packed_ids(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _packer(len(ids))(*ids)
 
 
 class Matches(dict):
@@ -60,8 +67,12 @@ class Words(dict):
             ids = packed_ids(self.matches.encode(" " + word))
         elif not word or word[0].isspace() or word[-1].isspace():
             ids = None
+        elif word[-1] in MARKS and (letters := word[:-1]).isalpha():  # letters and a mark: two matches
+            ids = self[letters] + self.matches[word[-1]]
         else:
-            ids = b"".join(map(self.matches.__getitem__, self.find(" " + word)))
+            first, *rest = self.find(" " + word)
+            own = self[letters] if (letters := first[1:]).isalpha() else self.matches[first]
+            ids = b"".join([own, *map(self.matches.__getitem__, rest)])
         self[word] = ids
         return ids
 
@@ -107,7 +118,14 @@ class Encoder:
         self.added = [t["content"] for t in conf["added_tokens"]]
         self.n_ids = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         tokenize, letters = self.tokenizer.model.tokenize, {b: ord(c) for b, c in byte_letters().items()}
-        self.lookup = Lookup(public_tokenizers.PATTERN, lambda m: [t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))])
+        space = chr(letters[ord(" ")])
+
+        def of_match(m: str) -> list[int]:
+            if m[0] == " " and m.isascii() and m[1:].isalpha():  # such letters stand for themselves
+                return [t.id for t in tokenize(space + m[1:])]
+            return [t.id for t in tokenize(m.encode().decode("latin-1").translate(letters))]
+
+        self.lookup = Lookup(public_tokenizers.PATTERN, of_match)
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids (null: none) as little-endian unsigned 32-bit integers."""
