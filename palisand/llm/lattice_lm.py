@@ -115,65 +115,64 @@ class Lattice:
 
     def __init__(self, words: list[str], v: Vocabulary, logs: np.ndarray) -> None:
         m, n = len(words), len(words[0]) + 1
-        cp = np.empty((m, n), dtype=np.uint64)
-        cp[:, 0] = ord(MARK)
-        cp[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n - 1)
+        cp = np.empty((n, m), dtype=np.uint64)  # a word is a column, so that each step works on rows
+        cp[0] = ord(MARK)
+        cp[1:] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n - 1).T
         self.v, self.logs, self.n, width = v, logs, n, min(n, v.longest)
-        self.piece = np.full((m, n, width), -1, dtype=np.int32)  # of each end and length - 1
-        h = np.zeros((m, n), dtype=np.uint64)
+        self.piece = np.full((width, n, m), -1, dtype=np.int32)  # of each length - 1 and end
+        h = np.zeros((n, m), dtype=np.uint64)
         for k in range(width):  # lengths of k + 1 characters
-            h[:, k:] += cp[:, : n - k] * np.uint64(pow(_TIMES, k, 2**64))
-            x = _hashed(h[:, k:], k + 1)
+            h[k:] += cp[: n - k] * np.uint64(pow(_TIMES, k, 2**64))
+            x = _hashed(h[k:], k + 1)
             some = v.near[(x >> np.uint64(64 - NEAR)).astype(np.int64)]  # most strings are no pieces, and this tells it of nearly all of them
             y = x[some]
             to = np.minimum(np.searchsorted(v.hashes, y), len(v.hashes) - 1)
             if len(y):
-                self.piece[:, k:, k][some] = np.where(v.hashes[to] == y, v.numbers[to], -1)
-        found = np.flatnonzero((self.piece >= 0).any(axis=(0, 1)))
+                self.piece[k, k:][some] = np.where(v.hashes[to] == y, v.numbers[to], -1)
+        found = np.flatnonzero((self.piece >= 0).any(axis=(1, 2)))
         width = int(found.max(initial=0)) + 1  # no longer piece stands in these words
-        self.piece = np.ascontiguousarray(self.piece[:, :, :width])
-        logs = logs * LN10  # natural ones are faster
-        self.edge = np.where(self.piece >= 0, logs[1, self.piece], -np.inf)
+        self.piece = self.piece[:width]
+        logs = np.c_[logs * LN10, [-np.inf, -np.inf]]  # natural ones are faster; the last is of no piece
+        self.edge = logs[1, self.piece]
         for k in range(width):  # pieces that begin the word
-            self.edge[:, k, k] = np.where(self.piece[:, k, k] >= 0, logs[0, self.piece[:, k, k]], -np.inf)
+            self.edge[k, k] = logs[0, self.piece[k, k]]
         # a character that is no piece is spelled by its bytes
         self.spelled = {}
-        bare = self.piece[:, :, 0] < 0
+        bare = self.piece[0] < 0
         for c in np.unique(cp[bare]).tolist():
             where = bare & (cp == c)
             numbers = v.byte[list(chr(c).encode("utf-8", "surrogatepass"))]
-            self.edge[:, :, 0][where] = logs[1, numbers].sum()
-            self.edge[:, 0, 0][where[:, 0]] = logs[0, numbers[0]] + logs[1, numbers[1:]].sum()
+            self.edge[0][where] = logs[1, numbers].sum()
+            self.edge[0, 0][where[0]] = logs[0, numbers[0]] + logs[1, numbers[1:]].sum()
             self.spelled[c] = where, numbers
-        self.forward = np.full((m, n + 1), -np.inf)
-        self.forward[:, 0] = 0
+        self.forward = np.full((n + 1, m), -np.inf)
+        self.forward[0] = 0
         for end in range(1, n + 1):
             k = min(end, width)
-            self.forward[:, end] = _log_sum(self.forward[:, end - k : end][:, ::-1] + self.edge[:, end - 1, :k])
+            self.forward[end] = _log_sum(self.forward[end - k : end][::-1] + self.edge[:k, end - 1])
 
     def total(self) -> np.ndarray:
         """log10 of each word's probability, the stop included."""
-        return self.forward[:, -1] / LN10 + self.logs[1, -1]
+        return self.forward[-1] / LN10 + self.logs[1, -1]
 
     def expected(self, weight: np.ndarray) -> np.ndarray:
         """How often each piece begins a word, and goes on in it, in the words, each so many times, over all segmentations by their probability."""
-        n, width = self.edge.shape[1:]
-        m = len(weight)
-        back = np.full((m, n + 1), -np.inf)
-        back[:, n] = 0
+        width, n, m = self.edge.shape
+        back = np.full((n + 1, m), -np.inf)
+        back[n] = 0
         for start in range(n - 1, -1, -1):
             k = min(n - start, width)
             steps = np.arange(k)
-            back[:, start] = _log_sum(back[:, start + 1 : start + 1 + k] + self.edge[:, start + steps, steps])
-        word, end, k = np.nonzero(~np.isneginf(self.edge))  # most places have no piece
-        share = np.exp(self.forward[word, end - k] + self.edge[word, end, k] + back[word, end + 1] - self.forward[word, -1]) * weight[word]
-        number, size = self.piece[word, end, k], self.v.n + 1
+            back[start] = _log_sum(back[start + 1 : start + 1 + k] + self.edge[steps, start + steps])
+        k, end, word = np.nonzero(~np.isneginf(self.edge))  # most places have no piece
+        share = np.exp(self.forward[end - k, word] + self.edge[k, end, word] + back[end + 1, word] - self.forward[-1, word]) * weight[word]
+        number, size = self.piece[k, end, word], self.v.n + 1
         real = number >= 0
         count = np.bincount(np.where(k == end, 0, size)[real] + number[real], weights=share[real], minlength=2 * size).reshape(2, size)
-        spelled = np.zeros(self.edge.shape[:2])
-        spelled[word[~real], end[~real]] = share[~real]
+        spelled = np.zeros(self.edge.shape[1:])
+        spelled[end[~real], word[~real]] = share[~real]
         for where, numbers in self.spelled.values():
-            first = spelled[:, 0][where[:, 0]].sum()
+            first = spelled[0][where[0]].sum()
             count[0, numbers[0]] += first
             np.add.at(count[1], numbers, spelled[where].sum())
             count[1, numbers[0]] -= first
@@ -182,11 +181,11 @@ class Lattice:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exponentials along the second axis."""
-    top = x.max(axis=1)
+    """The logarithm of the sum of exponentials along the first axis."""
+    top = x.max(axis=0)
     top = np.where(np.isneginf(top), 0, top)
     with np.errstate(divide="ignore"):
-        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        return top + np.log(np.exp(x - top).sum(axis=0))
 
 
 def lattices(words: list[str], v: Vocabulary, logs: np.ndarray) -> Iterator[tuple[list[int], Lattice]]:
